@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tillmark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str]] = {}
 
 # SQL twins of the logical tables in sources/tables.py.
 LOGICAL = {
@@ -141,7 +141,7 @@ def query(name: str, needs: str = "", sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            CHECKS[name] = check_sql(needs, sql)
+            CHECKS[name] = (needs, sql)
         return fn
 
     return register
