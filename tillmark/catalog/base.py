@@ -104,10 +104,13 @@ def check_sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         visit(name)
+    body = body.strip()
     if not order:
-        return body.strip()
+        return body
     steps = ",\n".join(f"{name} AS ({LOGICAL[name]})" for name in order)
-    return f"WITH {steps}\n{body.strip()}"
+    if body.startswith("WITH "):
+        return f"WITH {steps},\n{body[5:]}"
+    return f"WITH {steps}\n{body}"
 
 
 def as_report(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.operators.quantiles import exact_quantiles, quantile_struct
+from tillmark.operators.quantiles import with_quantiles
 
 
 def repair_sentinel(
@@ -31,20 +31,10 @@ def fill_nulls(df: DataFrame, values: dict) -> DataFrame:
     return df.na.fill(values)
 
 
-def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    q = exact_quantiles(df, cols, [0.25, 0.75])
-    wide = q.groupBy("column").agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"),
-    )
-    spread = F.col("q3") - F.col("q1")
-    return wide.withColumn("lower", F.col("q1") - k * spread).withColumn("upper", F.col("q3") + k * spread)
-
-
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows outside the fences, counted per column."""
-    box = quantile_struct(df, cols, [0.25, 0.75])
-    row = df.agg(*[F.count_if(_outside(F.col(c).cast("double"), box[c], k)).alias(c) for c in cols])
+    boxed = with_quantiles(df, cols, [0.25, 0.75])
+    row = boxed.agg(*[F.count_if(_outside(F.col(c).cast("double"), F.col("_q")[c], k)).alias(c) for c in cols])
     return row.unpivot([], [*cols], "column", "outliers")
 
 
@@ -54,23 +44,24 @@ def _outside(value: Column, quartiles: Column, k: float) -> Column:
 
 
 def high_outliers(df: DataFrame, cols: Sequence[str], q: float = 0.99) -> DataFrame:
-    box = quantile_struct(df, cols, [q])
-    row = df.agg(*[F.count_if(F.col(c).cast("double") > F.get(box[c], F.lit(0))).alias(c) for c in cols])
+    boxed = with_quantiles(df, cols, [q])
+    row = boxed.agg(*[F.count_if(F.col(c).cast("double") > F.get(F.col("_q")[c], F.lit(0))).alias(c) for c in cols])
     return row.unpivot([], [*cols], "column", "outliers")
 
 
 def winsorize(df: DataFrame, cols: Sequence[str], q: float = 0.99) -> DataFrame:
     """Clip each column at its own upper quantile; nulls stay null."""
-    box = quantile_struct(df, cols, [q])
+    boxed = with_quantiles(df, cols, [q])
     clipped = {
-        c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.get(box[c], F.lit(0)))) for c in cols
+        c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.get(F.col("_q")[c], F.lit(0)))) for c in cols
     }
-    return df.withColumns(clipped)
+    return boxed.withColumns(clipped).drop("_q")
 
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    box = quantile_struct(df, cols, [0.5])
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.get(box[c], F.lit(0))) for c in cols})
+    boxed = with_quantiles(df, cols, [0.5])
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.get(F.col("_q")[c], F.lit(0))) for c in cols}
+    return boxed.withColumns(filled).drop("_q")
 
 
 def negative_totals(lines: DataFrame, products: DataFrame) -> DataFrame:

@@ -20,13 +20,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     margin = 3.0 / ACCURACY
     edges = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
     bounds = data.agg(*[F.percentile_approx(c, edges, ACCURACY).alias(c) for c in cols])
-    box = bounds.select(F.struct(*cols).alias("b")).scalar()
+    # One reference to the subquery; the expressions below read the attached column.
+    data = data.withColumn("_box", bounds.select(F.struct(*cols).alias("b")).scalar())
 
     def low(c: str, i: int) -> Column:
-        return F.get(box[c], F.lit(2 * i))
+        return F.get(F.col("_box")[c], F.lit(2 * i))
 
     def high(c: str, i: int) -> Column:
-        return F.get(box[c], F.lit(2 * i + 1))
+        return F.get(F.col("_box")[c], F.lit(2 * i + 1))
 
     slots = [(c, i) for c in cols for i in range(len(qs))]
     counts = data.agg(
@@ -88,8 +89,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     return picked.select("column", "q", (lower + (upper - lower) * part).alias("value"))
 
 
-def quantile_struct(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> Column:
-    """The same quantiles as a one-row scalar: `result[column][i]`."""
+def with_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], out: str = "_q") -> DataFrame:
+    """Attach the same quantiles to every row as a struct: `out[column][i]`."""
     long = exact_quantiles(df, cols, qs)
     row = long.agg(
         *[
@@ -99,4 +100,4 @@ def quantile_struct(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
             for c in cols
         ]
     )
-    return row.select(F.struct(*cols).alias("b")).scalar()
+    return df.withColumn(out, row.select(F.struct(*cols).alias("b")).scalar())
