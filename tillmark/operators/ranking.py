@@ -28,18 +28,20 @@ def value_ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=order, outputCol=RANGE).transform(df)
 
 
-def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], ranges: int = 64) -> DataFrame:
-    """Add `<col>_before`: the sum of `col` over all rows with a smaller `order` value.
+def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], ranges: int = 64, by: Sequence[str] = ()) -> DataFrame:
+    """Add `<col>_before`: the sum of `col` over the rows (of the same `by`) with a smaller `order` value.
 
-    `order` must be unique; aggregate by it first.
+    `order` must be unique (within `by`); aggregate by it first.
     """
     tagged = value_ranges(df, order, ranges)
-    ahead = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(RANGE).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    offsets = offsets.select(RANGE, *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    inside = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy(*by, RANGE).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    offsets = offsets.select(
+        *by, RANGE, *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in cols]
+    )
+    inside = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in cols])
-    joined = local.join(offsets, RANGE)
+    joined = local.join(offsets, [*by, RANGE])
     return joined.select(*df.columns, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in cols])
 
 

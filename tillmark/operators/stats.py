@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tillmark.functions import scalars as S
 from tillmark.operators.quantiles import exact_quantiles
 
-ONE = F.lit(1)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -108,7 +107,7 @@ def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         cols,
         {
             "nulls": lambda c: F.count_if(c.isNull()),
-            "null_pct": lambda c: S.ratio(F.count_if(c.isNull()) * 100, F.count(ONE)),
+            "null_pct": lambda c: S.ratio(F.count_if(c.isNull()) * 100, F.count(F.lit(1))),
         },
     )
 
@@ -120,7 +119,7 @@ def null_counts_by(df: DataFrame, by: str, cols: Sequence[str], k: int = 10) ->
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(ONE).alias("n"))
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +130,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
         span["hi"] > span["lo"],
         F.least(F.floor((value - span["lo"]) * bins / (span["hi"] - span["lo"])), F.lit(bins - 1)),
     ).otherwise(F.lit(0))
-    return df.filter(value.isNotNull()).groupBy(*by, slot.cast("int").alias("bin")).agg(F.count(ONE).alias("n"))
+    return df.filter(value.isNotNull()).groupBy(*by, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def group_difference(df: DataFrame, cols: Sequence[str], flag: str, names: tuple[str, str]) -> DataFrame:

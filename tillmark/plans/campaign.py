@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
 
-ONE = F.lit(1)
 COMPOSITE = ["campaign_name", "market", "channel"]
 
 
@@ -99,9 +98,9 @@ def allocate_budget(totals: DataFrame, budget: float, key: str = "market") -> Da
 
 def segment_rates(people: DataFrame, segment, flag: str = "y", name: str = "segment") -> DataFrame:
     """Buy rate per segment and its uplift on the overall rate."""
-    overall = people.agg(S.ratio(F.sum(flag), F.count(ONE))).scalar()
+    overall = people.agg(S.ratio(F.sum(flag), F.count(F.lit(1)))).scalar()
     rates = people.groupBy(segment.alias(name)).agg(
-        F.count(ONE).alias("customers"), S.ratio(F.sum(flag), F.count(ONE)).alias("buy_rate")
+        F.count(F.lit(1)).alias("customers"), S.ratio(F.sum(flag), F.count(F.lit(1))).alias("buy_rate")
     )
     return rates.withColumn("uplift", F.try_divide(F.col("buy_rate"), overall))
 
@@ -126,7 +125,7 @@ def threshold_sweep(scored: DataFrame, start: float = 0.5, step: float = 0.05, s
     steps = threshold_steps(start, step, stop)
     hit, actual = [F.col("score") >= s for s in steps], F.col("label") == 1
     row = scored.agg(
-        F.count(ONE).alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.count_if(actual).alias("p"),
         *[F.count_if(h & actual).alias(f"tp{i}") for i, h in enumerate(hit)],
         *[F.count_if(h & ~actual).alias(f"fp{i}") for i, h in enumerate(hit)],

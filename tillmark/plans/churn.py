@@ -19,7 +19,6 @@ from tillmark.operators import chunked
 from tillmark.operators.timegrid import Grid, expand, in_window, lookahead, lookback, since, split_by_date
 
 KEYS = ["prediction_date", "customer_id"]
-ONE = F.lit(1)
 TS = "purchased_at"
 
 # Defaults for missing features before training.
@@ -93,7 +92,7 @@ def recent(df: DataFrame, grid: Grid) -> DataFrame:
 
 
 def visits_30days(r: Retail) -> DataFrame:
-    return recent(r.reachable, r.grid).groupBy(*KEYS).agg(F.count(ONE).alias("visits_30days"))
+    return recent(r.reachable, r.grid).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("visits_30days"))
 
 
 def total_spend_30days(r: Retail) -> DataFrame:
@@ -102,13 +101,13 @@ def total_spend_30days(r: Retail) -> DataFrame:
 
 def avg_basket_value(r: Retail) -> DataFrame:
     return recent(r.totals(), r.grid).groupBy(*KEYS).agg(
-        S.rounded_ratio(F.sum("spend"), F.count(ONE)).alias("avg_basket_value")
+        S.rounded_ratio(F.sum("spend"), F.count(F.lit(1))).alias("avg_basket_value")
     )
 
 
 def avg_items_per_visit(r: Retail) -> DataFrame:
     return recent(r.totals(), r.grid).groupBy(*KEYS).agg(
-        S.rounded_ratio(F.sum("items"), F.count(ONE)).alias("avg_items_per_visit")
+        S.rounded_ratio(F.sum("items"), F.count(F.lit(1))).alias("avg_items_per_visit")
     )
 
 
@@ -179,7 +178,7 @@ def customer_age(r: Retail) -> DataFrame:
 def shop_weekend_pct(r: Retail) -> DataFrame:
     weekend = S.is_weekend(F.col(TS)).cast("int")
     return recent(r.reachable, r.grid).groupBy(*KEYS).agg(
-        S.rounded_ratio(100 * F.sum(weekend), F.count(ONE)).alias("shop_weekend_pct")
+        S.rounded_ratio(100 * F.sum(weekend), F.count(F.lit(1))).alias("shop_weekend_pct")
     )
 
 
@@ -194,7 +193,7 @@ def lag_features(r: Retail, hi: int, lo: int, name: str) -> DataFrame:
     """Visits, spend, categories and basket value over (d-hi, d-lo]; known products only."""
     seen = lookback(r.product_mix(), r.grid, TS, hi, lo, closed="right")
     per_receipt = seen.groupBy(*KEYS, "receipt_id").agg(F.sum("spend").alias("spend"))
-    visits = per_receipt.groupBy(*KEYS).agg(F.count(ONE).alias("n"), F.sum("spend").alias("s"))
+    visits = per_receipt.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("spend").alias("s"))
     categories = seen.groupBy(*KEYS).agg(F.countDistinct("category_code").alias(f"unique_categories_{name}_30days"))
     return visits.join(categories, KEYS).select(
         *KEYS,
@@ -364,5 +363,5 @@ def purchase_history(receipts: DataFrame) -> DataFrame:
 
 def split_counts(df: DataFrame, split: str = "data_split", label: str = "churned") -> DataFrame:
     return df.groupBy(split, label).agg(
-        F.count(ONE).alias("n"), F.count_if(F.col("visits_lag1_30days").isNull()).alias("null_lag1")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("visits_lag1_30days").isNull()).alias("null_lag1")
     )

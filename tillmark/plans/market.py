@@ -11,7 +11,6 @@ from tillmark.operators.asof import asof_join
 from tillmark.operators.reshape import composite_join
 
 ID, DAY = "entity_id", "date"
-ONE = F.lit(1)
 HORIZONS = (1, 5, 20)
 
 
@@ -21,7 +20,7 @@ def daily_bars(events: DataFrame, entity: str, ts: str, price: str, tiebreak: st
     return events.groupBy(F.col(entity).alias(ID), F.to_date(ts).alias(DAY)).agg(
         F.min_by(price, order).alias("open"),
         F.max_by(price, order).alias("close"),
-        F.count(ONE).alias("volume"),
+        F.count(F.lit(1)).alias("volume"),
     )
 
 
@@ -125,32 +124,32 @@ def shock_summary(bars: DataFrame, z: float = 2.0) -> DataFrame:
     """Total shocks, shocks after collapsing streaks, entities concerned."""
     tagged = series.streaks(shocks(bars, z), ID, DAY)
     return tagged.agg(
-        F.count(ONE).alias("total_shocks"),
+        F.count(F.lit(1)).alias("total_shocks"),
         F.count_if("new_streak").alias("non_redundant_shocks"),
         F.countDistinct(ID).alias("entities"),
     )
 
 
 def shocks_per_entity(bars: DataFrame, metadata: DataFrame, z: float = 2.0, k: int = 25) -> DataFrame:
-    counted = distinct_shocks(bars, z).groupBy(ID).agg(F.count(ONE).alias("shock_count"))
+    counted = distinct_shocks(bars, z).groupBy(ID).agg(F.count(F.lit(1)).alias("shock_count"))
     names = metadata.select(F.col("SP_ENTITY_ID").alias(ID), F.col("SP_ENTITY_NAME").alias("entity_name"))
     return counted.join(names, ID, "left").orderBy(F.desc("shock_count"), ID).limit(k)
 
 
 def shocks_per_day(bars: DataFrame, z: float = 2.0) -> DataFrame:
-    return distinct_shocks(bars, z).groupBy(DAY).agg(F.count(ONE).alias("num_shocks"))
+    return distinct_shocks(bars, z).groupBy(DAY).agg(F.count(F.lit(1)).alias("num_shocks"))
 
 
 def shocks_per_month(bars: DataFrame, z: float = 2.0) -> DataFrame:
     months = [F.quarter(DAY).alias("quarter"), F.trunc(DAY, "month").alias("month")]
-    return distinct_shocks(bars, z).groupBy(*months).agg(F.count(ONE).alias("num_shocks"))
+    return distinct_shocks(bars, z).groupBy(*months).agg(F.count(F.lit(1)).alias("num_shocks"))
 
 
 def shocks_rolling(bars: DataFrame, z: float = 2.0, n: int = 7) -> DataFrame:
     """Shocks per day with an n-day mean, null until n days exist."""
     w = Window.orderBy(DAY).rowsBetween(-(n - 1), 0)
-    mean = S.ratio(F.sum("num_shocks").over(w), F.count(ONE).over(w))
-    return shocks_per_day(bars, z).withColumn("rolling_avg", F.when(F.count(ONE).over(w) >= n, mean))
+    mean = S.ratio(F.sum("num_shocks").over(w), F.count(F.lit(1)).over(w))
+    return shocks_per_day(bars, z).withColumn("rolling_avg", F.when(F.count(F.lit(1)).over(w) >= n, mean))
 
 
 def daily_polarity(bars: DataFrame, z: float = 2.0) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
 
-ONE = F.lit(1)
 
 
 def receipt_totals(lines: DataFrame, key: str = "receipt_id", value: str = "value") -> DataFrame:
@@ -23,14 +22,14 @@ def receipt_totals(lines: DataFrame, key: str = "receipt_id", value: str = "valu
 
 def with_receipt_totals(receipts: DataFrame, lines: DataFrame) -> DataFrame:
     """Receipts that have lines, each with its total and line count."""
-    totals = lines.groupBy("receipt_id").agg(F.sum("value").alias("total_value"), F.count(ONE).alias("n_lines"))
+    totals = lines.groupBy("receipt_id").agg(F.sum("value").alias("total_value"), F.count(F.lit(1)).alias("n_lines"))
     return receipts.join(totals, "receipt_id")
 
 
 def customer_store_spend(receipts: DataFrame, lines: DataFrame, by: str = "store_code") -> DataFrame:
     return with_receipt_totals(receipts, lines).groupBy("customer_id", by).agg(
         F.sum("total_value").alias("total_spent"),
-        F.count(ONE).alias("num_receipts"),
+        F.count(F.lit(1)).alias("num_receipts"),
         F.sum("n_lines").alias("num_lines"),
     )
 
@@ -100,7 +99,7 @@ def multi_store_customers(receipts: DataFrame, by: str = "store_code") -> DataFr
 
 def spend_leaderboard(customers: DataFrame, receipts: DataFrame, lines: DataFrame) -> DataFrame:
     spend = with_receipt_totals(receipts, lines).groupBy("customer_id").agg(
-        F.count(ONE).alias("total_visits"), F.sum("total_value").alias("total_value_spent")
+        F.count(F.lit(1)).alias("total_visits"), F.sum("total_value").alias("total_value_spent")
     )
     return (
         customers.select("customer_id", "first", "last")
@@ -120,7 +119,7 @@ def active_customers(receipts: DataFrame, start: dt.date, end: dt.date, by: str
 
 
 def active_repeat_customers(receipts: DataFrame, start: dt.date, end: dt.date, by: str = "store_code") -> DataFrame:
-    visits = in_period(receipts, start, end).groupBy("customer_id", by).agg(F.count(ONE).alias("n"))
+    visits = in_period(receipts, start, end).groupBy("customer_id", by).agg(F.count(F.lit(1)).alias("n"))
     return visits.filter(F.col("n") > 1).groupBy(by).agg(F.count("customer_id").alias("active_repeat_customers"))
 
 
@@ -128,7 +127,7 @@ def first_last(receipts: DataFrame, by: str = "store_code") -> DataFrame:
     return receipts.groupBy("customer_id", by).agg(
         F.min("purchased_at").alias("first_purchase"),
         F.max("purchased_at").alias("last_purchase"),
-        F.count(ONE).alias("n_receipts"),
+        F.count(F.lit(1)).alias("n_receipts"),
     )
 
 
@@ -146,7 +145,7 @@ def retention(receipts: DataFrame, by: str = "store_code") -> DataFrame:
 
 def lifetime_value(receipts: DataFrame, lines: DataFrame, by: str = "store_code") -> DataFrame:
     return customer_store_spend(receipts, lines, by).groupBy(by).agg(
-        S.ratio(F.sum("total_spent"), F.count(ONE)).alias("avg_customer_lifetime_value")
+        S.ratio(F.sum("total_spent"), F.count(F.lit(1))).alias("avg_customer_lifetime_value")
     )
 
 
@@ -221,7 +220,7 @@ def spend_income_ratio(receipts: DataFrame, lines: DataFrame, stores: DataFrame,
     """Mean spend per customer and store set against disposable income."""
     spend = customer_store_spend(receipts, lines).join(stores.select("store_code"), "store_code")
     by_region = spend.groupBy(region_of(F.col("store_code")).alias("region")).agg(
-        S.ratio(F.sum("total_spent"), F.count(ONE)).alias("avg_customer_spending")
+        S.ratio(F.sum("total_spent"), F.count(F.lit(1))).alias("avg_customer_spending")
     )
     return by_region.join(regions, "region").select(
         "region",
@@ -286,14 +285,14 @@ def monthly_customers(receipts: DataFrame, by: str = "store_code", window: int =
     around = Window.partitionBy(by).orderBy("month").rowsBetween(-half, half)
     return monthly.withColumn(
         "smoothed_customer_count",
-        S.ratio(F.sum("customer_count").over(around), F.count(ONE).over(around)),
+        S.ratio(F.sum("customer_count").over(around), F.count(F.lit(1)).over(around)),
     )
 
 
 def first_time_purchases(receipts: DataFrame, unit: str = "month") -> DataFrame:
     """Customers by the period of their first purchase."""
     first = receipts.groupBy("customer_id").agg(F.min("purchased_at").alias("first_purchase"))
-    return first.groupBy(F.trunc("first_purchase", unit).alias("period")).agg(F.count(ONE).alias("new_customers"))
+    return first.groupBy(F.trunc("first_purchase", unit).alias("period")).agg(F.count(F.lit(1)).alias("new_customers"))
 
 
 def journey_funnel(events: DataFrame, stages: list[str], user: str = "user_id", stage: str = "event_type") -> DataFrame:
@@ -323,6 +322,6 @@ def journey_funnel(events: DataFrame, stages: list[str], user: str = "user_id",
 
 def engagement_rate(events: DataFrame, interactions: list[str], by: str, kind: str = "event_type") -> DataFrame:
     return events.groupBy(by).agg(
-        F.count(ONE).alias("n_events"),
-        S.ratio(F.count_if(F.col(kind).isin(interactions)), F.count(ONE)).alias("engagement_rate"),
+        F.count(F.lit(1)).alias("n_events"),
+        S.ratio(F.count_if(F.col(kind).isin(interactions)), F.count(F.lit(1))).alias("engagement_rate"),
     )

@@ -15,7 +15,6 @@ from tillmark.operators.reshape import pivot_sum
 
 KEY = "customer_number"
 TS = "purchase_time"
-ONE = F.lit(1)
 
 
 def category_quantities(baskets: DataFrame, categories: Sequence[str]) -> DataFrame:
@@ -34,11 +33,11 @@ def basket_sums(baskets: DataFrame) -> DataFrame:
 def customer_summary(baskets: DataFrame) -> DataFrame:
     """Baskets, totals and averages per customer."""
     return baskets.groupBy(KEY).agg(
-        F.count(ONE).alias("baskets"),
+        F.count(F.lit(1)).alias("baskets"),
         F.sum("basket_quantity").alias("total_quantity"),
         F.sum("basket_spend").alias("total_spend"),
-        S.ratio(F.sum("basket_quantity"), F.count(ONE)).alias("average_quantity"),
-        S.ratio(F.sum("basket_spend"), F.count(ONE)).alias("average_spend"),
+        S.ratio(F.sum("basket_quantity"), F.count(F.lit(1))).alias("average_quantity"),
+        S.ratio(F.sum("basket_spend"), F.count(F.lit(1))).alias("average_spend"),
     )
 
 
@@ -63,7 +62,7 @@ def monthly_visits(baskets: DataFrame, unit: str = "month") -> DataFrame:
     per_period = baskets.filter(F.col(KEY).isNotNull()).groupBy(KEY, F.trunc(TS, unit).alias("period")).agg(
         F.countDistinct(TS).alias("visits")
     )
-    return per_period.groupBy(KEY).agg(S.ratio(F.sum("visits"), F.count(ONE)).alias("avg_visits_monthly"))
+    return per_period.groupBy(KEY).agg(S.ratio(F.sum("visits"), F.count(F.lit(1))).alias("avg_visits_monthly"))
 
 
 def basket_ratios(summary: DataFrame) -> DataFrame:
@@ -91,8 +90,8 @@ def recency(baskets: DataFrame) -> DataFrame:
 def time_shares(baskets: DataFrame) -> DataFrame:
     weekend, morning = S.is_weekend(F.col(TS)), S.is_morning(F.col(TS))
     return baskets.groupBy(KEY).agg(
-        S.ratio(F.count_if(weekend), F.count(ONE)).alias("weekend_shopper"),
-        S.ratio(F.count_if(morning), F.count(ONE)).alias("morning_shopper"),
+        S.ratio(F.count_if(weekend), F.count(F.lit(1))).alias("weekend_shopper"),
+        S.ratio(F.count_if(morning), F.count(F.lit(1))).alias("morning_shopper"),
     )
 
 

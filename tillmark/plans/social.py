@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
 
-ONE = F.lit(1)
 
 
 def clean_text(text: Column) -> Column:
@@ -67,7 +66,7 @@ def classify(scored: DataFrame, margin: float = 0.05) -> DataFrame:
 
 def sentiment_by(classified: DataFrame, *keys) -> DataFrame:
     return classified.groupBy(*keys).agg(
-        F.count(ONE).alias("posts"),
+        F.count(F.lit(1)).alias("posts"),
         F.count_if(F.col("sentiment") == "positive").alias("positive"),
         F.count_if(F.col("sentiment") == "negative").alias("negative"),
         F.count_if(F.col("sentiment") == "neutral").alias("neutral"),
@@ -76,7 +75,7 @@ def sentiment_by(classified: DataFrame, *keys) -> DataFrame:
 
 
 def stability(scored: DataFrame, by: str = "brand") -> DataFrame:
-    return scored.groupBy(by).agg(F.stddev_samp("polarity").alias("polarity_std"), F.count(ONE).alias("posts"))
+    return scored.groupBy(by).agg(F.stddev_samp("polarity").alias("polarity_std"), F.count(F.lit(1)).alias("posts"))
 
 
 def engagement_correlation(scored: DataFrame, by: str | None = None) -> DataFrame:
