@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillmark.catalog.base import define, query
 from tillmark.plans import campaign as C
 from tillmark.plans import social as P
+from tillmark.sources.tables import literal_table
 
 # The lexicon used against the given documents, and its negators.
 LEXICON = {
@@ -145,7 +146,7 @@ MIX = """count(*) AS posts, count(*) FILTER (sentiment = 'positive') AS positive
 
 
 def lexicon(t):
-    return t.spark.createDataFrame(list(LEXICON.items()), "token string, weight double")
+    return literal_table(t.spark, list(LEXICON.items()), ["token", "weight"])
 
 
 def scored_posts(t):

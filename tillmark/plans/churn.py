@@ -75,14 +75,20 @@ class Retail:
 
     def product_mix(self) -> DataFrame:
         """Per receipt, department and category: spend and items of known products."""
-        per_product = self.lines.groupBy("receipt_id", "product_code").agg(
-            F.sum("value").alias("spend"), F.sum("qty").alias("items")
-        )
-        named = self.reachable.join(per_product, "receipt_id").join(
-            self.products.select("product_code", "department_name", "category_code"), "product_code"
-        )
-        return named.groupBy("receipt_id", "customer_id", TS, "department_name", "category_code").agg(
-            F.sum("spend").alias("spend"), F.sum("items").alias("items")
+        return self.basket_mix().filter("known").drop("known")
+
+    def basket_mix(self) -> DataFrame:
+        """Reachable receipts with their lines summed by department and category.
+
+        Receipts without lines and lines of unknown products stay, the latter
+        with `known` false. Lines are shuffled once, on the receipt.
+        """
+        named = self.products.select("product_code", "department_name", "category_code", F.lit(True).alias("known"))
+        lines = self.lines.select("receipt_id", "product_code", "value", "qty")
+        joined = self.reachable.join(lines, "receipt_id", "left").join(named, "product_code", "left")
+        keys = ["receipt_id", "customer_id", TS, "department_name", "category_code", "known"]
+        return joined.groupBy(*keys).agg(F.sum("value").alias("spend"), F.sum("qty").alias("items")).withColumn(
+            "known", F.coalesce("known", F.lit(False))
         )
 
 
@@ -222,74 +228,59 @@ def churn_labels(receipts: DataFrame, grid: Grid, horizon_days: int = 28) -> Dat
 
 
 # ---- the assembled table ----------------------------------------------------
-def receipt_block(r: Retail) -> DataFrame:
-    """All features that need receipts and their totals, in one pass over one expansion."""
-    per_receipt = r.lines.groupBy("receipt_id").agg(F.sum("value").alias("spend"), F.sum("qty").alias("items"))
-    seen = lookback(r.reachable.join(per_receipt, "receipt_id", "left"), r.grid, TS, 60, 0, closed="left")
-    ts, d = F.col(TS), F.col("prediction_date")
-    now, earlier = in_window(ts, d, 30, 1), in_window(ts, d, 60, 31)
-    with_lines = now & F.col("spend").isNotNull()
-    n_lines = F.count_if(with_lines)
-    block = seen.groupBy(*KEYS).agg(
-        F.count_if(now).alias("visits_30days"),
-        F.sum(F.when(now, F.col("spend"))).cast("double").alias("total_spend_30days"),
-        F.datediff(F.first("prediction_date"), F.max(TS)).alias("days_since_last_visit"),
-        S.rounded_ratio(F.sum(F.when(now, F.col("spend"))), n_lines).alias("avg_basket_value"),
-        S.rounded_ratio(F.sum(F.when(now, F.col("items"))), n_lines).alias("avg_items_per_visit"),
-        S.rounded_ratio(100 * F.count_if(now & S.is_weekend(ts)), F.count_if(now)).alias("shop_weekend_pct"),
-        ((F.count_if(earlier) >= 3) & (F.count_if(now) == 0)).cast("int").alias("habitual_then_stopped"),
-    )
-    return block.filter(F.col("visits_30days") > 0)
+def feature_block(r: Retail, with_lags: bool) -> DataFrame:
+    """All features that need lines, from one scan and one expansion.
 
-
-def product_block(r: Retail) -> DataFrame:
-    """Departments, categories and both lag blocks from one expansion of the product mix."""
-    seen = lookback(r.product_mix(), r.grid, TS, 90, 1)
+    A basket row contributes to three counts: its receipt, its department and
+    its category. Rows are first summed per (date, customer, kind, key), which
+    settles the distinct counts, and then folded to (date, customer).
+    """
+    seen = lookback(r.basket_mix(), r.grid, TS, 90 if with_lags else 60, 0, closed="left")
     ts, d = F.col(TS), F.col("prediction_date")
-    windows = {
-        "now": in_window(ts, d, 30, 1),
-        "lag1": in_window(ts, d, 60, 30, "right"),
-        "lag2": in_window(ts, d, 90, 60, "right"),
-    }
-
-    def per_group(column: str, kind: str) -> DataFrame:
-        measures = [F.sum(F.when(windows["now"], F.col("items"))).alias("items")]
-        measures += [F.bool_or(w).alias(name) for name, w in windows.items()]
-        return seen.filter(F.col(column).isNotNull()).groupBy(*KEYS, column).agg(*measures)
-
-    department = per_group("department_name", "department")
-    rank = F.struct(-F.coalesce("items", F.lit(0)), F.col("department_name"))
-    top = department.filter("now").groupBy(*KEYS).agg(
-        F.min_by("department_name", rank).alias("most_common_department")
-    )
-    category = per_group("category_code", "category")
-    counted = category.groupBy(*KEYS).agg(
-        F.count_if("now").alias("c0"), F.count_if("lag1").alias("c1"), F.count_if("lag2").alias("c2")
+    now, known = in_window(ts, d, 30, 1), F.col("known")
+    lags = {}
+    if with_lags:
+        lags = {"lag1": in_window(ts, d, 60, 30, "right") & known, "lag2": in_window(ts, d, 90, 60, "right") & known}
+    kinds = {"r": F.col("receipt_id").cast("string"), "d": F.col("department_name"), "c": F.col("category_code")}
+    units = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in kinds.items()])
+    rows = seen.withColumn("_u", F.explode(units)).filter("_u.key IS NOT NULL")
+    units_summed = rows.groupBy(*KEYS, F.col("_u.kind").alias("kind"), F.col("_u.key").alias("key")).agg(
+        F.max(TS).alias("seen"),
+        F.bool_or(now).alias("now"),
+        F.bool_or(now & F.col("spend").isNotNull()).alias("with_lines"),
+        F.bool_or(in_window(ts, d, 60, 31)).alias("earlier"),
+        F.bool_or(now & S.is_weekend(ts)).alias("weekend"),
+        F.sum(F.when(now, F.col("spend"))).alias("spend"),
+        F.sum(F.when(now, F.col("items"))).alias("items"),
+        *[F.bool_or(w).alias(name) for name, w in lags.items()],
+        *[F.sum(F.when(w, F.col("spend"))).alias(f"spend_{name}") for name, w in lags.items()],
     )
-    per_receipt = seen.groupBy(*KEYS, "receipt_id", TS).agg(F.sum("spend").alias("spend"))
-    money = per_receipt.groupBy(*KEYS).agg(
-        *[F.count_if(windows[w]).alias(f"n_{w}") for w in ("lag1", "lag2")],
-        *[F.sum(F.when(windows[w], F.col("spend"))).alias(f"s_{w}") for w in ("lag1", "lag2")],
-    )
-    joined = money.join(counted, KEYS, "left").join(top, KEYS, "left")
-
-    def present(flag: str, value: Column) -> Column:
-        return F.when(F.col(flag) > 0, value)
-
-    out = [
-        *KEYS,
-        "most_common_department",
-        F.when(F.col("c0") > 0, F.col("c0")).alias("unique_categories_30days"),
+    receipt, department, category = (F.col("kind") == k for k in kinds)
+    n_lines, visits = F.count_if(receipt & F.col("with_lines")), F.count_if(receipt & F.col("now"))
+    spend, items = F.sum(F.when(receipt, F.col("spend"))), F.sum(F.when(receipt, F.col("items")))
+    rank = F.struct(-F.coalesce("items", F.lit(0)), F.col("key"))
+    n_categories = F.count_if(category & F.col("now"))
+    measures = [
+        visits.alias("visits_30days"),
+        spend.cast("double").alias("total_spend_30days"),
+        F.datediff("prediction_date", F.max("seen")).alias("days_since_last_visit"),
+        S.rounded_ratio(spend, n_lines).alias("avg_basket_value"),
+        F.min_by("key", F.when(department & F.col("now"), rank)).alias("most_common_department"),
+        S.rounded_ratio(items, n_lines).alias("avg_items_per_visit"),
+        F.when(n_categories > 0, n_categories).alias("unique_categories_30days"),
+        S.rounded_ratio(100 * F.count_if(receipt & F.col("weekend")), visits).alias("shop_weekend_pct"),
+        ((F.count_if(receipt & F.col("earlier")) >= 3) & (visits == 0)).cast("int").alias("habitual_then_stopped"),
     ]
-    for w, c in (("lag1", "c1"), ("lag2", "c2")):
-        n, s = F.col(f"n_{w}"), F.col(f"s_{w}")
-        out += [
-            present(f"n_{w}", n).alias(f"visits_{w}_30days"),
-            present(f"n_{w}", s.cast("double")).alias(f"total_spend_{w}_30days"),
-            present(f"n_{w}", F.coalesce(F.col(c), F.lit(0))).alias(f"unique_categories_{w}_30days"),
-            present(f"n_{w}", S.ratio(s, n)).alias(f"avg_basket_value_{w}_30days"),
+    for name in lags:
+        n = F.count_if(receipt & F.col(name))
+        s = F.sum(F.when(receipt, F.col(f"spend_{name}")))
+        measures += [
+            F.when(n > 0, n).alias(f"visits_{name}_30days"),
+            F.when(n > 0, s.cast("double")).alias(f"total_spend_{name}_30days"),
+            F.when(n > 0, F.count_if(category & F.col(name))).alias(f"unique_categories_{name}_30days"),
+            F.when(n > 0, S.ratio(s, n)).alias(f"avg_basket_value_{name}_30days"),
         ]
-    return joined.select(*out)
+    return units_summed.groupBy(*KEYS).agg(*measures).filter(F.col("visits_30days") > 0)
 
 
 BASE_FEATURES = [
@@ -300,20 +291,13 @@ BASE_FEATURES = [
 
 
 def featured_table(r: Retail, with_lags: bool = False) -> DataFrame:
-    """The grid of recent visitors with all features; the sides share their partitioning."""
-    products = product_block(r)
-    keep = products.columns if with_lags else [*KEYS, "most_common_department", "unique_categories_30days"]
+    """The grid of recent visitors with all features."""
+    block = feature_block(r, with_lags)
     ages = r.customers.filter(F.col("dob").isNotNull()).select("customer_id", "dob")
-    table = (
-        receipt_block(r)
-        .join(products.select(*keep), KEYS, "left")
-        .join(visit_gap_stats(r), KEYS, "left")
-        .join(ages, "customer_id", "left")
-    )
+    table = block.join(visit_gap_stats(r), KEYS, "left").join(ages, "customer_id", "left")
     age = F.floor(F.datediff("prediction_date", "dob") / 365.25).cast("bigint")
-    table = table.withColumn("customer_age", age)
-    lags = [c for c in products.columns if "_lag" in c] if with_lags else []
-    return table.select(*KEYS, *BASE_FEATURES, *lags)
+    lags = [c for c in block.columns if "_lag" in c]
+    return table.withColumn("customer_age", age).select(*KEYS, *BASE_FEATURES, *lags)
 
 
 def enriched_table(r: Retail, horizon_days: int = 28) -> DataFrame:

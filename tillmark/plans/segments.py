@@ -111,21 +111,41 @@ def mean_visit_gap(baskets: DataFrame, chunk_days: float = 1.0) -> DataFrame:
 
 
 def rfm(baskets: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """Recency, frequency, monetary value and the engineered features in one table."""
-    summary = customer_summary(baskets)
-    parts = [
-        recency(baskets),
-        time_shares(baskets),
-        category_specialization(baskets),
-        mean_visit_gap(baskets),
-        monthly_visits(baskets),
-        basket_ratios(summary),
-        spend_concentration(category_spends(baskets, categories), categories),
-    ]
-    base = summary.select(KEY, F.col("baskets").alias("frequency"), F.col("total_spend").cast("double").alias("monetary"))
-    table = reduce(lambda a, b: a.join(b, KEY, "left"), parts, base)
-    filled = table.na.fill({"weekend_shopper": 0.0, "morning_shopper": 0.0})
-    return impute_median(filled, ["recency_last_purchase", "category_specialization", "churn_risk"])
+    """Recency, frequency, monetary value and the engineered features in one table.
+
+    Everything that is a plain aggregate of the baskets comes from one pass;
+    visits per period and visit gaps need a step of their own.
+    """
+    newest = baskets.agg(F.max(TS)).scalar()
+    n = F.count(F.lit(1))
+    quantity, spend = F.sum("basket_quantity"), F.sum("basket_spend")
+    per_category = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("basket_spend"))), F.lit(0)) for c in categories]
+    base = baskets.groupBy(KEY).agg(
+        n.alias("frequency"),
+        spend.cast("double").alias("monetary"),
+        F.max(TS).alias("_last"),
+        S.ratio(F.count_if(S.is_weekend(F.col(TS))), n).alias("weekend_shopper"),
+        S.ratio(F.count_if(S.is_morning(F.col(TS))), n).alias("morning_shopper"),
+        S.ratio(F.sum("basket_categories"), F.count("basket_categories")).alias("category_specialization"),
+        S.safe_ratio(spend, quantity).alias("avg_spend_per_item"),
+        S.safe_ratio(spend, n).alias("avg_basket_spend"),
+        S.safe_ratio(quantity, n).alias("avg_item_count"),
+        F.array(*per_category).alias("_spends"),
+    )
+    zero = F.lit(0).cast("decimal(28,2)")
+    top = F.aggregate(F.slice(F.sort_array("_spends", asc=False), 1, 3), zero, lambda a, x: (a + x).cast("decimal(28,2)"))
+    total = F.aggregate("_spends", zero, lambda a, x: (a + x).cast("decimal(28,2)"))
+    base = base.withColumns(
+        {
+            "recency_last_purchase": S.elapsed_days(F.col("_last"), newest),
+            "spend_concentration": S.safe_ratio(top, total),
+        }
+    ).drop("_last", "_spends")
+    table = base.join(monthly_visits(baskets), KEY, "left").join(mean_visit_gap(baskets), KEY, "left")
+    # Recency and category counts exist for every customer with a basket; a single visit leaves no gap.
+    return impute_median(table, ["churn_risk"]).withColumn(
+        "recency_last_purchase", F.col("recency_last_purchase").cast("double")
+    )
 
 
 def log_minmax(df: DataFrame, cols: Sequence[str], log: bool = True) -> DataFrame:

@@ -17,16 +17,17 @@ from tillmark.functions import scalars as S
 
 
 
-def clean_text(text: Column) -> Column:
-    """Lower case, links, mentions and hashtags' signs removed, letters and blanks kept."""
-    out = F.lower(text)
-    out = F.regexp_replace(out, r"https?://\S+", " ")
-    out = F.regexp_replace(out, r"@\w+", " ")
-    return F.trim(F.regexp_replace(out, r"[^a-z]+", " "))
+# Links, mentions, and runs of anything that is not a letter separate words.
+WORD_BREAK = r"https?://\S+|@\w*|[^a-z@]+"
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(clean_text(text), " "), lambda w: w != "")
+    """Lower-case words of the whole text; links and mentions are dropped."""
+    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+
+
+def clean_text(text: Column) -> Column:
+    return F.array_join(tokens(text), " ")
 
 
 def tokenize(posts: DataFrame, keep: Sequence[str] = ("post_id",)) -> DataFrame:

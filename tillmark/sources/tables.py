@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,18 @@ REGION_REFERENCE = [
 ]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Small in-line table. Spark knows its size, so its own broadcast threshold applies to it."""
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def region_reference(spark: SparkSession) -> DataFrame:
-    """Three-row literal table with declared types."""
-    rows = spark.createDataFrame(
-        REGION_REFERENCE, "region string, population int, disposable_income int, spend string"
-    )
+    """Three-row reference table with declared types."""
+    rows = literal_table(spark, REGION_REFERENCE, ["region", "population", "disposable_income", "spend"])
     return rows.select(
-        "region", "population", "disposable_income",
+        "region", F.col("population").cast("int").alias("population"),
+        F.col("disposable_income").cast("int").alias("disposable_income"),
         F.col("spend").cast("decimal(10,2)").alias("grocery_spending"),
     )
 
