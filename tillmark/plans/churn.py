@@ -244,6 +244,8 @@ def feature_block(r: Retail, with_lags: bool) -> DataFrame:
     kinds = {"r": F.col("receipt_id").cast("string"), "d": F.col("department_name"), "c": F.col("category_code")}
     units = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in kinds.items()])
     rows = seen.withColumn("_u", F.explode(units)).filter("_u.key IS NOT NULL")
+    # Departments and categories count inside the feature windows only.
+    rows = rows.filter((F.col("_u.kind") == "r") | reduce(lambda a, b: a | b, [now, *lags.values()]))
     units_summed = rows.groupBy(*KEYS, F.col("_u.kind").alias("kind"), F.col("_u.key").alias("key")).agg(
         F.max(TS).alias("seen"),
         F.bool_or(now).alias("now"),

@@ -40,17 +40,20 @@ def polarity(posts: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ("n
 
     A hit right after a negator counts with the opposite sign.
     """
-    words = posts.select("post_id", *keep, tokens(F.col("text")).alias("_w"))
-    # Each token travels with the one before it, so negation needs no second pass.
-    paired = F.transform(
-        F.col("_w"), lambda w, i: F.struct(w.alias("token"), F.get(F.col("_w"), i - 1).alias("before"))
+    words = posts.select("post_id", *keep, tokens(F.col("text")).alias("_w")).withColumn("n_tokens", F.size("_w"))
+    # Each token travels with the one before it. The empty token closing every post keeps posts without any
+    # hit through the inner join, which drops all other misses before the aggregation.
+    end = F.array(F.lit(""))
+    paired = F.arrays_zip(
+        F.concat(F.col("_w"), end).alias("token"), F.concat(F.array(F.lit(None).cast("string")), "_w").alias("before")
     )
-    exploded = words.select("post_id", *keep, F.explode_outer(paired).alias("t")).select("post_id", *keep, "t.*")
-    matched = exploded.join(lexicon, "token", "left")
-    sign = F.when(F.col("before").isin(list(negators)), -F.col("weight")).otherwise(F.col("weight"))
-    out = matched.groupBy("post_id", *keep).agg(
-        F.count("token").alias("n_tokens"), F.count("weight").alias("hits"), F.sum(sign).alias("_s")
+    keys = ["post_id", *keep, "n_tokens"]
+    exploded = words.select(*keys, F.explode(paired).alias("t")).select(*keys, "t.*")
+    entries = lexicon.select("token", "weight", F.lit(1).alias("hit")).unionByName(
+        lexicon.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0.0).alias("weight"), F.lit(0).alias("hit"))
     )
+    sign = F.when(F.col("before").isin(list(negators)), -F.col("weight")).otherwise(F.col("weight"))
+    out = exploded.join(entries, "token").groupBy(*keys).agg(F.sum("hit").alias("hits"), F.sum(sign).alias("_s"))
     return out.select(
         "post_id", *keep, "n_tokens", "hits",
         S.safe_ratio(F.col("_s"), F.col("hits")).alias("polarity"),
