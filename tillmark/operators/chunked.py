@@ -1,9 +1,10 @@
-"""Row-order operators that split a long key into time chunks.
+"""Row-order operators that split dominant keys into time chunks.
 
 `lag`, `last non-null` and running totals over one key normally put the whole
-key into one task. Here a key is cut into chunks of the order column; the
-window runs inside (key, chunk), and a summary with one row per (key, chunk)
-carries the state across chunk borders. The result equals the plain window.
+key into one task. Here keys that hold an unusual share of the rows are found
+first and cut into chunks of the order column; the window runs inside (key,
+chunk), and a summary with one row per (hot key, chunk) carries the state across
+chunk borders. All other keys stay whole. The result equals the plain window.
 """
 
 from __future__ import annotations
@@ -17,18 +18,45 @@ from pyspark.sql import functions as F
 from tillmark.functions.scalars import DAY_MICROS, micros
 
 CHUNK = "_chunk"
+HOT = "_hot"
+
+# A key is hot above this many rows and above one in HOT_SHARE of all rows, so
+# there are fewer than HOT_SHARE hot keys whatever the size of the table.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 10_000
 
 
 def time_chunk(ts: str, days: float) -> Column:
     return F.floor(micros(F.col(ts)) / F.lit(float(days * DAY_MICROS)))
 
 
+def null_safe(keys: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
+def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
+    """Keys above the limits; fewer than `share` rows by construction."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.greatest(F.lit(float(rows)), total / F.lit(float(share)))
+    return counted.filter(F.col("_n") > limit).drop("_n")
+
+
+def with_chunks(df: DataFrame, by: Sequence[str], ts: str, days: float, rows: int | None = None,
+                share: int | None = None) -> DataFrame:
+    """Add the chunk number: time-based for hot keys, 0 for the rest."""
+    hot = hot_keys(df.select(*by), by, HOT_ROWS if rows is None else rows, HOT_SHARE if share is None else share)
+    marked = hot.withColumnsRenamed({k: f"_h{k}" for k in by}).withColumn(HOT, F.lit(True))
+    joined = df.join(F.broadcast(marked), null_safe(by, "_h"), "left").drop(*[f"_h{k}" for k in by])
+    is_hot = F.coalesce(HOT, F.lit(False))
+    return joined.withColumn(HOT, is_hot).withColumn(CHUNK, F.when(F.col(HOT), time_chunk(ts, days)).otherwise(0))
+
+
 def attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on (key, chunk) in which null keys match each other."""
     keys = [*by, CHUNK]
     renamed = summary.withColumnsRenamed({k: f"_r{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys])
-    return df.join(renamed, on, "left").drop(*[f"_r{k}" for k in keys])
+    return df.join(renamed, null_safe(keys, "_r"), "left").drop(*[f"_r{k}" for k in keys])
 
 
 def neighbour(
@@ -40,19 +68,25 @@ def neighbour(
     days: float,
     tiebreak: Sequence[str] = (),
     forward: bool = False,
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
-    """`lag(value)` (or `lead`) over (partition by `by` order by `ts`, tiebreak)."""
+    """`lag(value)` (or `lead`) over (partition by `by` order by `ts`, tiebreak).
+
+    `chunks` takes the frame from `with_chunks` where several operators share it;
+    the chunk columns are then kept.
+    """
     order = [F.col(ts), *[F.col(c) for c in tiebreak]]
-    chunked = df.withColumn(CHUNK, time_chunk(ts, days))
+    chunked = chunks if chunks is not None else with_chunks(df, by, ts, days)
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
     across = Window.partitionBy(*by).orderBy(CHUNK)
     boxed = F.struct(F.col(value).alias("v"))
     pick = F.min_by if forward else F.max_by
     shift = F.lead if forward else F.lag
-    edges = chunked.groupBy(*by, CHUNK).agg(pick(boxed, F.struct(*order)).alias("_edge"))
+    edges = chunked.filter(HOT).groupBy(*by, CHUNK).agg(pick(boxed, F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_edge", shift("_edge").over(across))
     near = chunked.withColumn("_near", shift(boxed).over(inside))
-    return attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge", CHUNK)
+    found = attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
+    return found if chunks is not None else found.drop(CHUNK, HOT)
 
 
 def last_known(
@@ -66,15 +100,15 @@ def last_known(
 ) -> DataFrame:
     """Latest non-null `value` up to and including each row."""
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    chunked = df.withColumn(CHUNK, time_chunk(ts, days))
+    chunked = with_chunks(df, by, ts, days)
     inside = Window.partitionBy(*by, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = chunked.groupBy(*by, CHUNK).agg(
+    edges = chunked.filter(HOT).groupBy(*by, CHUNK).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), order)).alias("_edge")
     )
     edges = edges.withColumn("_edge", F.last("_edge", ignorenulls=True).over(across))
     near = chunked.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    return attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")).drop("_near", "_edge", CHUNK)
+    return attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")).drop("_near", "_edge", CHUNK, HOT)
 
 
 def running_sum(
@@ -88,10 +122,10 @@ def running_sum(
 ) -> DataFrame:
     """Sum of `value` from the start of the key up to and including each row."""
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    chunked = df.withColumn(CHUNK, time_chunk(ts, days))
+    chunked = with_chunks(df, by, ts, days)
     inside = Window.partitionBy(*by, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.groupBy(*by, CHUNK).agg(F.sum(value).alias("_before"))
+    totals = chunked.filter(HOT).groupBy(*by, CHUNK).agg(F.sum(value).alias("_before"))
     totals = totals.withColumn("_before", F.sum("_before").over(across))
     near = chunked.withColumn("_near", F.sum(value).over(inside))
     # A key with no value yet stays null, as with the plain window.
@@ -99,7 +133,7 @@ def running_sum(
         F.col("_near").isNotNull() | F.col("_before").isNotNull(),
         F.coalesce("_near", F.lit(0)) + F.coalesce("_before", F.lit(0)),
     )
-    return attach(near, totals, by).withColumn(out, total).drop("_near", "_before", CHUNK)
+    return attach(near, totals, by).withColumn(out, total).drop("_near", "_before", CHUNK, HOT)
 
 
 def bounce_rate(
@@ -112,8 +146,9 @@ def bounce_rate(
     where the gap after does too, so no session id is needed.
     """
     limit = gap_seconds * 1_000_000
-    df = neighbour(events, [user], ts, ts, "_prev", days, tiebreak)
-    df = neighbour(df, [user], ts, ts, "_next", days, tiebreak, forward=True)
+    chunks = with_chunks(events, [user], ts, days)
+    df = neighbour(events, [user], ts, ts, "_prev", days, tiebreak, chunks=chunks)
+    df = neighbour(df, [user], ts, ts, "_next", days, tiebreak, forward=True, chunks=df)
     now = micros(F.col(ts))
     starts = F.col("_prev").isNull() | (now - micros(F.col("_prev")) > limit)
     ends = F.col("_next").isNull() | (micros(F.col("_next")) - now > limit)

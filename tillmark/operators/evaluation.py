@@ -41,7 +41,7 @@ def balanced_accuracy(scored: DataFrame, threshold: float = 0.5, by: Sequence[st
     return table.select(*by, ((recalls[0] + recalls[1]) / 2).alias("balanced_accuracy"))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int = 1024) -> DataFrame:
     """Exact area under the ROC curve, ties counted half.
 
     Rows shrink to one per distinct score before any ordering takes place.

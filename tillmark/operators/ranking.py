@@ -28,7 +28,7 @@ def value_ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=order, outputCol=RANGE).transform(df)
 
 
-def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], ranges: int = 64, by: Sequence[str] = ()) -> DataFrame:
+def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], ranges: int = 1024, by: Sequence[str] = ()) -> DataFrame:
     """Add `<col>_before`: the sum of `col` over the rows (of the same `by`) with a smaller `order` value.
 
     `order` must be unique (within `by`); aggregate by it first.
@@ -45,7 +45,7 @@ def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], ranges: int = 64
     return joined.select(*df.columns, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in cols])
 
 
-def average_ranks(df: DataFrame, col: str, out: str = "avg_rank", descending: bool = False, ranges: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, out: str = "avg_rank", descending: bool = False, ranges: int = 1024) -> DataFrame:
     """Rank of each row's value, ties sharing the mean of their ranks."""
     sign = -1 if descending else 1
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -55,7 +55,7 @@ def average_ranks(df: DataFrame, col: str, out: str = "avg_rank", descending: bo
     return df.join(ranked, col, "left")
 
 
-def positions(df: DataFrame, key: Sequence[str], out: str, seed: int = 0, buckets: int = 256) -> DataFrame:
+def positions(df: DataFrame, key: Sequence[str], out: str, seed: int = 0, buckets: int = 8192) -> DataFrame:
     """Number the rows 0..n-1 in a repeatable shuffled order; `key` must be unique."""
     parts = [F.lit(seed), *[F.col(c) for c in key]]
     tagged = df.withColumn(RANGE, hash_bucket(buckets, *parts)).withColumn(

@@ -73,24 +73,28 @@ class Retail:
         per_receipt = self.lines.groupBy("receipt_id").agg(F.sum("value").alias("spend"), F.sum("qty").alias("items"))
         return self.reachable.join(per_receipt, "receipt_id")
 
-    def product_mix(self) -> DataFrame:
-        """Per receipt, department and category: spend and items of known products."""
-        return self.basket_mix().filter("known").drop("known")
+    def line_mix(self) -> DataFrame:
+        """Lines of reachable receipts summed by department and category; `known` marks listed products.
 
-    def basket_mix(self) -> DataFrame:
-        """Reachable receipts with their lines summed by department and category.
-
-        Receipts without lines and lines of unknown products stay, the latter
-        with `known` false. Lines are shuffled once, on the receipt.
+        An inner join, so either side may be split where one receipt dominates.
         """
         named = self.products.select("product_code", "department_name", "category_code", F.lit(True).alias("known"))
         lines = self.lines.select("receipt_id", "product_code", "value", "qty")
-        joined = self.reachable.join(lines, "receipt_id", "left").join(named, "product_code", "left")
+        joined = lines.join(self.reachable, "receipt_id").join(named, "product_code", "left")
         keys = ["receipt_id", "customer_id", TS, "department_name", "category_code", "known"]
         return joined.groupBy(*keys).agg(F.sum("value").alias("spend"), F.sum("qty").alias("items")).withColumn(
             "known", F.coalesce("known", F.lit(False))
         )
 
+    def product_mix(self) -> DataFrame:
+        """Per receipt, department and category: spend and items of known products."""
+        return self.line_mix().filter("known").drop("known")
+
+    def basket_mix(self) -> DataFrame:
+        """The line mix plus one bare row per reachable receipt, so receipts without lines are kept."""
+        bare = self.reachable.withColumn("known", F.lit(False))
+        return self.line_mix().unionByName(bare, allowMissingColumns=True)
+
 
 def recent(df: DataFrame, grid: Grid) -> DataFrame:
     """The closed window [d-30, d-1]."""

@@ -53,7 +53,7 @@ def market_panel(
     panel = attach_metadata(bars, metadata)
     panel = asof_join(
         panel, pivot_metrics(periodic, metrics), on=DAY, right_on="period_end", by=[ID],
-        tolerance_days=tolerance_days, chunk_days=365, lag_days=lag_days,
+        tolerance_days=tolerance_days, chunk_days=None, lag_days=lag_days,
     )
     return panel.join(macro, DAY, "left")
 
