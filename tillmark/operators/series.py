@@ -96,13 +96,16 @@ def last_of_streak(df: DataFrame, by: str, date: str, max_gap_days: int = 1) ->
     return tagged.filter(F.col("_next").isNull() | (F.col("_next") > max_gap_days)).drop("_next")
 
 
-def rsi(df: DataFrame, by: str, order: str, col: str, n: int = 14, out: str = "rsi", block: int = 1024) -> DataFrame:
+def rsi(df: DataFrame, by: str, order: str, col: str, n: int = 14, out: str = "rsi", block: int | None = None) -> DataFrame:
     """Relative strength index with exponential smoothing (weight 1/n), null for the first n-1 rows.
 
     The recursion y = (1-a) y' + a x is a weighted running sum. Weights are
     taken relative to the start of a block of rows and each block's final value
     is carried into the next, so they stay within double range for any length.
+    A block spans at least 64 n rows; what lies two blocks back weighs less than
+    the rounding of a double.
     """
+    block = block or max(1024, 64 * n)
     decay = 1.0 - 1.0 / n
     w = entity_window(by, order)
     change = F.col(col) - F.lag(col).over(w)
