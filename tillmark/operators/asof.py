@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.scalars import DAY_MICROS, micros
-from tillmark.operators.chunked import CHUNK, HOT, attach, with_chunks
+from tillmark.operators.chunked import CHUNK, HOT, across_chunks, chunk_key, with_chunks
 
 
 def asof_join(
@@ -47,18 +47,18 @@ def asof_join(
     # The known time travels with the match so that the tolerance can be checked after the carry.
     stacked = stacked.withColumn("_match", F.when(F.col("_is_left") == 0, F.struct("_t", F.col("_match").alias("m"))))
     if chunk_days is None:
-        stacked = stacked.withColumn(CHUNK, F.lit(0))
+        stacked = stacked.withColumn(CHUNK, chunk_key(by, F.lit(0)))
     else:
         stacked = with_chunks(stacked, by, "_t", chunk_days)
     inside = (
-        Window.partitionBy(*by, CHUNK).orderBy("_t", "_is_left", "_match").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(CHUNK).orderBy("_t", "_is_left", "_match").rowsBetween(Window.unboundedPreceding, 0)
     )
     found = stacked.withColumn("_found", F.last("_match", ignorenulls=True).over(inside)).filter("_is_left = 1")
     if chunk_days is not None:
-        across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        edges = stacked.filter(HOT).groupBy(*by, CHUNK).agg(F.max("_match").alias("_carry"))
+        across = across_chunks(by).rowsBetween(Window.unboundedPreceding, -1)
+        edges = stacked.filter(HOT).groupBy(CHUNK).agg(F.max("_match").alias("_carry"))
         edges = edges.withColumn("_carry", F.last("_carry", ignorenulls=True).over(across))
-        found = attach(found, edges, by).withColumn("_found", F.coalesce("_found", "_carry"))
+        found = found.join(edges, CHUNK, "left").withColumn("_found", F.coalesce("_found", "_carry"))
     age = micros(F.col("_t")) - micros(F.col("_found._t"))
     fresh = F.when(age <= int(tolerance_days * DAY_MICROS), F.col("_found.m"))
     extra = [F.col(f"_fresh.{c}").alias(c) for c in payload]

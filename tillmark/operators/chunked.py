@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tillmark.functions.scalars import DAY_MICROS, micros
@@ -42,21 +42,25 @@ def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS, share: int
     return counted.filter(F.col("_n") > limit).drop("_n")
 
 
+def chunk_key(by: Sequence[str], number: Column) -> Column:
+    """Key and chunk number in one struct. Null keys inside a struct equal each other, so the same column
+    serves the window and the join that follows, and the rows are shuffled once for both."""
+    return F.struct(*by, number.cast("bigint").alias("_n"))
+
+
 def with_chunks(df: DataFrame, by: Sequence[str], ts: str, days: float, rows: int | None = None,
                 share: int | None = None) -> DataFrame:
-    """Add the chunk number: time-based for hot keys, 0 for the rest."""
+    """Add the chunk: time-based for hot keys, one for each of the rest."""
     hot = hot_keys(df.select(*by), by, HOT_ROWS if rows is None else rows, HOT_SHARE if share is None else share)
     marked = hot.withColumnsRenamed({k: f"_h{k}" for k in by}).withColumn(HOT, F.lit(True))
     joined = df.join(F.broadcast(marked), null_safe(by, "_h"), "left").drop(*[f"_h{k}" for k in by])
-    is_hot = F.coalesce(HOT, F.lit(False))
-    return joined.withColumn(HOT, is_hot).withColumn(CHUNK, F.when(F.col(HOT), time_chunk(ts, days)).otherwise(0))
+    joined = joined.withColumn(HOT, F.coalesce(HOT, F.lit(False)))
+    return joined.withColumn(CHUNK, chunk_key(by, F.when(F.col(HOT), time_chunk(ts, days)).otherwise(0)))
 
 
-def attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join on (key, chunk) in which null keys match each other."""
-    keys = [*by, CHUNK]
-    renamed = summary.withColumnsRenamed({k: f"_r{k}" for k in keys})
-    return df.join(renamed, null_safe(keys, "_r"), "left").drop(*[f"_r{k}" for k in keys])
+def across_chunks(by: Sequence[str]) -> WindowSpec:
+    """Order of the chunks of one key."""
+    return Window.partitionBy(*[F.col(CHUNK)[k] for k in by]).orderBy(F.col(CHUNK)["_n"])
 
 
 def neighbour(
@@ -77,15 +81,15 @@ def neighbour(
     """
     order = [F.col(ts), *[F.col(c) for c in tiebreak]]
     chunked = chunks if chunks is not None else with_chunks(df, by, ts, days)
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    across = Window.partitionBy(*by).orderBy(CHUNK)
+    inside = Window.partitionBy(CHUNK).orderBy(*order)
+    across = across_chunks(by)
     boxed = F.struct(F.col(value).alias("v"))
     pick = F.min_by if forward else F.max_by
     shift = F.lead if forward else F.lag
-    edges = chunked.filter(HOT).groupBy(*by, CHUNK).agg(pick(boxed, F.struct(*order)).alias("_edge"))
+    edges = chunked.filter(HOT).groupBy(CHUNK).agg(pick(boxed, F.struct(*order)).alias("_edge"))
     edges = edges.withColumn("_edge", shift("_edge").over(across))
     near = chunked.withColumn("_near", shift(boxed).over(inside))
-    found = attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
+    found = near.join(edges, CHUNK, "left").withColumn(out, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
     return found if chunks is not None else found.drop(CHUNK, HOT)
 
 
@@ -101,14 +105,14 @@ def last_known(
     """Latest non-null `value` up to and including each row."""
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
     chunked = with_chunks(df, by, ts, days)
-    inside = Window.partitionBy(*by, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = chunked.filter(HOT).groupBy(*by, CHUNK).agg(
+    inside = Window.partitionBy(CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    across = across_chunks(by).rowsBetween(Window.unboundedPreceding, -1)
+    edges = chunked.filter(HOT).groupBy(CHUNK).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), order)).alias("_edge")
     )
     edges = edges.withColumn("_edge", F.last("_edge", ignorenulls=True).over(across))
     near = chunked.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    return attach(near, edges, by).withColumn(out, F.coalesce("_near", "_edge")).drop("_near", "_edge", CHUNK, HOT)
+    return near.join(edges, CHUNK, "left").withColumn(out, F.coalesce("_near", "_edge")).drop("_near", "_edge", CHUNK, HOT)
 
 
 def running_sum(
@@ -123,9 +127,9 @@ def running_sum(
     """Sum of `value` from the start of the key up to and including each row."""
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
     chunked = with_chunks(df, by, ts, days)
-    inside = Window.partitionBy(*by, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.filter(HOT).groupBy(*by, CHUNK).agg(F.sum(value).alias("_before"))
+    inside = Window.partitionBy(CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    across = across_chunks(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.filter(HOT).groupBy(CHUNK).agg(F.sum(value).alias("_before"))
     totals = totals.withColumn("_before", F.sum("_before").over(across))
     near = chunked.withColumn("_near", F.sum(value).over(inside))
     # A key with no value yet stays null, as with the plain window.
@@ -133,7 +137,7 @@ def running_sum(
         F.col("_near").isNotNull() | F.col("_before").isNotNull(),
         F.coalesce("_near", F.lit(0)) + F.coalesce("_before", F.lit(0)),
     )
-    return attach(near, totals, by).withColumn(out, total).drop("_near", "_before", CHUNK, HOT)
+    return near.join(totals, CHUNK, "left").withColumn(out, total).drop("_near", "_before", CHUNK, HOT)
 
 
 def bounce_rate(

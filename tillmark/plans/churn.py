@@ -223,7 +223,8 @@ def active_grid(receipts: DataFrame, grid: Grid) -> DataFrame:
 def churn_labels(receipts: DataFrame, grid: Grid, horizon_days: int = 28) -> DataFrame:
     """1 where an active customer buys nothing in (d, d + horizon]; one aggregation, no join."""
     active = active_grid(receipts, grid).withColumn("future", F.lit(0))
-    coming = lookahead(receipts.select("customer_id", TS), grid, TS, horizon_days)
+    known = receipts.filter(F.col("customer_id").isNotNull())  # an unknown customer never returns
+    coming = lookahead(known.select("customer_id", TS), grid, TS, horizon_days)
     coming = coming.select("customer_id", "prediction_date", F.lit(1).alias("future"))
     merged = active.unionByName(coming).groupBy(*KEYS).agg(
         F.min("future").alias("only_future"), (1 - F.max("future")).alias("churned")

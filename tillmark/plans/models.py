@@ -211,8 +211,9 @@ def learning_curve(makers: dict[str, Estimator], frame: DataFrame, key: Sequence
         part = train.filter(F.col("_u") <= fraction)
         for name, estimator in makers.items():
             scored = score(estimator.fit(part), val, ["label"])
-            row = E.roc_auc(scored).join(E.balanced_accuracy(scored)).select(
-                F.lit(float(fraction)).alias("fraction"), F.lit(name).alias("model"), "auc", "balanced_accuracy"
+            row = E.roc_auc(scored).select(
+                F.lit(float(fraction)).alias("fraction"), F.lit(name).alias("model"), "auc",
+                E.balanced_accuracy(scored).scalar().alias("balanced_accuracy"),
             )
             out = row if out is None else out.unionByName(row)
     return out
