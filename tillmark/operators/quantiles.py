@@ -7,9 +7,8 @@ bracket (a few ten-thousandths of the rows) are counted by value and ranked.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
@@ -23,56 +22,37 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     bounds = data.agg(*[F.percentile_approx(c, edges, ACCURACY).alias(c) for c in cols])
     # One reference to the subquery; the expressions below read the attached column.
     data = data.withColumn("_box", bounds.select(F.struct(*cols).alias("b")).scalar())
-
-    def low(c: str, i: int) -> Column:
-        return F.get(F.col("_box")[c], F.lit(2 * i))
-
-    def high(c: str, i: int) -> Column:
-        return F.get(F.col("_box")[c], F.lit(2 * i + 1))
-
-    slots = [(c, i) for c in cols for i in range(len(qs))]
+    # SQL text keeps the number of driver calls small where columns and quantiles multiply.
+    slots = [
+        (c, f"s_{c}_{i}", repr(float(q)) + "D", f"_box.`{c}`[{2 * i}]", f"_box.`{c}`[{2 * i + 1}]")
+        for c in cols
+        for i, q in enumerate(qs)
+    ]
     counts = data.agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
         *[
-            F.struct(
-                F.count_if(F.col(c) < low(c, i)).alias("below"),
-                F.max(F.when(F.col(c) < low(c, i), F.col(c))).alias("before"),
-                F.min(F.when(F.col(c) > high(c, i), F.col(c))).alias("after"),
-            ).alias(f"s_{c}_{i}")
-            for c, i in slots
+            F.expr(
+                f"struct(count_if(`{c}` < {lo}) AS below, max(if(`{c}` < {lo}, `{c}`, NULL)) AS before, "
+                f"min(if(`{c}` > {hi}, `{c}`, NULL)) AS after)"
+            ).alias(name)
+            for c, name, _, lo, hi in slots
         ],
     )
-    targets = counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.lit(float(qs[i])).alias("q"),
-                        F.col(f"n_{c}").alias("n"),
-                        F.col(f"s_{c}_{i}")["below"].alias("below"),
-                        F.col(f"s_{c}_{i}")["before"].alias("before"),
-                        F.col(f"s_{c}_{i}")["after"].alias("after"),
-                    )
-                    for c, i in slots
-                ]
-            )
-        )
-    )
-    inside = F.array(
-        *[
-            F.when(
-                F.col(c).between(low(c, i), high(c, i)),
-                F.struct(F.lit(c).alias("column"), F.lit(float(qs[i])).alias("q"), F.col(c).alias("value")),
-            )
-            for c, i in slots
-        ]
+    rows = ", ".join(
+        f"struct('{c}' AS column, {q} AS q, `n_{c}` AS n, `{name}`.below AS below, `{name}`.before AS before, "
+        f"`{name}`.after AS after)"
+        for c, name, q, _, _ in slots
     )
+    targets = counts.selectExpr(f"inline(array({rows}))")
     # Few rows fall into any bracket; the rest go before anything is exploded.
-    any_hit = reduce(lambda a, b: a | b, [F.col(c).between(low(c, i), high(c, i)) for c, i in slots])
+    hits = [f"`{c}` BETWEEN {lo} AND {hi}" for c, _, _, lo, hi in slots]
+    inside = ", ".join(
+        f"if({hit}, struct('{c}' AS column, {q} AS q, `{c}` AS value), NULL)"
+        for hit, (c, _, q, _, _) in zip(hits, slots, strict=True)
+    )
     counted = (
-        data.filter(any_hit)
-        .select(F.explode(inside).alias("s"))
+        data.filter(" OR ".join(hits))
+        .selectExpr(f"explode(array({inside})) AS s")
         .filter("s IS NOT NULL")
         .select("s.*")
         .groupBy("column", "q", "value")
