@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.session import shared_dir
+from tillmark.session import apply_defaults, shared_dir
 from tillmark.sources.files import run_folder
 
 
@@ -29,3 +29,14 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 def labelled_side(column: str = "doc_id"):
     """True for rows that may teach a model: crc32 of the id's text, modulo 3, is not 1."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 != 1
+
+
+#: Python batches: rows hold whole texts, so their bytes are bounded too.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    apply_defaults(spark)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+    return spark
