@@ -32,7 +32,7 @@ def labelled_side(column: str = "doc_id"):
 
 
 #: Python batches: rows hold whole texts, so their bytes are bounded too.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:

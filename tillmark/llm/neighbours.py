@@ -91,27 +91,36 @@ def nearest_in_chunk(ids, vectors, points, queries, k, reach, norm2, leaf_rows):
     leaves = leaves_of(points, leaf_rows)
     low = np.stack([points[rows].min(axis=0) for rows in leaves])
     high = np.stack([points[rows].max(axis=0) for rows in leaves])
+    order = np.concatenate(leaves)
+    ids, vectors = ids[order], vectors[order]
+    ends = np.cumsum([len(rows) for rows in leaves])
+    starts = ends - [len(rows) for rows in leaves]
     out = []
     for query, vector, point, scale, worst in queries:
         gaps = gap_squared(point, low, high)
         kept_ids, kept = np.empty(0, np.int64), np.empty(0)
-        passed = -1.0
+        passed, least = -1.0, -np.inf
         for at in np.argsort(gaps, kind="stable"):
             # distances are those of the query scaled to the largest norm
             if gaps[at] > passed and gaps[at] > reach * worst:
                 break
             passed = gaps[at]
-            rows = leaves[at]
-            rows = rows[ids[rows] != query]
-            kept_ids = np.concatenate([kept_ids, ids[rows]])
-            kept = np.concatenate([kept, vectors[rows] @ vector])
+            scores = vectors[starts[at] : ends[at]] @ vector
+            fit = np.flatnonzero(scores >= least)
+            fit = fit[ids[starts[at] + fit] != query]
+            if not len(fit):
+                continue
+            kept_ids = np.concatenate([kept_ids, ids[starts[at] + fit]])
+            kept = np.concatenate([kept, scores[fit]])
             if len(kept) > k:
                 best = np.lexsort((kept_ids, -kept))[:k]
                 kept_ids, kept = kept_ids[best], kept[best]
             if len(kept) == k:
-                worst = min(worst, max(0.0, 2 * norm2 - 2 * scale * kept.min()))
-        out.append(pd.DataFrame({"query_id": query, "vec_id": kept_ids, "score": kept}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                least = kept.min()
+                worst = min(worst, max(0.0, 2 * norm2 - 2 * scale * least))
+        out.append((np.full(len(kept), query), kept_ids, kept))
+    asked, near, scores = (np.concatenate(column) for column in zip(*out, strict=True))
+    return pd.DataFrame({"query_id": asked, "vec_id": near, "score": scores})
 
 
 def nearest(

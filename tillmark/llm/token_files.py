@@ -99,14 +99,15 @@ class PieceCache:
     """Ids of space-separated pieces of text, encoded once each by the tokenizer.
 
     A space between two characters that are no white space always begins a new pre-token of a byte-level tokenizer, so
-    the pieces between such spaces can be encoded on their own. New pieces of a batch are joined and encoded in one
-    call; the ids that begin with a space tell them apart again. Texts with other runs of white space around a space
-    are encoded whole. The cache is emptied when it is full, which changes no result.
+    the pieces between such spaces can be encoded on their own; so can what follows a piece's leading run of letters.
+    New pieces of a batch are joined and encoded in one call; the ids that begin with a space tell them apart again.
+    Texts in which white space follows a space are encoded whole. The cache is emptied when it is full, which changes
+    no result.
     """
 
-    RUN = re.compile(r"  |\s \s|^ | $")
+    HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\n!-@\[-`{-~].*)", re.DOTALL)
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,31 +116,44 @@ class PieceCache:
         self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, i in names.items():
             self.spaced[i] = name.startswith("Ġ")
-        self.limit, self.pieces = limit, {}
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, missing: list[str]) -> None:
-        found = np.array(self.ids([" " + " ".join(missing)])[0], dtype="<u4")
-        starts = np.flatnonzero(self.spaced[found])
-        if len(starts) != len(missing):
-            raise ValueError("a piece was not encoded on its own")
-        raw, ends = found.tobytes(), [*(starts[1:] * 4).tolist(), len(found) * 4]
-        self.pieces.update(zip(missing, (raw[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)),
-                               strict=True))
+        self.limit, self.pieces, self.tails = limit, {}, {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, missing: set[str]) -> None:
+        """Ids of new pieces; none for a piece that is empty or begins with white space."""
+        safe = [piece for piece in missing if piece and not piece[0].isspace()]
+        self.pieces.update(dict.fromkeys(missing.difference(safe), b""))
+        parts = [(piece, m[1], m[2]) if (m := self.HEAD.fullmatch(piece)) else (piece, piece, "") for piece in safe]
+        heads = list({head for _, head, _ in parts} - self.pieces.keys())
+        if heads:
+            found = np.frombuffer(self.ids([" " + " ".join(heads)])[0], dtype="<u4")
+            starts = np.flatnonzero(self.spaced[found])
+            if len(starts) != len(heads):
+                raise ValueError("a piece was not encoded on its own")
+            raw, bounds = found.tobytes(), [*(starts * 4).tolist(), len(found) * 4]
+            self.pieces.update(zip(heads, (raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
+        tails = list({tail for _, _, tail in parts} - self.tails.keys())
+        self.tails.update(zip(tails, self.ids(tails), strict=True))
+        self.pieces.update({piece: self.pieces[head] + self.tails[tail] for piece, head, tail in parts if tail})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) + len(self.tails) > self.limit:
             self.pieces.clear()
-        split = [None if self.RUN.search(text) else text.split(" ") for text in texts]
-        missing = {piece for own in split if own for piece in own[1:]} - self.pieces.keys()
+            self.tails.clear()
+        split = [text.split(" ") for text in texts]
+        heads = self.ids([own[0] for own in split])
+        known = [list(map(self.pieces.get, own[1:])) for own in split]
+        missing = {piece for own, blobs in zip(split, known, strict=True) if None in blobs
+                   for piece, blob in zip(own[1:], blobs, strict=True) if blob is None}
         if missing:
-            self.learn(list(missing))
-        heads = iter(self.ids([own[0] if own else text for text, own in zip(texts, split, strict=True)]))
-        get = self.pieces.__getitem__
-        return [np.array(next(heads), dtype="<u4").tobytes() + (b"".join(map(get, own[1:])) if own else b"")
-                for own in split]
+            self.learn(missing)
+            known = [list(map(self.pieces.get, own[1:])) if None in blobs else blobs
+                     for own, blobs in zip(split, known, strict=True)]
+        return [head + b"".join(blobs) if all(blobs) and (own[0] or len(own) == 1) else self.ids([text])[0]
+                for text, own, head, blobs in zip(texts, split, heads, known, strict=True)]
 
 
 CACHES: dict[str, PieceCache] = {}
