@@ -35,7 +35,7 @@ class DoubleArray:
             node[0] = value
         self.grow(1 << 16)
         self.taken[0] = True
-        todo, lowest, pointer = [(0, tree)], 1, 1
+        todo, lowest, pointer = [(0, tree)], 257, 257  # any byte can lead there
         while todo:
             state, node = todo.pop()
             self.value[state] = node.pop(0, -1)
@@ -45,7 +45,7 @@ class DoubleArray:
             while self.taken[lowest]:
                 lowest += 1
             # nodes with one child fill gaps; the others move a pointer on past crowded places
-            at = max(1, (lowest if len(codes) == 1 else pointer) - int(codes[0]))
+            at = (lowest if len(codes) == 1 else pointer) - int(codes[0])
             while True:
                 if at + 300 > len(self.taken):
                     self.grow(2 * len(self.taken))
@@ -158,15 +158,15 @@ class PieceModel:
         rows, ids, came, ends = (np.concatenate(column) for column in zip(*steps, strict=True))
         order = np.lexsort((came, rows))
         rows, ids = rows[order], ids[order].astype("<i4")
-        if (ids < 0).any():  # byte pieces for characters without a piece
-            came, ends = came[order], ends[order]
-            parts = [[i] if i >= 0 else self.byte_ids[list(words[r][a:b])].tolist() for r, i, a, b in
-                     zip(rows.tolist(), ids.tolist(), came.tolist(), ends.tolist(), strict=True)]
-            rows = np.repeat(rows, [len(p) for p in parts])
-            ids = np.array([i for p in parts for i in p], dtype="<i4")
         raw = ids.tobytes()
-        bounds = (np.searchsorted(rows, np.arange(len(words) + 1)) * 4).tolist()
-        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        bounds = np.searchsorted(rows, np.arange(len(words) + 1))
+        out = [raw[a:b] for a, b in zip((bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist(), strict=True)]
+        for k in np.unique(rows[ids < 0]).tolist():  # byte pieces for characters without a piece
+            own = order[bounds[k] : bounds[k + 1]]
+            parts = [[i] if i >= 0 else self.byte_ids[list(words[k][a:b])].tolist() for i, a, b in
+                     zip(ids[bounds[k] : bounds[k + 1]].tolist(), came[own].tolist(), ends[own].tolist(), strict=True)]
+            out[k] = np.array([i for part in parts for i in part], dtype="<i4").tobytes()
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace").replace(MARKER, " ")
@@ -176,7 +176,7 @@ class PieceModel:
 class Encoder:
     """Remembers solved parts; the memory is emptied when it is full, which changes no result."""
 
-    def __init__(self, model: PieceModel, limit: int = 200_000):
+    def __init__(self, model: PieceModel, limit: int = 700_000):
         self.model, self.limit, self.solved = model, limit, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillmark.llm import chat, token_files
 from tillmark.llm.common import prepare, table
 from tillmark.llm.neighbours import nearest
+from tillmark.llm.pieces import encode_pieces
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
@@ -37,9 +38,20 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
+    return encoded.select(
+        "doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.xxhash64("token_ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_token_files": op5_token_files,
+    "op7_piece_encoding": op7_piece_encoding,
 }
 SQL: dict[str, str] = {}
