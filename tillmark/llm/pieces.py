@@ -209,7 +209,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str
     if decoded:
         wide = wide.withColumn(decoded, F.lit(None).cast("string"))
     position = docs.columns.index(text)
-    kept = len(docs.columns)
+    kept, names = len(docs.columns), wide.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(model_path)
@@ -223,7 +223,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str
             if decoded:
                 new.append(pa.array([None if a else encoder.model.decode(values[low:high]) for a, low, high in
                                      zip(absent, ends[:-1], ends[1:], strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(batch.columns[:kept] + new, names=wide.columns)
+            yield pa.RecordBatch.from_arrays(batch.columns[:kept] + new, names=names)
 
     return wide.mapInArrow(run, wide.schema)
 
@@ -231,13 +231,13 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str
 def decode_pieces(rows: DataFrame, model_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """All columns of `rows` and the text of their ids; null ids give a null text."""
     wide = rows.withColumn(text, F.lit(None).cast("string"))
-    position = rows.columns.index(ids)
+    position, names = rows.columns.index(ids), wide.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder_for(model_path).model
         for batch in batches:
             found = [None if x is None else model.decode(np.array(x, dtype=np.int32))
                      for x in batch.column(position).to_pylist()]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(found, pa.string())], names=wide.columns)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(found, pa.string())], names=names)
 
     return wide.mapInArrow(run, wide.schema)

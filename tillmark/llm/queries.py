@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tillmark.llm import chat, token_files
 from tillmark.llm.common import prepare, table
+from tillmark.llm.fingerprints import edited_documents
+from tillmark.llm.mixing import mix
 from tillmark.llm.neighbours import nearest
 from tillmark.llm.pieces import encode_pieces
 
@@ -19,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return edited_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +45,11 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return mix(table(spark, folder, "documents").select("doc_id", "source"))
+
+
 def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -49,9 +61,11 @@ def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
     "op7_piece_encoding": op7_piece_encoding,
 }
 SQL: dict[str, str] = {}
