@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillmark.llm import chat, token_files
 from tillmark.llm.common import prepare, table
 from tillmark.llm.fingerprints import edited_documents
+from tillmark.llm.jaccard import jaccard_components
 from tillmark.llm.mixing import mix
 from tillmark.llm.neighbours import nearest
 from tillmark.llm.pieces import encode_pieces
@@ -60,6 +61,11 @@ def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
@@ -67,5 +73,6 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_piece_encoding": op7_piece_encoding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {}
