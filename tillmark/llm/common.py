@@ -42,6 +42,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = 1_000_000) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 1_000_000) -> DataFrame:
     """Join that leaves `big` in place while `small` has at most `most` rows, and shuffles both beyond that."""
     return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

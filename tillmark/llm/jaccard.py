@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, stored
+from tillmark.llm.common import cut, join_small, stored
 from tillmark.llm.components import Forest, components
 from tillmark.llm.wordhash import U64, mix, shingle_sets
 
@@ -58,10 +58,14 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(texts_of(batch), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *sums(sets),
-                 lists([x[: prefix_length(len(x), percent)] for x in sets])], names=["doc_id", "n", "s1", "s2", "head"])
+                [batch.column(0), *batch.columns[2:], pa.array([len(x) for x in sets], pa.int64()), *sums(sets),
+                 lists([x[: prefix_length(len(x), percent)] for x in sets])], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>")
+    shape = docs.select(F.col("doc_id").cast("long"), *docs.columns[2:], *[
+        F.lit(None).cast(kind).alias(name) for name, kind in (
+            ("n", "long"), ("s1", "long"), ("s2", "long"), ("head", "array<long>"))])
+    names = shape.columns
+    return docs.mapInArrow(run, shape.schema)
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -255,16 +259,18 @@ def linked(members: DataFrame, texts: DataFrame, words: int, percent: int, block
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 256, gather: int = 3,
-                       frequent: int = 64) -> DataFrame:
+                       frequent: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
 
+    Columns named in `keep` are returned as well.
+
     A set holds the distinct n-grams of `words` lower-cased (A-Z) words; fewer words count as one n-gram. Two documents
     link when their sets' similarity reaches `percent` hundredths. Null texts are empty; empty sets link with nothing.
     Rows without doc_id are returned with a null component and link with nothing. Rows that repeat an id are linked
     each by its own text. `gather` and `frequent` change the work, not the result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = stored(signatures(rows, words, percent), "signatures")
+    found = stored(signatures(docs.select(rows.columns + list(keep)), words, percent), "signatures")
     named = ["doc_id", "s1", "s2"]
     sets = found.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     # nodes are named by their smallest id; where that id names several texts, the others by a hash of their sets
@@ -296,6 +302,23 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     labels = nodes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = labels.join(smallest, "component").select("n", "s1", "s2", "component_id")
-    out = found.select("doc_id", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left")
+    out = found.select("doc_id", *keep, "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` without the documents that are linked to one with a smaller id, directly or through others.
+
+    Of rows that repeat id and text one stays. Rows without doc_id stay. Columns are those of `docs`.
+    """
+    named = docs.withColumn("jaccard_text", F.xxhash64("text"))
+    keys = ["doc_id", "jaccard_text"]
+    found = cut(jaccard_components(named.select("doc_id", "text", "jaccard_text"), words, percent, keep=("jaccard_text",)))
+    surplus = found.where("doc_id != component_id").select(*keys).distinct()
+    kept = join_small(named, surplus, keys, "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy(*keys).count().where("count > 1").select(*keys)
+    if repeated.limit(1).count():
+        once = join_small(kept, repeated, keys, "left_semi").dropDuplicates(keys)
+        kept = join_small(kept, repeated, keys, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
