@@ -27,6 +27,7 @@ from tillmark.llm.components import Forest, components
 from tillmark.llm.wordhash import U64, mix, shingle_sets
 
 CLASSES = 64
+BLOCK_TOKENS = 1 << 18
 MOST_FREQUENT = 500_000  # at most so many tokens are held to be put last
 
 
@@ -214,12 +215,13 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 def linked(members: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """(a, b): a spanning forest of the links inside each canopy.
 
-    `members`: canopy, node, doc_id, n, s1; `texts`: doc_id, text. A canopy's nodes are cut by size to blocks of at most
-    `block`; two blocks meet if their sizes allow a link. A text whose set has not the node's sum is another text of
-    the same id.
+    `members`: canopy, node, doc_id, n, s1; `texts`: doc_id, text. A canopy's nodes are cut by size to blocks of about
+    `block` nodes, fewer of large ones; two blocks meet if their sizes allow a link. A text whose set has not the
+    node's sum is another text of the same id.
     """
-    by_size = Window.partitionBy("canopy").orderBy("n", "node")
-    placed = cut(members.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / block)))
+    by_size = Window.partitionBy("canopy").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.greatest("n", F.lit(BLOCK_TOKENS // block))).over(by_size), F.lit(0))
+    placed = cut(members.withColumn("block", F.floor(filled / BLOCK_TOKENS)))
     spans = placed.groupBy("canopy", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     later = spans.select("canopy", F.col("block").alias("other"), F.col("low").alias("other_low"))
     meets = spans.join(later, "canopy").where(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
@@ -33,6 +35,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS, INVERSES
 
 
+CHUNK = 1 << 20  # bytes of text hashed at once; the arrays take some forty times as much
+
+
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words of each text): A-Z lower-cased, words split at ASCII white space.
 
@@ -69,6 +86,9 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    words, counts = words_of(texts)
-    ends = np.cumsum(counts)
-    return [np.unique(grams(words[b - c : b], n)) for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    out = []
+    for some in chunks(texts):
+        words, counts = words_of(some)
+        ends = np.cumsum(counts)
+        out += [np.unique(grams(words[b - c : b], n)) for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    return out
