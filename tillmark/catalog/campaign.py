@@ -134,8 +134,8 @@ def _(t):
 # ---- posts ---------------------------------------------------------------------
 define("lexicon", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in LEXICON.items()) + ") v(token, weight)")
 define("toks", """SELECT post_id, unnest(w) AS token, unnest(list_concat([NULL], w[:-2])) AS before, generate_subscripts(w, 1) - 1 AS position FROM (
-    SELECT post_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '@\\w+', ' ', 'g'),
-    '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM posts) z WHERE len(w) > 0""", ("posts",))
+    SELECT post_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '@[\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'),
+    '[^\\p{L}\\p{M}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM posts) z WHERE len(w) > 0""", ("posts",))
 define("pol", """SELECT p.post_id, brand, country, created_on, engagement, COALESCE(n, 0) AS n_tokens, COALESCE(h, 0) AS hits,
     CASE WHEN COALESCE(h, 0) = 0 THEN 0.0 ELSE s / h END AS polarity, CASE WHEN COALESCE(n, 0) = 0 THEN 0.0 ELSE COALESCE(h, 0)::DOUBLE / n END AS subjectivity
     FROM posts p LEFT JOIN (SELECT post_id, count(*) AS n, count(weight) AS h, sum(CASE WHEN before IN ('the', 'not', 'in') THEN -weight ELSE weight END) AS s

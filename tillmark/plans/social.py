@@ -17,8 +17,8 @@ from tillmark.functions import scalars as S
 
 
 
-# Links, mentions, and runs of anything that is not a letter separate words.
-WORD_BREAK = r"https?://\S+|@\w*|[^a-z@]+"
+# Links, mentions, and runs of anything that is neither a letter nor a mark of any script separate words.
+WORD_BREAK = r"https?://\S+|@[\p{L}\p{M}\p{N}_]*|[^\p{L}\p{M}@]+"
 
 
 def tokens(text: Column) -> Column:
@@ -26,10 +26,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
-def clean_text(text: Column) -> Column:
-    return F.array_join(tokens(text), " ")
-
-
 def tokenize(posts: DataFrame, keep: Sequence[str] = ("post_id",)) -> DataFrame:
     return posts.select(*keep, F.posexplode(tokens(F.col("text"))).alias("position", "token"))
 
