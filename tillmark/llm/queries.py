@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillmark.llm import chat, token_files, toxicity
+from tillmark.llm import chat, licences, token_files, toxicity
 from tillmark.llm.common import labelled_side, prepare, table, tokenizer_path
 from tillmark.llm.fingerprints import edited_documents
 from tillmark.llm.jaccard import jaccard_components
@@ -66,6 +66,11 @@ def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
@@ -90,6 +95,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_piece_encoding": op7_piece_encoding,
+    "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": pipeline,
