@@ -69,6 +69,13 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, shape.schema)
 
 
+def least(tokens: np.ndarray, take: int) -> np.ndarray:
+    """The first `take` tokens in the second order."""
+    if take <= 0 or take >= len(tokens):
+        return tokens[: max(take, 0)]
+    return tokens[np.argpartition(mix(tokens + U64(0x51ED270B)), take)[:take]]
+
+
 def prefixes(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
     """(doc_id, s1, s2, classes, first, second): counts by hash class and the prefixes under both orders."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +87,9 @@ def prefixes(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Dat
                 late = np.zeros(len(x), dtype=bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
-                first.append(np.concatenate([x[~late][:take], x[late]])[:take])
-                other = np.lexsort((mix(x + U64(0x51ED270B)), late))[:take]
-                second.append(x[other])
+                early, rest = x[~late], x[late]
+                first.append(np.concatenate([early[:take], rest[: max(0, take - len(early))]]))
+                second.append(np.concatenate([least(early, take), least(rest, take - len(early))]))
                 counts.append(np.bincount((x & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
                               .astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -150,33 +157,61 @@ def gathered(tokens: DataFrame) -> DataFrame:
     return rows.select("token", "node").mapInArrow(run, "token long, node long, pivot long")
 
 
-def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows that end where a value of the first column ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            keys = table.column(0).to_numpy()
+            end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if end:
+                yield table.slice(0, end)
+                held = table.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
     """(a, b) of one token and different gatherings whose sizes and class counts allow a link.
 
-    `rows`: token, node, n, classes, gathering.
+    `rows`: token, node, n, classes, gathering. Runs of up to `short` rows are compared together, shift by shift.
     """
     ordered = rows.repartition("token").sortWithinPartitions("token", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in runs(batches):
-            group = own.column("gathering").to_numpy()
-            names, sizes = np.unique(group, return_counts=True)
-            if len(names) < 2:
-                continue
-            node, n = own.column("node").to_numpy(), own.column("n").to_numpy()
+        for own in whole_runs(batches):
+            token, node = own.column("token").to_numpy(), own.column("node").to_numpy()
+            n, group = own.column("n").to_numpy(), own.column("gathering").to_numpy()
             counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int32)
-            largest = names[sizes.argmax()]
-            low = np.searchsorted(n, -(-percent * n // 100))
-            high = np.searchsorted(n, n * 100 // percent, side="right")
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
             left, right = [], []
-            for i in np.flatnonzero(group != largest).tolist():
-                near = np.arange(low[i], high[i])
-                near = near[(group[near] != group[i]) & ((group[near] == largest) | (near > i))]
-                if len(near):
-                    apart = np.abs(counts[near] - counts[i]).sum(axis=1)
-                    near = near[(100 + percent) * apart <= (100 - percent) * (n[near] + n[i])]
-                    left.append(np.full(len(near), node[i]))
-                    right.append(node[near])
+
+            def compare(i, j):
+                fit = (group[i] != group[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+                i, j = i[fit], j[fit]
+                apart = np.abs(counts[i] - counts[j]).sum(axis=1)
+                fit = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+                left.append(node[i[fit]])
+                right.append(node[j[fit]])
+
+            in_short = np.repeat(sizes <= short, sizes)
+            for shift in range(1, min(short, int(sizes.max(initial=0)))):
+                at = np.flatnonzero((token[shift:] == token[:-shift]) & in_short[shift:])
+                compare(at, at + shift)
+            for begin, size in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+                inside = group[begin : begin + size]
+                names, times = np.unique(inside, return_counts=True)
+                if len(names) > 1:  # rows of the largest gathering need not be compared with each other
+                    others = begin + np.flatnonzero(inside != names[times.argmax()])
+                    for i in others.tolist():
+                        low = begin + np.searchsorted(n[begin : begin + size], -(-percent * n[i] // 100))
+                        high = begin + np.searchsorted(n[begin : begin + size], n[i] * 100 // percent, side="right")
+                        near = np.arange(low, high)
+                        near = near[(inside[near - begin] == names[times.argmax()]) | (near > i)]
+                        compare(np.full(len(near), i), near)
             if left:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
@@ -289,7 +324,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     wide = prefixes(rows, words, percent, last).join(nodes.select(*named, "n", "node"), named)
     wide = stored(wide.drop(*named).dropDuplicates(["node"]), "prefixes")
     shared = stored(gathered(wide.select(F.explode("first").alias("token"), "node")), "shared")
-    strong = shared.where("node != pivot").groupBy("node", "pivot").count().where(F.col("count") >= gather)
+    # near copies share a good part of their prefixes, not just a common phrase
+    strong = shared.where("node != pivot").groupBy("node", "pivot").count().join(wide.select("node", "n"), "node").where(
+        F.col("count") >= F.greatest(F.lit(gather), F.floor(F.col("n") * (100 - percent) / 300)))
     gathering = components(strong.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     meeting = shared.select("token", "node").join(wide.select("node", "n", "classes"), "node").join(
         gathering, "node", "left").withColumn("gathering", F.coalesce("component", "node"))
