@@ -14,8 +14,7 @@ from tillmark.operators.asof import asof_join
 
 @pytest.fixture
 def split_all(monkeypatch):
-    monkeypatch.setattr(chunked, "HOT_ROWS", 0)
-    monkeypatch.setattr(chunked, "HOT_SHARE", 4)
+    monkeypatch.setattr(chunked, "HOT_ROWS", 120)
 
 
 @pytest.fixture(scope="module")
@@ -35,18 +34,17 @@ def same(a, b):
 
 
 def test_some_keys_are_hot_and_some_are_not(split_all, facts):
-    hot = chunked.hot_keys(facts, ["key"], chunked.HOT_ROWS, chunked.HOT_SHARE).collect()
+    hot = chunked.hot_keys(facts, ["key"], chunked.HOT_ROWS).collect()
     assert {r.key for r in hot} == {1}
     tagged = chunked.with_chunks(facts, ["key"], "ts", 1.0)
     assert tagged.filter("key = 1").select("_chunk").distinct().count() > 5
     assert tagged.filter("key = 2").select("_chunk").distinct().count() == 1
 
 
-@pytest.mark.parametrize("share", [4, 1000])
+@pytest.mark.parametrize("rows", [0, 120])
 @pytest.mark.parametrize("forward", [False, True])
-def test_neighbour_equals_window(monkeypatch, facts, share, forward):
-    monkeypatch.setattr(chunked, "HOT_ROWS", 0)
-    monkeypatch.setattr(chunked, "HOT_SHARE", share)
+def test_neighbour_equals_window(monkeypatch, facts, rows, forward):
+    monkeypatch.setattr(chunked, "HOT_ROWS", rows)
     w = Window.partitionBy("key").orderBy("ts", "id")
     expected = facts.withColumn("out", (F.lead if forward else F.lag)("value").over(w))
     got = chunked.neighbour(facts, ["key"], "ts", "value", "out", 1.0, ["id"], forward)

@@ -229,7 +229,7 @@ def test_silhouette_matches_pairwise(spark):
     points, labels = rng.normal(size=(40, 3)), rng.integers(0, 3, 40)
     labels[0] = 7  # a cluster of one
     df = spark.createDataFrame([(i, [float(x) for x in p], int(c)) for i, (p, c) in enumerate(zip(points, labels))], "i int, e array<double>, c int")
-    got = {r.i: r.silhouette for r in E.silhouette(df, "e", "c", 3).collect()}
+    got = {r.i: r.silhouette for r in E.silhouette(df, "e", "c").collect()}
     dist = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
     for i in range(40):
         own = (labels == labels[i]) & (np.arange(40) != i)

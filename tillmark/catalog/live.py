@@ -23,10 +23,10 @@ def _(t):
 
 
 @query("stream_hopping_visits", "", f"""WITH w AS (SELECT TIMESTAMP '2023-11-30' + to_days(CAST(k AS INTEGER)) AS s FROM range(120) r(k) WHERE epoch(TIMESTAMP '2023-11-30' + to_days(CAST(k AS INTEGER))) % (7 * 86400) = 0)
-    SELECT strftime(s, {STAMP}) AS window_start, strftime(s + INTERVAL 14 DAY, {STAMP}) AS window_end, user_id, count(*) AS visits, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS spend
-    FROM w JOIN events ON ts >= s AND ts < s + INTERVAL 14 DAY GROUP BY s, user_id HAVING s + INTERVAL 14 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+    SELECT strftime(s, {STAMP}) AS window_start, strftime(s + INTERVAL 30 DAY, {STAMP}) AS window_end, user_id, count(*) AS visits, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS spend
+    FROM w JOIN events ON ts >= s AND ts < s + INTERVAL 30 DAY GROUP BY s, user_id HAVING s + INTERVAL 30 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def _(t):
-    return L.run_available(L.hopping_visits(priced_events(t), "ts", "value", "user_id", size="14 days"), "hopping")
+    return L.run_available(L.hopping_visits(priced_events(t), "ts", "value", "user_id"), "hopping")
 
 
 SPELLS = """WITH g AS (SELECT {key}, {ts} AS ts, CASE WHEN lag({ts}) OVER w IS NULL OR epoch_us({ts}) - epoch_us(lag({ts}) OVER w) > {gap} THEN 1 ELSE 0 END AS starts

@@ -1,4 +1,4 @@
-"""Metric and model queries. Fits use small forests so that a check run stays short."""
+"""Metric and model queries. The searches and the learning curve use fewer points and rounds than the plans' defaults."""
 
 from __future__ import annotations
 
@@ -21,10 +21,10 @@ CHURN_FEATURES = [
     "visits_lag2_30days", "delta_visits", "delta_total_spend",
 ]
 MARKET_FEATURES = ["close", "volume", "return_t", "return_t_lag_1", "ma_close_5", "avg_abs_return", "spread"]
-TARGETS = ["target_return_1d", "target_return_5d"]
+TARGETS = ["target_return_1d", "target_return_5d", "target_return_20d"]
 SEGMENT_COLS = ["frequency", "monetary", "recency_last_purchase", "weekend_shopper", "morning_shopper", "category_specialization",
                 "churn_risk", "avg_item_count", "spend_concentration"]
-SMALL = {"numTrees": 10, "maxDepth": 3}
+DEEP = {"maxDepth": 30}  # MLlib's largest
 
 
 def churn_frame(t):
@@ -113,7 +113,7 @@ def _(t):
     m AS (SELECT vec_id, label, max(CASE WHEN other = label THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM d GROUP BY 1, 2)
     SELECT vec_id, CAST(label AS BIGINT) AS label, round(COALESCE((b - a) / greatest(a, b), 0), 6) AS silhouette FROM m""")
 def _(t):
-    out = E.silhouette(t.base("embeddings"), "embedding", "label", 64)
+    out = E.silhouette(t.base("embeddings"), "embedding", "label")
     return out.select("vec_id", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -129,7 +129,7 @@ def _(t):
     frame = churn_frame(t)
     single = ML.assemble(frame.drop("features"), ["days_since_last_visit"])
     reports = [
-        ML.split_report(ML.fit_on_train(ML.logistic(maxIter=50), data), data).withColumn("model", F.lit(name))
+        ML.split_report(ML.fit_on_train(ML.logistic(), data), data).withColumn("model", F.lit(name))
         for name, data in (("one_feature", single), ("all_features", frame))
     ]
     return reports[0].unionByName(reports[1])
@@ -139,18 +139,18 @@ def _(t):
 def _(t):
     frame = churn_frame(t)
     weighted = ML.materialize(ML.balance(frame.filter("data_split = 'train'")))
-    return ML.split_report(ML.forest(weightCol="weight", **SMALL).fit(weighted), frame)
+    return ML.split_report(ML.forest(weightCol="weight", **DEEP).fit(weighted), frame)
 
 
 @query("train_gbt_classifier")
 def _(t):
     frame = churn_frame(t)
-    return ML.split_report(ML.fit_on_train(ML.boosted(**{**ML.TUNED_CHURN, "maxIter": 10}), frame), frame)
+    return ML.split_report(ML.fit_on_train(ML.boosted(**ML.TUNED_CHURN), frame), frame)
 
 
 @query("train_regressors")
 def _(t):
-    makers = ML.regressors(trees=5)
+    makers = ML.regressors()
     return ML.regression_report(market_frame(t), MARKET_FEATURES, TARGETS, makers, ["train"], "val")
 
 
@@ -182,14 +182,14 @@ def _(t):
 @query("permutation_importance")
 def _(t):
     frame = churn_frame(t)
-    model = ML.fit_on_train(ML.forest(**SMALL), frame)
+    model = ML.fit_on_train(ML.forest(), frame)
     held_out = frame.filter("data_split = 'val'")
-    return ML.permutation_importance(model, held_out, CHURN_FEATURES, C.KEYS, repeats=3)
+    return ML.permutation_importance(model, held_out, CHURN_FEATURES, C.KEYS)
 
 
 @query("tree_importance")
 def _(t):
-    model = ML.fit_on_train(ML.forest(**SMALL), churn_frame(t))
+    model = ML.fit_on_train(ML.forest(), churn_frame(t))
     return ML.tree_importance(model, CHURN_FEATURES, t.spark)
 
 
@@ -197,7 +197,7 @@ def horizon_importance(t):
     frame = ML.materialize(ML.assemble(market_frame(t), MARKET_FEATURES))
     tables = {}
     for target in TARGETS:
-        estimator = ML.regressors(trees=10)["forest"]
+        estimator = ML.regressors()["forest"]
         model = estimator.copy({estimator.labelCol: target}).fit(frame.filter(F.col(target).isNotNull()))
         tables[target] = ML.tree_importance(model, MARKET_FEATURES, t.spark)
     return ML.importance_by_horizon(tables)
@@ -210,12 +210,12 @@ def _(t):
 
 @query("least_important")
 def _(t):
-    return ML.least_important(horizon_importance(t), 3)
+    return ML.least_important(horizon_importance(t), 15)
 
 
 @query("kmeans_sweep")
 def _(t):
-    return ML.kmeans_sweep(ML.materialize(ML.assemble(segment_frame(t), SEGMENT_COLS)), [2, 3, 4, 5])
+    return ML.kmeans_sweep(ML.materialize(ML.assemble(segment_frame(t), SEGMENT_COLS)), range(2, 10))
 
 
 def clustered(t, k=5):
@@ -257,13 +257,13 @@ def _(t):
 
 @query("compare_reductions")
 def _(t):
-    return ML.compare_reductions(segment_frame(t), [G.KEY], SEGMENT_COLS, [2, 3], iters=5)
+    return ML.compare_reductions(segment_frame(t), [G.KEY], SEGMENT_COLS, range(2, 9), iters=5)
 
 
 @query("top_churners")
 def _(t):
     frame = churn_frame(t)
-    model = ML.fit_on_train(ML.forest(**SMALL), frame)
+    model = ML.fit_on_train(ML.forest(), frame)
     scored = ML.score(model, frame.filter("data_split = 'test'"), [*C.KEYS, "label"])
     return ML.top_at_risk(scored, C.KEYS)
 
@@ -271,6 +271,6 @@ def _(t):
 @query("score_saved_model")
 def _(t):
     people = t.bank.withColumn("label", F.col("y").cast("double"))
-    model = ML.fitted_pipeline(people.filter("customer_id % 2 = 0"), ["job", "poutcome"], ["age", "balance", "campaign", "pdays"], numTrees=10)
+    model = ML.fitted_pipeline(people.filter("customer_id % 2 = 0"), ["job", "poutcome"], ["age", "balance", "campaign", "pdays"])
     loaded = ML.save_and_load(model, t.spark)
     return ML.score(loaded, people.filter("customer_id % 2 = 1"), ["customer_id", "label"])

@@ -20,10 +20,8 @@ from tillmark.functions.scalars import DAY_MICROS, micros
 CHUNK = "_chunk"
 HOT = "_hot"
 
-# A key is hot above this many rows and above one in HOT_SHARE of all rows, so
-# there are fewer than HOT_SHARE hot keys whatever the size of the table.
+# A key is hot above this many rows, whatever the size of the table.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 10_000
 
 
 def time_chunk(ts: str, days: float) -> Column:
@@ -34,12 +32,9 @@ def null_safe(keys: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
-    """Keys above the limits; fewer than `share` rows by construction."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(F.lit(float(rows)), total / F.lit(float(share)))
-    return counted.filter(F.col("_n") > limit).drop("_n")
+def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `rows` rows."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).drop("_n")
 
 
 def chunk_key(by: Sequence[str], number: Column) -> Column:
@@ -48,12 +43,11 @@ def chunk_key(by: Sequence[str], number: Column) -> Column:
     return F.struct(*by, number.cast("bigint").alias("_n"))
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], ts: str, days: float, rows: int | None = None,
-                share: int | None = None) -> DataFrame:
+def with_chunks(df: DataFrame, by: Sequence[str], ts: str, days: float, rows: int | None = None) -> DataFrame:
     """Add the chunk: time-based for hot keys, one for each of the rest."""
-    hot = hot_keys(df.select(*by), by, HOT_ROWS if rows is None else rows, HOT_SHARE if share is None else share)
+    hot = hot_keys(df.select(*by), by, HOT_ROWS if rows is None else rows)
     marked = hot.withColumnsRenamed({k: f"_h{k}" for k in by}).withColumn(HOT, F.lit(True))
-    joined = df.join(F.broadcast(marked), null_safe(by, "_h"), "left").drop(*[f"_h{k}" for k in by])
+    joined = df.join(marked, null_safe(by, "_h"), "left").drop(*[f"_h{k}" for k in by])
     joined = joined.withColumn(HOT, F.coalesce(HOT, F.lit(False)))
     return joined.withColumn(CHUNK, chunk_key(by, F.when(F.col(HOT), time_chunk(ts, days)).otherwise(0)))
 

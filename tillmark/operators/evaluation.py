@@ -41,7 +41,7 @@ def balanced_accuracy(scored: DataFrame, threshold: float = 0.5, by: Sequence[st
     return table.select(*by, ((recalls[0] + recalls[1]) / 2).alias("balanced_accuracy"))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int = 1024) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half.
 
     Rows shrink to one per distinct score before any ordering takes place.
@@ -50,7 +50,9 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int = 1024) -> Da
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     ranked = prefix_sums(counts, "score", ["neg"], ranges, by)
-    won = F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg")))
+    # pairs of rows outgrow a long, so they are added as decimals
+    wide = "decimal(19,0)"
+    won = F.sum(F.col("pos").cast(wide) * (2 * F.col("neg_before") + F.col("neg")).cast(wide))
     total = 2.0 * F.sum("pos") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.try_divide(won.cast("double"), total).alias("auc"))
 
@@ -86,13 +88,19 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> Dat
     return df.withColumn(out, S.hash_bucket(k, F.col(group)).cast("int"))
 
 
-def silhouette(df: DataFrame, features: str, cluster: str, size: int) -> DataFrame:
+def silhouette(df: DataFrame, features: str, cluster: str) -> DataFrame:
     """Exact silhouette of each row under squared Euclidean distance.
 
     The mean squared distance to a cluster follows from its size, mean vector
     and mean squared norm, so clusters are summarised once (one row each, k
-    rows in all) and rows are never paired with each other.
+    rows in all) and rows are never paired with each other. The clusters' summaries
+    are one array, so `cluster` must be a label with few values. Vectors of unequal
+    length are refused.
     """
+    sizes = df.filter(F.col(cluster).isNotNull()).agg(F.min(F.size(features)), F.max(F.size(features))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"vectors have between {sizes[0]} and {sizes[1]} components")
+    size = sizes[0] or 0
     vector = F.transform(features, lambda x: x.cast("double"))
     norm = F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + x * x)
     data = df.filter(F.col(cluster).isNotNull()).withColumn("_x", vector).withColumn("_norm", norm)

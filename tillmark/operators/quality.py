@@ -15,11 +15,11 @@ def repair_sentinel(
 ) -> DataFrame:
     """Replace a sentinel by the mean of the other values of the same key."""
     known = F.when(F.col(col) != sentinel, F.col(col))
-    # The mean is computed for keys that need it only; the semi join keeps the rest out of the shuffle.
-    damaged = df.filter(F.col(col) == sentinel).select(key).distinct()
-    means = df.join(damaged, key, "left_semi").groupBy(key).agg(
-        F.try_divide(F.sum(known).cast("double"), F.count(known).cast("double")).alias("_mean")
-    )
+    # One aggregate of the table finds the keys that need a mean and the mean; only those keys are joined.
+    means = df.groupBy(key).agg(
+        F.try_divide(F.sum(known).cast("double"), F.count(known).cast("double")).alias("_mean"),
+        F.max(F.col(col) == sentinel).alias("_damaged"),
+    ).filter("_damaged").drop("_damaged")
     hit = F.col(col) == sentinel
     if only is not None:
         hit = hit & only

@@ -41,9 +41,11 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only on a local master where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if configured is None and context.getCheckpointDir() is None and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return configured or context.getCheckpointDir()

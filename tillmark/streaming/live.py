@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 
 from tillmark.sources.files import run_folder
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def read_stream(spark: SparkSession, folder: str, table: str, ts: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream; the event time becomes a zoned timestamp, as watermarks require."""
+
+def read_stream(spark: SparkSession, folder: str, table: str, ts: str, files_per_batch: int | None = None,
+                bytes_per_batch: int = 16 << 30) -> DataFrame:
+    """Parquet files as a stream; the event time becomes a zoned timestamp, as watermarks require.
+
+    A batch takes files up to `bytes_per_batch`, or `files_per_batch` files; state is kept in RocksDB.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", bytes_per_batch)
+    reader = reader.option(*limit)
     return reader.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
