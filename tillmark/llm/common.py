@@ -42,6 +42,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, the first by a hash of the key; a share of the hashes is cut off before they are ordered."""
+    share = min(1.0, 2 * rows / max(df.count(), 1))
+    some = df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return some.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 1_000_000) -> DataFrame:
     """Join that leaves `big` in place while `small` has at most `most` rows, and shuffles both beyond that."""
     return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)

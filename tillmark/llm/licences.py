@@ -20,7 +20,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut
+from tillmark.llm.common import cut, hash_sample
 
 NONE, UNKNOWN = "none", "unknown"
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, sample_docs: int = 500, rare: float = 0.005, precisio
     """`sample_docs` bounds the documents whose paragraphs stand for the class none."""
     spark = docs.sparkSession
     templates = cut(template_rows(spark))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
+    some = hash_sample(docs.select("doc_id", "text"), "doc_id", sample_docs)
     plain = cut(paragraphs_of(some).withColumn("words", words_of("paragraph")).where(F.size("words") > 0))
     known = [r[0] for r in templates.select(F.explode("words")).distinct().orderBy("col").collect()]
     n = plain.count()
