@@ -13,7 +13,6 @@ from tillmark.plans import churn as C
 from tillmark.plans import market as M
 from tillmark.plans import models as ML
 from tillmark.plans import segments as G
-from tillmark.sources.tables import CATEGORIES
 
 CHURN_FEATURES = [
     "visits_30days", "total_spend_30days", "days_since_last_visit", "avg_basket_value", "median_days_between_visits",
@@ -39,7 +38,7 @@ def market_frame(t):
 
 
 def segment_frame(t):
-    table = G.rfm(t.baskets, CATEGORIES)
+    table = G.rfm(t.baskets)
     return ML.materialize(G.log_minmax(table, SEGMENT_COLS).select(G.KEY, *SEGMENT_COLS))
 
 

@@ -35,12 +35,12 @@ DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CATEGORIES)
 
 
 def spends(t):
-    return G.category_spends(t.baskets, CATEGORIES)
+    return G.category_spends(t.baskets)
 
 
 @query("category_quantity_pivot", "cat_qty", "SELECT * FROM cat_qty")
 def _(t):
-    return G.category_quantities(t.baskets, CATEGORIES)
+    return G.category_quantities(t.baskets)
 
 
 @query("basket_sums", "bsum", "SELECT * FROM bsum")
@@ -53,7 +53,7 @@ def _(t):
     JOIN csum c USING (customer_number)""")
 def _(t):
     return G.wide_table(
-        G.basket_sums(t.baskets), spends(t), G.category_quantities(t.baskets, CATEGORIES), G.customer_summary(t.baskets)
+        G.basket_sums(t.baskets), spends(t), G.category_quantities(t.baskets), G.customer_summary(t.baskets)
     )
 
 
@@ -66,7 +66,7 @@ def _(t):
 @query("category_averages", "cat_spend", " UNION ALL ".join(
     f"SELECT '{c}' AS category, CAST(sum({c}) AS DOUBLE) / count({c}) AS average FROM cat_spend" for c in CATEGORIES))
 def _(t):
-    return G.column_averages(spends(t), CATEGORIES)
+    return G.column_averages(wide := spends(t), [c for c in wide.columns if c != G.KEY])
 
 
 @query("avg_visits_monthly", "g_month", "SELECT * FROM g_month")
@@ -82,7 +82,7 @@ def _(t):
 
 @query("spend_concentration", "g_conc", "SELECT * FROM g_conc")
 def _(t):
-    return G.spend_concentration(spends(t), CATEGORIES)
+    return G.spend_concentration(t.baskets)
 
 
 @query("recency_days", "g_recency", "SELECT * FROM g_recency")
@@ -130,7 +130,7 @@ def _(t):
     FROM csum c JOIN g_recency USING (customer_number) JOIN g_share USING (customer_number) JOIN g_gap USING (customer_number)
     JOIN g_month USING (customer_number) JOIN g_conc USING (customer_number)""")
 def _(t):
-    return G.rfm(t.baskets, CATEGORIES).withColumn("churn_risk", F.round("churn_risk", 9))
+    return G.rfm(t.baskets).withColumn("churn_risk", F.round("churn_risk", 9))
 
 
 SCALED = ["baskets", "total_quantity", "total_spend"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
@@ -17,12 +17,17 @@ KEY = "customer_number"
 TS = "purchase_time"
 
 
-def category_quantities(baskets: DataFrame, categories: Sequence[str]) -> DataFrame:
-    return pivot_sum(baskets, [KEY], "category", categories, "basket_quantity", "QUANTITY_")
+def categories_of(baskets: DataFrame) -> list[str]:
+    """The categories in the data, sorted; they become columns, so there are few."""
+    return sorted(r[0] for r in baskets.select("category").distinct().collect() if r[0] is not None)
 
 
-def category_spends(baskets: DataFrame, categories: Sequence[str]) -> DataFrame:
-    return pivot_sum(baskets, [KEY], "category", categories, "basket_spend")
+def category_quantities(baskets: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    return pivot_sum(baskets, [KEY], "category", categories or categories_of(baskets), "basket_quantity", "QUANTITY_")
+
+
+def category_spends(baskets: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    return pivot_sum(baskets, [KEY], "category", categories or categories_of(baskets), "basket_spend")
 
 
 def basket_sums(baskets: DataFrame) -> DataFrame:
@@ -74,10 +79,21 @@ def basket_ratios(summary: DataFrame) -> DataFrame:
     )
 
 
-def spend_concentration(spends: DataFrame, categories: Sequence[str], k: int = 3) -> DataFrame:
-    """Share of spend in the customer's k largest categories."""
-    cols = [F.col(c) for c in categories]
-    return spends.select(KEY, S.safe_ratio(S.top_k_sum(cols, k), S.row_sum(cols)).alias("spend_concentration"))
+def largest_share(spends: str, k: int = 3) -> Column:
+    """Share of the k largest values of an array in their sum."""
+    zero = F.lit(0).cast("decimal(28,2)")
+
+    def total(values):
+        return F.aggregate(values, zero, lambda a, x: (a + x).cast("decimal(28,2)"))
+
+    return S.safe_ratio(total(F.slice(F.sort_array(spends, asc=False), 1, k)), total(F.col(spends)))
+
+
+def spend_concentration(baskets: DataFrame, k: int = 3) -> DataFrame:
+    """Share of spend in the customer's k largest categories, whatever categories there are."""
+    spends = baskets.groupBy(KEY, "category").agg(F.coalesce(F.sum("basket_spend"), F.lit(0)).alias("spend"))
+    return spends.groupBy(KEY).agg(F.collect_list("spend").alias("spends")).select(
+        KEY, largest_share("spends", k).alias("spend_concentration"))
 
 
 def recency(baskets: DataFrame) -> DataFrame:
@@ -110,35 +126,40 @@ def mean_visit_gap(baskets: DataFrame, chunk_days: float = 1.0) -> DataFrame:
     return pairs.groupBy(KEY).agg(S.ratio(F.sum(gap), F.count(gap)).alias("churn_risk"))
 
 
-def rfm(baskets: DataFrame, categories: Sequence[str]) -> DataFrame:
+def rfm(baskets: DataFrame) -> DataFrame:
     """Recency, frequency, monetary value and the engineered features in one table.
 
     Everything that is a plain aggregate of the baskets comes from one pass;
     visits per period and visit gaps need a step of their own.
     """
     newest = baskets.agg(F.max(TS)).scalar()
-    n = F.count(F.lit(1))
-    quantity, spend = F.sum("basket_quantity"), F.sum("basket_spend")
-    per_category = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("basket_spend"))), F.lit(0)) for c in categories]
-    base = baskets.groupBy(KEY).agg(
+    per_category = baskets.groupBy(KEY, "category").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("basket_quantity").alias("_quantity"),
+        F.sum("basket_spend").alias("_spend"),
+        F.max(TS).alias("_last"),
+        F.count_if(S.is_weekend(F.col(TS))).alias("_weekend"),
+        F.count_if(S.is_morning(F.col(TS))).alias("_morning"),
+        F.sum("basket_categories").alias("_categories"),
+        F.count("basket_categories").alias("_counted"),
+    )
+    n, quantity, spend = F.sum("_n"), F.sum("_quantity"), F.sum("_spend")
+    base = per_category.groupBy(KEY).agg(
         n.alias("frequency"),
         spend.cast("double").alias("monetary"),
-        F.max(TS).alias("_last"),
-        S.ratio(F.count_if(S.is_weekend(F.col(TS))), n).alias("weekend_shopper"),
-        S.ratio(F.count_if(S.is_morning(F.col(TS))), n).alias("morning_shopper"),
-        S.ratio(F.sum("basket_categories"), F.count("basket_categories")).alias("category_specialization"),
+        F.max("_last").alias("_last"),
+        S.ratio(F.sum("_weekend"), n).alias("weekend_shopper"),
+        S.ratio(F.sum("_morning"), n).alias("morning_shopper"),
+        S.ratio(F.sum("_categories"), F.sum("_counted")).alias("category_specialization"),
         S.safe_ratio(spend, quantity).alias("avg_spend_per_item"),
         S.safe_ratio(spend, n).alias("avg_basket_spend"),
         S.safe_ratio(quantity, n).alias("avg_item_count"),
-        F.array(*per_category).alias("_spends"),
+        F.collect_list(F.coalesce("_spend", F.lit(0))).alias("_spends"),
     )
-    zero = F.lit(0).cast("decimal(28,2)")
-    top = F.aggregate(F.slice(F.sort_array("_spends", asc=False), 1, 3), zero, lambda a, x: (a + x).cast("decimal(28,2)"))
-    total = F.aggregate("_spends", zero, lambda a, x: (a + x).cast("decimal(28,2)"))
     base = base.withColumns(
         {
             "recency_last_purchase": S.elapsed_days(F.col("_last"), newest),
-            "spend_concentration": S.safe_ratio(top, total),
+            "spend_concentration": largest_share("_spends"),
         }
     ).drop("_last", "_spends")
     table = base.join(monthly_visits(baskets), KEY, "left").join(mean_visit_gap(baskets), KEY, "left")
