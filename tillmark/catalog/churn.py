@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tillmark.operators import quality as Q
 from tillmark.operators import stats
 from tillmark.operators.timegrid import Grid, lookback
 from tillmark.plans import churn as C
+from tillmark.plans.models import materialize
 
 GRID = Grid(dt.date(1998, 1, 1), 14, 7)
 CUTOFFS = {"train": dt.date(1998, 2, 20), "val": dt.date(1998, 3, 13)}
@@ -254,6 +256,19 @@ def _(t):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "feature"})
 
 
+DRIFT_SPLITS = "data_split IN ('val', 'test')"
+
+
+@query("drift_histograms", "split_data", " UNION ALL ".join(f"""SELECT '{c}' AS feature, data_split,
+    CAST(CASE WHEN hi > lo THEN least(floor((CAST({c} AS DOUBLE) - lo) * 10 / (hi - lo)), 9) ELSE 0 END AS BIGINT) AS bin, count(*) AS n
+    FROM split_data, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM split_data WHERE {DRIFT_SPLITS})
+    WHERE {DRIFT_SPLITS} AND {c} IS NOT NULL GROUP BY 1, 2, 3""" for c in GROUP_COLS))
+def _(t):
+    both = materialize(C.split_table(retail(t), CUTOFFS).filter(DRIFT_SPLITS).select("data_split", *GROUP_COLS))
+    parts = [stats.histogram(both, c, 10, ["data_split"]).select(F.lit(c).alias("feature"), "data_split", "bin", "n") for c in GROUP_COLS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("customer_last_purchase", "receipts", """SELECT customer_id, strftime(max(purchased_at), '%Y-%m-%d %H:%M:%S') AS last_purchase_date
     FROM receipts GROUP BY 1""")
 def _(t):

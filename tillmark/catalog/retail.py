@@ -54,6 +54,12 @@ def _(t):
     return R.department_breadth(t.products)
 
 
+@query("assortment_counts", "products", """SELECT count(DISTINCT department_name) AS n_departments,
+    count(DISTINCT category_code) AS n_categories, count(DISTINCT product_code) AS n_products FROM products""")
+def _(t):
+    return R.assortment_counts(t.products)
+
+
 @query("product_totals", "lines", """SELECT product_code, CAST(sum(qty) AS BIGINT) AS total_quantity_sold,
     CAST(sum(value) AS DOUBLE) AS total_value_spent FROM lines GROUP BY 1""")
 def _(t):

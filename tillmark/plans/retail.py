@@ -59,6 +59,15 @@ def department_breadth(products: DataFrame) -> DataFrame:
     )
 
 
+def assortment_counts(products: DataFrame) -> DataFrame:
+    """Departments, categories and products of the whole assortment."""
+    return products.agg(
+        F.countDistinct("department_name").alias("n_departments"),
+        F.countDistinct("category_code").alias("n_categories"),
+        F.countDistinct("product_code").alias("n_products"),
+    )
+
+
 def product_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("product_code").agg(
         F.sum("qty").alias("total_quantity_sold"), F.sum("value").alias("total_value_spent")
