@@ -37,7 +37,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def lists(values: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(v) for v in values])
-    flat = np.concatenate([*values, np.empty(0, U64)]).view(np.int64)
+    flat = np.concatenate(values) if values else np.empty(0, np.int64)
+    flat = flat.view(np.int64) if flat.dtype == U64 else flat
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
@@ -53,22 +54,45 @@ def sums(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return pa.array(plain.view(np.int64)), pa.array(mixed.view(np.int64))
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, head): set size, the sums that name the set, prefix in the order of the hashes."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, other columns but the text, n, s1, s2): set size and the sums that name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(texts_of(batch), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array([len(x) for x in sets], pa.int64()), *sums(sets),
-                 lists([x[: prefix_length(len(x), percent)] for x in sets])], names=names)
+                [batch.column(0), *batch.columns[2:], pa.array([len(x) for x in sets], pa.int64()), *sums(sets)], names=names)
 
     shape = docs.select(F.col("doc_id").cast("long"), *docs.columns[2:], *[
-        F.lit(None).cast(kind).alias(name) for name, kind in (
-            ("n", "long"), ("s1", "long"), ("s2", "long"), ("head", "array<long>"))])
+        F.lit(None).cast("long").alias(name) for name in ("n", "s1", "s2")])
     names = shape.columns
     return docs.mapInArrow(run, shape.schema)
 
 
+def frequencies(docs: DataFrame, words: int, percent: int, held: int = 1 << 21) -> DataFrame:
+    """(token, n): how often tokens stand in the prefixes in the order of the hashes.
+
+    A task adds up what it has seen and leaves out what it has seen once, so the counts are lower bounds: they only
+    decide which tokens come last in the order, and frequent ones repeat within a task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(tokens):
+            values, n = np.unique(np.concatenate([*tokens, np.empty(0, U64)]), return_counts=True)
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+
+        tokens, size = [], 0
+        for batch in batches:
+            for x in shingle_sets(texts_of(batch), words):
+                tokens.append(x[: prefix_length(len(x), percent)])
+                size += len(tokens[-1])
+            if size > held:
+                yield rows(tokens)
+                tokens, size = [], 0
+        yield rows(tokens)
+
+    return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def least(tokens: np.ndarray, take: int) -> np.ndarray:
     """The first `take` tokens in the second order."""
     if take <= 0 or take >= len(tokens):
@@ -77,7 +101,11 @@ def least(tokens: np.ndarray, take: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, s1, s2, classes, first, second): counts by hash class and the prefixes under both orders."""
+    """(doc_id, s1, s2, classes, first, second): counts by hash class and the prefixes under both orders.
+
+    Counts stop at 255, which keeps their differences lower bounds. The second prefix holds half of each hash: a chance
+    match only lets a pair be verified that need not be.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(texts_of(batch), words)
@@ -90,14 +118,15 @@ def prefixes(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Dat
                 early, rest = x[~late], x[late]
                 first.append(np.concatenate([early[:take], rest[: max(0, take - len(early))]]))
                 second.append(np.concatenate([least(early, take), least(rest, take - len(early))]))
-                counts.append(np.bincount((x & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                              .astype("<u4").tobytes())
+                by_class = np.bincount((x & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                counts.append(np.minimum(by_class, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *sums(sets), pa.array(counts, pa.binary()), lists(first), lists(second)],
+                [batch.column(0), *sums(sets), pa.array(counts, pa.binary()), lists(first),
+                 lists([(x & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in second])],
                 names=["doc_id", "s1", "s2", "classes", "first", "second"])
 
     return docs.mapInArrow(
-        run, "doc_id long, s1 long, s2 long, classes binary, first array<long>, second array<long>")
+        run, "doc_id long, s1 long, s2 long, classes binary, first array<long>, second array<int>")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -126,16 +155,21 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]
 
 def gathered(tokens: DataFrame) -> DataFrame:
     """(token, node, pivot) of the tokens that several nodes hold; the pivot has the smallest hash of them."""
-    rows = tokens.withColumn("rank", F.xxhash64("node")).repartition("token").sortWithinPartitions("token", "rank")
+    rows = tokens.repartition("token").sortWithinPartitions("token", F.xxhash64("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a run's first row is held back until a second one shows that the token is shared
-        last, pivot, shown = None, None, True
+        last, pivot, shown, previous = None, None, True, None
         for batch in batches:
-            token = batch.column(0).to_numpy()
-            doc = batch.column(1).to_numpy()
+            token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # rows of copies are the same row
+            fresh = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
+            if len(token) and last is not None and token[0] == last and doc[0] == previous:
+                fresh[0] = False
+            token, doc = token[fresh], doc[fresh]
             if not len(token):
                 continue
+            previous = doc[-1]
             new = np.concatenate([[last is None or token[0] != last], token[1:] != token[:-1]])
             starts = np.flatnonzero(new)
             pivots = np.empty(len(token), np.int64)
@@ -184,7 +218,7 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
         for own in whole_runs(batches):
             token, node = own.column("token").to_numpy(), own.column("node").to_numpy()
             n, group = own.column("n").to_numpy(), own.column("gathering").to_numpy()
-            counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int32)
+            counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             sizes = np.diff(np.append(starts, len(token)))
             left, right = [], []
@@ -307,28 +341,27 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     each by its own text. `gather` and `frequent` change the work, not the result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = stored(signatures(docs.select(rows.columns + list(keep)), words, percent), "signatures")
+    found = stored(signatures(docs.select(rows.columns + list(keep)), words), "signatures")
     named = ["doc_id", "s1", "s2"]
     sets = found.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     # nodes are named by their smallest id; where that id names several texts, the others by a hash of their sets
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "s1", "s2"))
     nodes = cut(sets.withColumn("node", F.when(turn == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "s1", "s2"))))
 
-    heads = found.select(*named, "head").join(nodes.select(*named), named, "left_semi").dropDuplicates(named)
-    counts = cut(heads.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") >= frequent))
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    counts = cut(frequencies(rows, words, percent).where(F.col("n") >= frequent))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(frequent, -(-total // MOST_FREQUENT))  # so that at most MOST_FREQUENT tokens reach it
-    often = counts.where(F.col("count") >= limit).select("token").toLocalIterator()
+    often = counts.where(F.col("n") >= limit).select("token").toLocalIterator()
     last = np.sort(np.array([r[0] for r in often], dtype=np.int64).view(U64))
 
-    wide = prefixes(rows, words, percent, last).join(nodes.select(*named, "n", "node"), named)
-    wide = stored(wide.drop(*named).dropDuplicates(["node"]), "prefixes")
+    wide = join_small(prefixes(rows, words, percent, last), nodes.select(*named, "n", "node"), named)
+    wide = stored(wide.drop(*named), "prefixes")
     shared = stored(gathered(wide.select(F.explode("first").alias("token"), "node")), "shared")
-    # near copies share a good part of their prefixes, not just a common phrase
-    strong = shared.where("node != pivot").groupBy("node", "pivot").count().join(wide.select("node", "n"), "node").where(
+    classes = wide.select("node", "n", "classes").dropDuplicates(["node"])
+    strong = shared.where("node != pivot").groupBy("node", "pivot").count().join(nodes.select("node", "n"), "node").where(
         F.col("count") >= F.greatest(F.lit(gather), F.floor(F.col("n") * (100 - percent) / 300)))
     gathering = components(strong.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    meeting = shared.select("token", "node").join(wide.select("node", "n", "classes"), "node").join(
+    meeting = shared.select("token", "node").join(classes, "node").join(
         gathering, "node", "left").withColumn("gathering", F.coalesce("component", "node"))
     pairs = crossing_pairs(meeting, percent)
     second = wide.select("node", "second")
