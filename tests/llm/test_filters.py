@@ -53,8 +53,8 @@ def test_junk_goes_and_prose_stays(spark, corpus):
 def test_shards_do_not_change_costs(spark, corpus):
     docs, _, _ = corpus
     table = perplexity.model(perplexity.counted(docs.where("doc_id < 50"))).persist()
-    one = perplexity.with_costs(docs.select("doc_id", "text"), perplexity.sharded(table, 10**9))
-    many = perplexity.sharded(table, 500)
+    one = perplexity.with_costs(docs.select("doc_id", "text"), perplexity.sent(table, 10**9))
+    many = perplexity.sent(table, 500)
     assert len(many) > 3
     both = one.join(perplexity.with_costs(docs.select("doc_id", "text"), many).select("doc_id", F.col("lm_cost").alias("other")), "doc_id")
     assert both.where("abs(lm_cost - other) > 1e-6").count() == 0

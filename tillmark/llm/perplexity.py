@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,25 +150,29 @@ class Shard:
         return sums[ends] - sums[ends - sizes], sizes
 
 
-def sharded(table: DataFrame, shard_rows: int) -> list[Shard]:
+def sharded(table: DataFrame, shard_rows: int) -> Iterator[Shard]:
     """The model's shards, read one after the other; each holds about `shard_rows` rows."""
     shards = max(1, -(-table.count() // shard_rows))
     pair = tail(F.when(F.col("kind") == 0, F.shiftright("key", BITS)).otherwise(F.col("key")), 2)
     own = F.when(F.col("order") > 2, F.shiftright(pair * 0x9E3779B1, 15) % shards)
-    return [Shard(table.where(own.isNull() | (own == s)).select("order", "kind", "key", "value").toArrow(), s, shards)
-            for s in range(shards)]
+    for s in range(shards):
+        yield Shard(table.where(own.isNull() | (own == s)).select("order", "kind", "key", "value").toArrow(), s, shards)
 
 
-def with_costs(docs: DataFrame, shards: list[Shard], text: str = "text") -> DataFrame:
+def sent(table: DataFrame, shard_rows: int) -> list[Broadcast]:
+    """The shards as broadcasts; the driver holds one shard at a time."""
+    context = table.sparkSession.sparkContext
+    return [context.broadcast(shard) for shard in sharded(table, shard_rows)]
+
+
+def with_costs(docs: DataFrame, shards: list[Broadcast], text: str = "text") -> DataFrame:
     """`docs` with lm_cost (sum of negative log probabilities) and lm_chars; a null text counts as empty."""
     out = docs.withColumn("lm_cost", F.lit(0.0)).withColumn("lm_chars", F.lit(0).cast("long"))
     position, names, schema = docs.columns.index(text), out.columns, out.schema
     for shard in shards:
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cost, sizes = sent.value.costs([t or "" for t in batch.column(position).to_pylist()])
+                cost, sizes = shard.value.costs([t or "" for t in batch.column(position).to_pylist()])
                 before = batch.column(batch.num_columns - 2).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     batch.columns[:-2] + [pa.array(before + cost), pa.array(sizes)], names=names)
@@ -196,7 +201,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior_ch
     if table.count() <= 1:
         return docs.withColumn("lm_perplexity", F.lit(None).cast("double")).withColumn(
             "lm_limit", F.lit(None).cast("double")).withColumn("lm_keep", F.lit(True))
-    shards = sharded(table, shard_rows)
+    shards = sent(table, shard_rows)
     held = with_costs(join_small(texts, trusted.where(~labelled_side()), "doc_id", "left_semi"), shards)
     held = cut(held.select("lang", "lm_cost", "lm_chars"))
     mean = held.agg(F.sum("lm_cost") / F.sum("lm_chars")).first()[0]
