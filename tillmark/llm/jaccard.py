@@ -3,7 +3,9 @@
 Two sets of similarity t share a token among the first n - ceil(t n) + 1 tokens of each, under any global order of the
 tokens. Two orders are used; both put the most frequent tokens last, and within that follow different hashes. A pair is
 a candidate only if its prefixes meet under both orders, its sizes fit, and its counts in 64 hash classes do not differ
-by more than the allowed difference; candidates are then verified by their whole sets.
+by more than the allowed difference; candidates are then verified by their whole sets. Under the first order the
+prefixes must even share as many tokens as a link needs beyond the longer rest: a common token that is not in both
+prefixes stands in the rest of the set whose prefix ends first.
 
 Large groups of near copies would meet at very many tokens. So documents that share several prefix tokens with the same
 pivot of their token groups are put together first; pairs are only listed across such gatherings. Gatherings and
@@ -208,9 +210,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterat
 
 
 def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
-    """(a, b) of one token and different gatherings whose sizes and class counts allow a link.
+    """(a, b) of different gatherings whose sizes, class counts and common prefix tokens allow a link.
 
-    `rows`: token, node, n, classes, gathering. Runs of up to `short` rows are compared together, shift by shift.
+    `rows`: token, node, n, classes, gathering. A pair comes up once for each common prefix token. Runs of up to `short` rows are compared together, shift by shift.
     """
     ordered = rows.repartition("token").sortWithinPartitions("token", "n")
 
@@ -221,15 +223,20 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
             counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             sizes = np.diff(np.append(starts, len(token)))
-            left, right = [], []
+            left, right, least_shared = [], [], []
+            # a link has at least percent / (100 + percent) of both sizes in common
+            rest = n - (n + percent * n // -100 + 1)
 
             def compare(i, j):
                 fit = (group[i] != group[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
                 i, j = i[fit], j[fit]
                 apart = np.abs(counts[i] - counts[j]).sum(axis=1)
                 fit = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
-                left.append(node[i[fit]])
-                right.append(node[j[fit]])
+                i, j = i[fit], j[fit]
+                left.append(node[i])
+                right.append(node[j])
+                needed = -(-percent * (n[i] + n[j]) // (100 + percent))
+                least_shared.append(needed - np.maximum(rest[i], rest[j]))
 
             in_short = np.repeat(sizes <= short, sizes)
             for shift in range(1, min(short, int(sizes.max(initial=0)))):
@@ -248,10 +255,11 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
                         compare(np.full(len(near), i), near)
             if left:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    [pa.array(np.concatenate(c)) for c in (left, right, least_shared)], names=["a", "b", "least"])
 
-    return ordered.select("token", "node", "n", "classes", "gathering").mapInArrow(run, "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = ordered.select("token", "node", "n", "classes", "gathering").mapInArrow(run, "a long, b long, least long")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least").count().where(
+        "count >= least").select("a", "b")
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, width: int = 2048):
