@@ -218,6 +218,32 @@ def test_every_row_is_mixed_in_at_its_weight(spark):
     assert min(epochs.values()) == 0  # the source that lasts longest ends the mix
 
 
+@pytest.mark.parametrize("large, small", [((10, 1_000_000), (150, 1000)), ((10, 1_000_000), (300, 1000)),
+                                          ((30, 200_000), (400, 100))])
+def test_excess_slots_are_taken_in_proportion(spark, large, small):
+    sizes = spark.createDataFrame([("shot", 3_000_000)] + [(f"s{n}-{i}", n) for k, n in (large, small) for i in range(k)],
+                                  "mix_key string, rows long")
+    shares = {r["mix_key"]: r for r in source_shares(sizes, 1000, 0.85, None).collect()}
+    assert sum(r["e"] for r in shares.values()) == 1000
+    assert {r["e"] for r in shares.values() if r["rows"] == small[1]} == {1}
+    e = [r["e"] for r in shares.values() if r["rows"] == large[1]]
+    assert max(e) - min(e) <= 1 and min(e) >= 1
+    wanted = (3_000_000 / large[1]) ** 0.85
+    assert abs(shares["shot"]["e"] - 1 - wanted * (sum(e) / len(e) - 1)) <= wanted + 1
+
+
+def test_long_tail_of_sources_keeps_every_row(spark):
+    rows = [(i, f"big{i % 10}") for i in range(3000)] + [(3000 + i, f"small{i // 2}") for i in range(600)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, resolution=100).collect()
+    assert {r["doc_id"] for r in out} == {i for i, _ in rows}
+    slots = [r["mix_slot"] for r in out]
+    assert len(set(slots)) == len(slots) == max(slots) + 1
+    period = 10 * 310
+    first = [r["source"] for r in out if r["mix_slot"] < period]
+    assert {first.count(f"small{i}") for i in range(300)} <= set(range(1, period // 310))
+    assert min(first.count(f"big{i}") for i in range(10)) > 100
+
+
 def test_mixing_of_awkward_rows(spark):
     docs = awkward(spark)
     assert mix(docs).where("mix_epoch = 0").count() == docs.count()

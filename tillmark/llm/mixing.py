@@ -20,6 +20,7 @@ ADDED = ("mix_slot", "mix_epoch", "mix_position")
 def source_shares(sizes: DataFrame, resolution: int, power: float, weights: dict[str, float] | None) -> DataFrame:
     """(mix_key, rows, e): slots of each source in a period; they add up to `resolution`, each has one at least.
 
+    There must be no more sources than `resolution`.
     Weights are given by source (a missing one counts as 0 and gets the one slot), or grow with rows ** power.
     """
     if weights is None:
@@ -34,57 +35,73 @@ def source_shares(sizes: DataFrame, resolution: int, power: float, weights: dict
     shares = shares.withColumn("left", F.lit(resolution) - F.sum("e").over(everything))
     shares = shares.withColumn("by_rest", F.row_number().over(
         Window.orderBy(F.desc(F.when(F.col("exact") >= 1, F.col("exact") - F.floor("exact")).otherwise(-1)), "mix_key")))
-    shares = shares.withColumn("by_size", F.row_number().over(Window.orderBy(F.desc("e"), "mix_key")))
+    # slots beyond the period are taken from sources with more than one, in proportion to what they have beyond it
+    spare, beyond = F.col("e") - 1, -F.col("left") * (F.col("e") - 1)
+    shares = shares.withColumn("spare", F.greatest(F.lit(1), F.sum(spare).over(everything))).withColumn(
+        "taken", F.floor(beyond / F.col("spare"))).withColumn("part", F.pmod(beyond, F.col("spare")))
+    shares = shares.withColumn("by_part", F.row_number().over(Window.orderBy(F.desc("part"), "mix_key")))
+    odd = -F.col("left") - F.sum("taken").over(everything)
     count = F.count(F.lit(1)).over(everything)
     more = (F.when(F.col("left") >= 0, F.floor(F.col("left") / count) + (
         F.col("by_rest") <= F.pmod("left", count)).cast("long"))
-        .otherwise(F.when(F.col("by_size") == 1, F.col("left")).otherwise(0)))
+        .otherwise(-F.col("taken") - (F.col("by_part") <= odd).cast("long")))
     return shares.select("mix_key", "rows", (F.col("e") + more).cast("long").alias("e"))
 
 
 def one_period(shares: DataFrame, resolution: int) -> DataFrame:
-    """(mix_key, e, turn, slot): the slot of each of a source's blocks in a period, by earliest deadline first."""
-    sources = shares.agg(F.sort_array(F.collect_list(F.struct("mix_key", "e"))).alias("sources"))
+    """(mix_key, e, turn, slot): the slot of each of a source's blocks in a period, by earliest deadline first.
+
+    Sources of one e have the same release times and deadlines and take turns by name, so a step looks at each e once.
+    """
+    classes = shares.groupBy("e").agg(F.sort_array(F.collect_list("mix_key")).alias("keys")).agg(
+        F.sort_array(F.collect_list(F.struct("e", "keys"))).alias("classes"))
 
     def pick(used: Column, at: Column) -> Column:
-        def due(source: Column, i: Column) -> Column:
-            n = F.get(used, i)
-            deadline = F.ceil((n + 1) * resolution / source["e"])
-            return F.when(F.floor(n * resolution / source["e"]) <= at, F.struct(deadline.alias("d"), i.alias("i")))
+        def due(own: Column, i: Column) -> Column:
+            m = F.size(own["keys"])
+            n, key = F.floor(F.get(used, i) / m), F.get(own["keys"], F.pmod(F.get(used, i), m).cast("int"))
+            deadline = F.ceil((n + 1) * resolution / own["e"])
+            return F.when(F.floor(n * resolution / own["e"]) <= at,
+                          F.struct(deadline.alias("d"), key.alias("key"), i.alias("i")))
 
-        return F.array_min(F.transform("sources", due))["i"]
+        return F.array_min(F.transform("classes", due))["i"]
 
     def fill(state: Column, at: Column) -> Column:
-        chosen = pick(state["used"], at)
-        return F.struct(
-            F.transform(state["used"], lambda n, i: n + (i == pick(state["used"], at)).cast("long")).alias("used"),
-            F.concat(state["picks"], F.array(chosen)).alias("picks"))
+        def with_one(chosen: Column) -> Column:
+            return F.struct(F.transform(state["used"], lambda n, i: n + (i == chosen).cast("long")).alias("used"),
+                            F.concat(state["picks"], F.array(chosen)).alias("picks"))
+
+        return F.get(F.transform(F.array(pick(state["used"], at)), with_one), F.lit(0))  # the pick is found once
 
-    start = F.struct(F.transform("sources", lambda x: F.lit(0).cast("long")).alias("used"),
+    start = F.struct(F.transform("classes", lambda x: F.lit(0).cast("long")).alias("used"),
                      F.array().cast("array<int>").alias("picks"))
     picks = F.aggregate(F.sequence(F.lit(0), F.lit(resolution - 1)), start, fill)["picks"]
-    slots = sources.select("sources", picks.alias("picks")).select("sources", F.posexplode("picks").alias("slot", "i"))
-    slots = slots.select(F.get("sources", F.col("i")).alias("source"), "slot").select("source.mix_key", "source.e", "slot")
-    turn = F.row_number().over(Window.partitionBy("mix_key").orderBy("slot")) - 1
-    return slots.withColumn("turn", turn)
+    slots = classes.select("classes", picks.alias("picks")).select("classes", F.posexplode("picks").alias("slot", "i"))
+    slots = slots.select(F.get("classes", F.col("i")).alias("own"), "slot").select("own.keys", "own.e", "slot")
+    nth = slots.withColumn("nth", F.row_number().over(Window.partitionBy("e").orderBy("slot")) - 1)
+    return nth.select(F.get("keys", F.pmod("nth", F.size("keys"))).alias("mix_key"), "e",
+                      F.floor(F.col("nth") / F.size("keys")).alias("turn"), "slot")
 
 
 def mix(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, power: float = 0.85,
-        block_rows: int = 64, resolution: int = 1000, bucket_rows: int = 2000) -> DataFrame:
+        block_rows: int = 64, resolution: int = 1000, bucket_rows: int = 2000, source_slots: int = 10) -> DataFrame:
     """All columns of `docs` with mix_slot, mix_epoch and mix_position; each row once for every epoch it is used in.
 
     `mix_position` orders the mix: slot times block_rows plus the row's place in its block. Within a source, rows are
     ordered by a hash of their columns; equal rows are told apart arbitrarily, which no column shows. A null source is
-    a source of its own, as is the empty one. Sources must be fewer than `resolution`. Existing columns of the three
-    names are refused; an empty table gives no rows.
+    a source of its own, as is the empty one. A period has `resolution` slots, or `source_slots` for each source where
+    that is more: the one slot that every source has then distorts the weights by 1 / source_slots at most. Existing
+    columns of the three names are refused; an empty table gives no rows.
 
     Ranks come from counts per source and hash bucket, so that a source of any size is ranked by many tasks.
     """
     if clash := set(ADDED) & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     names = docs.columns
-    buckets = max(1, min(1 << 16, docs.count() // bucket_rows))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
+    total, sources = docs.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    buckets = max(1, min(1 << 16, total // bucket_rows))
+    resolution = max(resolution, source_slots * sources)
     keyed = docs.withColumn("mix_key", key).withColumn("mix_hash", F.xxhash64(*names)).withColumn(
         "mix_bucket", F.pmod(F.shiftrightunsigned("mix_hash", 20), F.lit(buckets)))
     counts = keyed.select("mix_key", "mix_bucket").groupBy("mix_key", "mix_bucket").agg(F.count("*").alias("rows"))
