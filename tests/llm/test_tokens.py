@@ -102,6 +102,40 @@ def test_best_split_equals_brute_force(model):
     assert [np.frombuffer(b, "<i4").tolist() for b in got] == [brute(w) for w in words]
 
 
+def test_runs_of_spaces_get_their_best_split(model):
+    """Whole texts by dynamic programming over strings, with every normal piece of the model file."""
+    import sentencepiece
+
+    source = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = {source.id_to_piece(i): i for i in range(source.get_piece_size())
+             if not (source.is_byte(i) or source.is_control(i) or source.is_unknown(i) or source.is_unused(i))}
+    longest = max(map(len, table))
+
+    def brute(text):
+        marked = pieces.MARKER + text.replace(" ", pieces.MARKER)
+        best = [(0.0, [])] + [None] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for begin in range(max(0, end - longest), end):
+                part = marked[begin:end]
+                if part in table:
+                    option = (best[begin][0] + source.get_score(table[part]), best[begin][1] + [table[part]])
+                elif len(part) == 1:
+                    option = (best[begin][0] + model.unknown, best[begin][1] + [int(model.byte_ids[b]) for b in part.encode()])
+                else:
+                    continue
+                if best[end] is None or option[0] > best[end][0]:
+                    best[end] = option
+        return best[-1][1]
+
+    some = [f"a{' ' * n}b" for n in range(1, 41)] + [f"x\n{' ' * n}東京{' ' * (40 - n)}end" for n in range(3, 38, 5)]
+    some += [" " * n for n in range(1, 41)] + [f"{' ' * n}x = 1{' ' * n}" for n in range(3, 41, 6)] + ["a▁▁▁ ▁b", "▁▁▁"]
+    for text, blob in zip(some, pieces.Encoder(model).encode(some), strict=True):
+        ids = np.frombuffer(blob, "<i4")
+        assert ids.tolist() == brute(text), repr(text)
+        assert model.decode(ids) == text.replace(pieces.MARKER, " ")
+    assert [source.id_to_piece(i) for i in brute("a   b")] == ["▁a", "▁▁", "▁b"]
+
+
 def test_equals_the_library_as_a_unigram_model(model):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2

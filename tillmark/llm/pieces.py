@@ -4,13 +4,15 @@ The text gets a leading space, spaces become the marker U+2581, and the split wi
 taken; of equal splits the one whose last differing piece is longest. Characters without a piece become one byte piece
 for each of their UTF-8 bytes. Decoding joins the pieces, turns markers to spaces and takes the leading one off.
 
-No piece of a model of this kind continues across a space, so a text splits exactly at its spaces. Each distinct
-space-separated part is solved once per Python worker: new parts of a batch are solved together, one numpy step for
-all of them per byte.
+No piece of a model of this kind has a marker behind another character, so a text splits exactly where a run of spaces
+begins: a part is a run of markers, which has pieces of its own, and the word after it. Models with other pieces solve
+each text whole. Each distinct part is solved once per Python worker: new parts of a batch are solved together, one
+numpy step for all of them per byte.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKER = "▁"
+PART = re.compile(f"{MARKER}+[^{MARKER}]*")
 IDS = pa.list_(pa.int32())
 
 
@@ -85,11 +88,10 @@ class PieceModel:
         self.byte_ids = np.array([source.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         plain = [i for i in range(n) if not (source.is_byte(i) or source.is_control(i) or source.is_unknown(i)
                                              or source.is_unused(i))]
-        # runs of markers alone have the worst score of all: single markers always win
-        matched = [i for i in plain if MARKER not in names[i][1:]]
+        self.splits = not any(MARKER in names[i].lstrip(MARKER) for i in plain)
         self.scores = np.array([source.get_score(i) for i in range(n)])
-        self.unknown = min(self.scores[matched], default=0.0) - 10
-        self.trie = DoubleArray({names[i].encode(): i for i in matched})
+        self.unknown = min(self.scores[plain], default=0.0) - 10
+        self.trie = DoubleArray({names[i].encode(): i for i in plain})
         table = {i: names[i].encode() for i in plain} | {int(b): bytes([k]) for k, b in enumerate(self.byte_ids)}
         self.bytes_of = [table.get(i, b"") for i in range(n)]
 
@@ -182,9 +184,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.solved) > self.limit:
             self.solved.clear()
-        split = [text.split(" ") for text in texts]
+        marked = [MARKER + text.replace(" ", MARKER) for text in texts]
+        split = [PART.findall(text) for text in marked] if self.model.splits else [[text] for text in marked]
         missing = list({part for own in split for part in own} - self.solved.keys())
-        self.solved.update(zip(missing, self.model.solve([(MARKER + part).encode() for part in missing]), strict=True))
+        self.solved.update(zip(missing, self.model.solve([part.encode() for part in missing]), strict=True))
         get = self.solved.__getitem__
         return [b"".join(map(get, own)) if text else b"" for own, text in zip(split, texts, strict=True)]
 
