@@ -162,6 +162,46 @@ def test_toxic_texts_are_found_misspelled_ones_too(spark, corpus):
     assert plain >= 0.7 and twisted >= 0.7 and said < plain and none < 0.3
 
 
+def invented_words(n):
+    rng = random.Random(5)
+    return ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(n)]
+
+
+def test_several_automata_equal_one():
+    rng = random.Random(6)
+    terms = sorted({w + rng.choice(["", "\0"]) for w in invented_words(12)})
+    words = [*invented_words(12), *(w[1:] + "s" for w in invented_words(12)), *invented_words(60), "x" * 200]
+    text = " ".join(words)
+    one, many = toxicity.Automaton(terms), toxicity.Automata(terms, group=3)
+    assert len(many.parts) > 2
+    for a, b in zip(one.match(*toxicity.spans(text)), many.match(*toxicity.spans(text)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_no_significant_term_is_cut_off():
+    words = sorted(set(invented_words(400)))
+    counts = {w + "\0": 20 + i % 7 for i, w in enumerate(words)}
+    assert len(toxicity.chosen_terms(counts, {}, 8000, 12_000, 5000, 0.8)) == len(words) > 300
+
+
+def test_rich_toxic_vocabulary_is_learned_whole(spark):
+    rng = random.Random(7)
+    abuse = sorted(set(invented_words(260)))
+    docs, labels = [], []
+    for i in range(24_000):
+        words = prose(rng, 8).split(" ")
+        if i % 4 == 1:
+            words.insert(4, abuse[i // 4 % len(abuse)])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 1)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = toxicity.learn(table, spark.createDataFrame(labels, LABELS))
+    assert len(model.automaton.terms) > 150
+    scores = model.scores([f"the garden {word} walks" for word in abuse])
+    assert (scores >= 0.7).mean() >= 0.95
+    assert model.scores(["the garden walks"])[0] < 0.5
+
+
 def test_toxicity_of_awkward_rows(spark, corpus):
     docs, labels, _ = corpus
     model = toxicity.learn(docs, labels)

@@ -2,8 +2,8 @@
 
 The lexicon comes from labelled texts: words and word beginnings (stems) that occur far more often in toxic ones. Its
 trie and the Levenshtein automaton are intersected once into one table of states (sets of trie nodes with the edits
-spent), so that a batch's words are matched by one table step per character, exact or misspelled alike. Letters written
-as digits or signs count as the letters. Each hit weighs by its window: inside quotation marks or after a reporting
+spent), so that a batch's new words are matched by one table step per character, exact or misspelled alike. A large
+lexicon has several tables, each for a run of its sorted terms. Letters written as digits or signs count as the letters. Each hit weighs by its window: inside quotation marks or after a reporting
 word it is likely a quotation and counts for less. A logistic regression of the weighted sums gives the score.
 
 The labelled texts are a bounded sample (`sample_rows` rows by the hash of their ids); every text is scored whole.
@@ -26,6 +26,7 @@ LEET = str.maketrans("013457@$", "oieastas")
 REPORTING = frozenset("said says wrote called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 OPENING, CLOSING, PLAIN = "“„«‹", "”“»›", "\"'"
 SHORTEST, LONGEST = 3, 16
+GROUP = 150
 WORD_TABLE = np.array([chr(c).isalnum() or chr(c) in "@$" if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)])
 PARTS = ("exact", "misspelled")
 
@@ -154,6 +155,25 @@ class Automaton:
         return hit, self.term[state[hit]], self.edits[state[hit]]
 
 
+class Automata:
+    """One automaton for each run of `group` sorted terms: their size grows with the number of terms, not faster."""
+
+    def __init__(self, terms: list[str], group: int = GROUP):
+        self.terms, self.longest = terms, max(map(len, terms))
+        self.parts = [(at, Automaton(terms[at : at + group])) for at in range(0, len(terms), group)]
+
+    def match(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """(word numbers, terms, edits) of the words that match; of several terms the first of the fewest edits."""
+        term, fewest = np.full(len(begin), -1), np.full(len(begin), 9)
+        for at, part in self.parts:
+            hit, own, edits = part.match(points, begin, end)
+            better = edits < fewest[hit]
+            hit = hit[better]
+            term[hit], fewest[hit] = own[better] + at, edits[better]
+        hit = np.flatnonzero(term >= 0)
+        return hit, term[hit], fewest[hit]
+
+
 def context_weight(text: str, begin: int, end: int, quoted_weight: float, window: int = 60) -> float:
     """1 for a hit that stands for itself, `quoted_weight` for one that seems to be quoted."""
     before, after = text[max(0, begin - window) : begin], text[end : end + window]
@@ -168,17 +188,33 @@ def context_weight(text: str, begin: int, end: int, quoted_weight: float, window
 
 
 class Model:
-    def __init__(self, automaton: Automaton | None, trusted: np.ndarray | None, weights: np.ndarray, quoted_weight: float):
+    def __init__(self, automaton: Automata | None, trusted: np.ndarray | None, weights: np.ndarray, quoted_weight: float):
         self.automaton, self.trusted, self.weights, self.quoted_weight = automaton, trusted, weights, quoted_weight
+        self.known: dict[str, tuple[int, int] | None] = {}
 
     def found(self, texts: list[str]):
         """For each hit: number of the text, term, edits, weight by context."""
-        for i, text in enumerate(texts):
-            points, begin, end = spans(folded(text))
-            if len(begin):
-                hit, term, edits = self.automaton.match(points, begin, end)
-                for h, t, e in zip(hit.tolist(), term.tolist(), edits.tolist(), strict=True):
-                    yield i, t, e, context_weight(text, int(begin[h]), int(end[h]), self.quoted_weight)
+        reach = self.automaton.longest + 3  # what follows in a longer word changes nothing
+        split = []
+        for text in texts:
+            low = folded(text)
+            _, begin, end = spans(low)
+            split.append([(low[a : min(b, a + reach)], a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        self.learn_words({word for own in split for word, _, _ in own})
+        for i, own in enumerate(split):
+            for word, a, b in own:
+                if match := self.known[word]:
+                    yield i, *match, context_weight(texts[i], a, b, self.quoted_weight)
+
+    def learn_words(self, words: set[str], limit: int = 300_000) -> None:
+        """Matches of the words, each found once; the memory is emptied when it is full, which changes no result."""
+        if len(self.known) > limit:
+            self.known.clear()
+        missing = list(words - self.known.keys())
+        points, begin, end = spans(" ".join(missing))
+        self.known.update(dict.fromkeys(missing))
+        for h, t, e in zip(*(x.tolist() for x in self.automaton.match(points, begin, end)), strict=True):
+            self.known[missing[h]] = (t, e)
 
     def features(self, texts: list[str]) -> np.ndarray:
         sums = np.zeros((len(texts), len(PARTS)))
@@ -194,7 +230,7 @@ class Model:
 
 
 def chosen_terms(positive: dict[str, int], negative: dict[str, int], toxic: int, clean: int, tested: int,
-                 precision: float, most: int) -> list[str]:
+                 precision: float) -> list[str]:
     """Terms of high precision that chance among `tested` forms does not explain; of nested ones a single one."""
     rate = toxic / (toxic + clean)
     good = {}
@@ -212,7 +248,7 @@ def chosen_terms(positive: dict[str, int], negative: dict[str, int], toxic: int,
         elif good[term] >= 0.9 * kept[shorter]:  # the longer form says the same more precisely
             del kept[shorter]
             kept[term] = good[term]
-    return sorted(sorted(kept, key=lambda t: (-kept[t], t))[:most])
+    return sorted(kept)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -232,7 +268,7 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, precision: float = 0.8, most_terms: int = 150,
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, precision: float = 0.8,
           quoted_weight: float = 0.25) -> Model:
     """A model from at most `sample_rows` labelled texts; labels on the held-out side are not read."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(labelled_side()).groupBy("doc_id").agg(
@@ -247,27 +283,29 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, precisi
     if not toxic or not clean:
         return none
 
-    def counted(rows: DataFrame, only: frozenset | None) -> DataFrame:
+    def counted(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    counts.update(forms(text) if only is None else forms(text) & only)
+                    counts.update(forms(text))
             yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())},
                                              schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
         return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    found = cut(counted(texts.where("toxic = 1"), None))
+    found = cut(counted(texts.where("toxic = 1")))
     tested = found.count()
-    # one toxic text holds a bounded number of forms that often ones can share, so this list is short
-    often = found.where(F.col("n") >= max(3, toxic // 200)).orderBy(F.desc("n"), "term").limit(200_000)
-    positive = dict(often.toLocalIterator())
-    negative = dict(counted(texts.where("toxic = 0"), frozenset(positive)).toLocalIterator())
-    terms = chosen_terms(positive, negative, toxic, clean, tested, precision, most_terms)
+    # rarer forms fail the test against chance even if no clean text has them
+    least = max(3, math.floor(math.log(max(tested, 1) / 0.05) / -math.log(toxic / (toxic + clean))))
+    others = counted(texts.where("toxic = 0")).select("term", F.col("n").alias("other"))
+    pairs = found.where(F.col("n") >= least).join(others, "term", "left").fillna(0, ["other"])
+    precise = pairs.where((F.col("n") + 0.5) / (F.col("n") + F.col("other") + 1) >= precision).collect()
+    terms = chosen_terms({r["term"]: r["n"] for r in precise}, {r["term"]: r["other"] for r in precise}, toxic, clean, tested,
+                         precision)
     if not terms:
         return none
-    draft = Model(Automaton(terms), None, np.zeros(3), quoted_weight)
+    draft = Model(Automata(terms), None, np.zeros(3), quoted_weight)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
