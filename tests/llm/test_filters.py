@@ -60,6 +60,16 @@ def test_shards_do_not_change_costs(spark, corpus):
     assert both.where("abs(lm_cost - other) > 1e-6").count() == 0
 
 
+def test_large_models_are_joined_not_broadcast(spark, corpus, monkeypatch):
+    docs, labels, _ = corpus
+    docs = docs.unionByName(awkward(spark))
+    want = sorted(map(str, perplexity.quality(docs, labels).select("doc_id", F.round("lm_perplexity", 6), "lm_keep").collect()))
+    monkeypatch.setattr(perplexity, "sent", None)  # nothing may pass through the driver
+    out = perplexity.quality(cluttered(docs), labels, shard_rows=500)
+    assert out.columns == [*cluttered(docs).columns, "lm_perplexity", "lm_limit", "lm_keep"]
+    assert sorted(map(str, out.select("doc_id", F.round("lm_perplexity", 6), "lm_keep").collect())) == want
+
+
 def test_probabilities_equal_brute_force_and_add_up(spark):
     text = "abracadabra abra cadabra"
     docs = spark.createDataFrame([(text,)], "text string")

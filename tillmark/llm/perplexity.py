@@ -4,9 +4,11 @@ The n-grams of all trusted texts are counted in tasks and summed by key. An n-gr
 character (code points modulo 4096), so suffixes and contexts are shifts, and the lower orders' continuation counts,
 the three discounts of each order and the interpolated probabilities are joins and groupings of count tables.
 
-For scoring, the probability table is cut to shards of bounded size by the two characters before the last one; what the
-two lowest orders hold is in every shard. A shard is broadcast and every text meets it in place: the positions whose
-context falls into the shard add to the text's sums. Texts are never shuffled, and the model may be of any size.
+For scoring, a probability table of a few shards is cut by the two characters before the last one; what the two lowest
+orders hold is in every shard. A shard is broadcast and every text meets it in place: the positions whose context falls
+into the shard add to the text's sums, and no text is shuffled. A larger table stays where it is: the distinct n-grams
+of the texts are joined with it by key, and the costs go back to the blocks of texts that hold those n-grams. So neither
+the driver nor a task ever holds more than a few shards, and the model may be of any size.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, join_small, labelled_side
+from tillmark.llm.common import cut, join_small, labelled_side, stored
 
 ORDER, BITS = 5, 12
 ONE = (1 << BITS) - 1
@@ -181,28 +183,89 @@ def with_costs(docs: DataFrame, shards: list[Broadcast], text: str = "text") ->
     return out
 
 
+def joined_costs(grams: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, cost) of distinct n-grams: the negative log probability of each one's last character."""
+    unseen = table.where("order = 0").first()["value"]
+    out = grams.select("key").withColumn("p", F.lit(unseen))
+    for n in range(1, ORDER + 1):
+        for kind, name in ((0, "seen"), (1, "rest")):
+            own = table.where((F.col("order") == n) & (F.col("kind") == kind)).select(
+                F.col("key").alias("at"), F.col("value").alias(name))
+            at = tail("key", n) if kind == 0 else F.shiftright(tail("key", n), BITS)
+            out = join_small(out.withColumn("at", at), own, "at", "left").drop("at")
+        out = out.select("key", F.coalesce("seen", F.coalesce("rest", F.lit(1.0)) * F.col("p")).alias("p"))
+    return out.select("key", (-F.log("p")).alias("cost"))
+
+
+def with_joined_costs(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
+    """As `with_costs`, for a model of any size; a task holds one block of texts and the costs of its n-grams."""
+    wide = docs.withColumn("lm_block", F.lit(0).cast("long"))
+    position, names = docs.columns.index(text), wide.columns
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for i, batch in enumerate(batches):
+            block = pa.array(np.full(batch.num_rows, first + i, np.int64))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [block], names=names)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(1).to_numpy()
+            for block in np.unique(blocks):
+                own = batch.column(0).filter(pa.array(blocks == block)).to_pylist()
+                keys = np.unique(windows([t or "" for t in own])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys)], names=["lm_block", "key"])
+
+    # the blocks are written: their numbers must not change between the two reads
+    blocked = stored(wide.mapInArrow(numbered, wide.schema), "blocks")
+    grams = cut(blocked.select(text, "lm_block").mapInArrow(distinct, "lm_block long, key long").distinct())
+    costs = cut(joined_costs(grams.select("key").distinct(), table))
+    schema = docs.withColumn("lm_cost", F.lit(0.0)).withColumn("lm_chars", F.lit(0).cast("long")).schema
+
+    def summed(texts: pa.Table, known: pa.Table) -> pa.Table:
+        values = [t or "" for t in texts.column(text).to_pylist()]
+        found, sizes = windows(values)
+        keys, cost = known.column("key").to_numpy(), known.column("cost").to_numpy()
+        order = np.argsort(keys)
+        each = cost[order][np.searchsorted(keys[order], found)] if len(found) else np.empty(0)
+        sums, ends = np.append(0.0, np.cumsum(each)), np.cumsum(sizes)
+        out = texts.drop_columns(["lm_block"])
+        return out.append_column("lm_cost", pa.array(sums[ends] - sums[ends - sizes])).append_column("lm_chars", pa.array(sizes))
+
+    return blocked.groupBy("lm_block").cogroup(grams.join(costs, "key").groupBy("lm_block")).applyInArrow(summed, schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior_chars: int = 100, least: int = 50,
-            shard_rows: int = 3_000_000) -> DataFrame:
+            shard_rows: int = 3_000_000, most_shards: int = 4) -> DataFrame:
     """All columns of `docs` with lm_perplexity, lm_limit and lm_keep.
 
     Trusted texts have label quality = 1. Two thirds of them, by their ids, train the model; a language's limit is the
     `quantile` of the perplexities of the others. Perplexities are per character, after `prior_chars` characters of
     average cost, so that very short texts are not judged by a few letters. Languages with fewer than `least` such
     texts, and null ones, take the limit of all languages together. Without trusted texts everything is kept. Null
-    texts count as empty, have the average perplexity and are kept. Rows keep their order, number and columns; columns
-    beginning with lm_ are refused. Labels that repeat an id count if any of them is 1.
+    texts count as empty, have the average perplexity and are kept. Rows keep their number and columns, and their order
+    while the model has at most `most_shards` shards, which are broadcast; a larger one is joined. Columns beginning with
+    lm_ are refused. Labels that repeat an id count if any of them is 1.
     """
-    if clash := {"lm_cost", "lm_chars", "lm_perplexity", "lm_limit", "lm_keep"} & set(docs.columns):
+    if clash := {"lm_cost", "lm_chars", "lm_perplexity", "lm_limit", "lm_keep", "lm_block"} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     texts = docs.select("doc_id", "lang", "text")
     counts = counted(join_small(texts, trusted.where(labelled_side()), "doc_id", "left_semi"))
     table = cut(model(counts))
-    if table.count() <= 1:
+    entries = table.count()
+    if entries <= 1:
         return docs.withColumn("lm_perplexity", F.lit(None).cast("double")).withColumn(
             "lm_limit", F.lit(None).cast("double")).withColumn("lm_keep", F.lit(True))
-    shards = sent(table, shard_rows)
-    held = with_costs(join_small(texts, trusted.where(~labelled_side()), "doc_id", "left_semi"), shards)
+    if entries <= most_shards * shard_rows:
+        shards = sent(table, shard_rows)
+
+        def priced(rows: DataFrame) -> DataFrame:
+            return with_costs(rows, shards)
+    else:
+        def priced(rows: DataFrame) -> DataFrame:
+            return with_joined_costs(rows, table)
+    held = priced(join_small(texts, trusted.where(~labelled_side()), "doc_id", "left_semi"))
     held = cut(held.select("lang", "lm_cost", "lm_chars"))
     mean = held.agg(F.sum("lm_cost") / F.sum("lm_chars")).first()[0]
     if mean is None:  # no text is left to set limits by
@@ -212,7 +275,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior_ch
         overall = held.agg(F.percentile_approx(rate, quantile, 100_000)).first()[0]
         limits = held.where("lang IS NOT NULL").groupBy("lang").agg(
             F.count("*").alias("n"), F.percentile_approx(rate, quantile, 100_000).alias("limit_")).where(F.col("n") >= least)
-    scored = with_costs(docs, shards)
+    scored = priced(docs)
     rate = (F.col("lm_cost") + prior_chars * mean) / (F.col("lm_chars") + prior_chars)
     if limits is None:
         scored = scored.withColumn("limit_", F.lit(None).cast("double"))
