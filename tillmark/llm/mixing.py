@@ -110,9 +110,12 @@ def mix(docs: DataFrame, source: str = "source", weights: dict[str, float] | Non
 
     shares = source_shares(counts.groupBy("mix_key").agg(F.sum("rows").alias("rows")), resolution, power, weights)
     slots = one_period(shares, resolution)
+    # the mix ends with the last slot that holds a block of some source's first epoch
     blocks = F.ceil(F.col("rows") / block_rows)
-    lasts = F.ceil(blocks * resolution / F.col("e"))
-    facts = shares.select("mix_key", "e", blocks.alias("blocks"), F.max(lasts).over(Window.partitionBy()).alias("horizon"))
+    sized = shares.select("mix_key", "e", blocks.alias("blocks"), F.pmod(blocks - 1, F.col("e")).alias("turn"))
+    first_ends = F.floor((F.col("blocks") - 1) / F.col("e")) * resolution + F.col("slot") + 1
+    facts = sized.join(slots.select("mix_key", "turn", "slot"), ["mix_key", "turn"]).select(
+        "mix_key", "e", "blocks", F.max(first_ends).over(Window.partitionBy()).alias("horizon"))
 
     place = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash")) - 1
     ranked = keyed.withColumn("place", place).join(offsets, ["mix_key", "mix_bucket"])
