@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillmark.llm import chat, licences, token_files, toxicity
+from tillmark.llm import chat, licences, periodic, token_files, toxicity
 from tillmark.llm.common import labelled_side, prepare, table, tokenizer_path
 from tillmark.llm.fingerprints import edited_documents
 from tillmark.llm.jaccard import jaccard_components
@@ -82,6 +82,12 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return periodic.report(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return corpus_pipeline.run(spark, folder)
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {}
