@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillmark.llm import chat, licences, periodic, token_files, toxicity
+from tillmark.llm import chat, language, licences, periodic, phrases, token_files, toxicity
 from tillmark.llm.common import labelled_side, prepare, table, tokenizer_path
 from tillmark.llm.fingerprints import edited_documents
 from tillmark.llm.jaccard import jaccard_components
@@ -88,6 +88,18 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.report(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, ["doc_id"])
+    return found.select("doc_id", F.coalesce(~labelled_side(), F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return corpus_pipeline.run(spark, folder)
@@ -105,6 +117,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_language": op13_language,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_collocations": phrases.SQL}
