@@ -2,8 +2,7 @@
 
 All queries run in append mode with a watermark: a window or session is
 emitted once, when it can no longer change, and late rows beyond the watermark
-are dropped. State is bounded by the open windows. Distinct counts need no
-state of their own because receipts are unique rows.
+are dropped. State is bounded by the open windows.
 """
 
 from __future__ import annotations
@@ -70,6 +69,41 @@ def churn_alarms(stream: DataFrame, ts: str, by: str, days: int = 28, delay: str
     )
 
 
+def session_bounces(stream: DataFrame, ts: str, user: str, by: str, gap: str = "6 hours", width: str = "1 day",
+                    delay: str = "1 day") -> DataFrame:
+    """Sessions and bounces (sessions of one event) per group and window of the session's end.
+
+    Two stateful steps in append mode: sessions close when the watermark passes their end and are then counted in
+    tumbling windows, which close behind them. The group is taken from the session's first events; it must not change
+    within one.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    closed = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("s"), user, by).agg(F.count(F.lit(1)).alias("events"))
+    ended = closed.select(F.window_time("s").alias("ended_at"), by, "events")
+    counted = ended.groupBy(F.window("ended_at", width).alias("w"), by).agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("events") == 1).alias("bounces"))
+    return counted.select(F.col("w.start").alias("window_start"), by, "sessions", "bounces",
+                          (F.col("bounces") / F.col("sessions")).alias("bounce_rate"))
+
+
+def monthly_customers(stream: DataFrame, ts: str, amount: str, by: str, customer: str, delay: str = "31 days") -> DataFrame:
+    """Distinct customers, revenue and receipts per calendar month and group.
+
+    The event time is the last moment of a row's month. A first step keeps one state row per month, group and customer,
+    a second one counts them, so that distinct counts are exact and no task ever holds the customers of a month. With a
+    delay of 31 days a month is reported when the second month after it begins; until then late rows are taken in.
+    A null customer counts in the revenue and receipts alone.
+    """
+    last = F.expr(f"CAST(add_months(trunc({ts}, 'MM'), 1) AS TIMESTAMP) - INTERVAL 1 MICROSECOND")
+    rows = stream.withColumn("month_close", last).withWatermark("month_close", delay)
+    each = rows.groupBy(F.window("month_close", "1 day").alias("w"), by, customer).agg(
+        F.sum(amount).alias("revenue"), F.count(F.lit(1)).alias("receipts"))
+    each = each.select(F.window_time("w").alias("month_close"), by, customer, "revenue", "receipts")
+    months = each.groupBy(F.window("month_close", "1 day").alias("w"), by).agg(
+        F.count(customer).alias("customers"), F.sum("revenue").alias("revenue"), F.sum("receipts").alias("receipts"))
+    return months.select(F.trunc(F.to_date("w.start"), "MM").alias("month"), by, "customers", "revenue", "receipts")
+
+
 def run_available(df: DataFrame, label: str) -> DataFrame:
     """Process what is there into parquet files of the shared folder and return them as a table."""
     spark = df.sparkSession
