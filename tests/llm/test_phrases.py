@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import awkward, cluttered, nothing
@@ -70,12 +71,17 @@ def test_collocations_equal_brute_force(spark, seed):
 def test_phrases_of_one_fingerprint_are_counted_apart(spark, monkeypatch):
     """With fingerprints of four values nearly everything collides; the counts stay those of the texts."""
     rows = texts(3)
-    batch = phrases.Batch([t for t, _ in rows], [x for _, x in rows], phrases.Words())
-    at = np.flatnonzero(batch.starts(2))
-    pointer, counts = batch.grouped(at, 2, batch.fingerprints(at, 2) & phrases.U64(3))
-    want = Counter((batch.lang[i], batch.codes[i], batch.codes[i + 1]) for i in at.tolist())
-    got = {(batch.lang[i], batch.codes[i], batch.codes[i + 1]): n for i, n in zip(pointer.tolist(), counts.tolist(), strict=True)}
-    assert got == dict(want)
+    batch = spark.createDataFrame(rows, "text string, lang string").toArrow().to_batches()
+    monkeypatch.setattr(phrases, "PART", 700)
+    want, got = Counter(), Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").lower()):
+            words = piece.split()
+            want.update(("und" if lang is None else lang, " ".join(p).encode()) for p in zip(words, words[1:]))
+    for part in phrases.read(batch):
+        at = np.flatnonzero(part.starts(2))
+        got.update(dict(part.grouped(at, 2, part.fingerprints(at, 2) & phrases.U64(3))))
+    assert got == want
     docs = spark.createDataFrame(rows, "text string, lang string")
     small = phrases.frequent_phrases(docs, 5, most_bits=1 << 8)[0]
     large = phrases.frequent_phrases(docs, 5)[0]
@@ -90,6 +96,18 @@ def test_whole_table_equals_sql(spark, folder):
     assert got == sorted(want) and got
 
 
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 16)
+    text = "one two three. four five six seven eight nine ten eleven; a b c d, " * 5
+    batch = pa.RecordBatch.from_pydict({"text": ["x y", text, None, ""], "lang": ["en", "fr", "en", None]})
+    parts = list(phrases.read([batch]))
+    assert len(parts) > 10
+    words = [w for part in parts for w in part.bytes.tobytes().decode().split()]
+    assert words == ["x", "y", *re.findall(r"[a-z]+", text)]
+    fours = sum(int(part.starts(4).sum()) for part in parts)
+    assert fours == 5 * (0 + 5 + 1)
+
+
 def test_large_counts_are_exact(spark):
     whole = "CAST({} AS DECIMAL(19, 0))".format
     rows = spark.createDataFrame([(3_000_000_000_000, 9_000_000_000_000, 3_000_000_000_001, 3_000_000_000_003)],

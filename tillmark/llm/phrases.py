@@ -1,102 +1,101 @@
 """Frequent phrases of two to five words and how firmly their words belong together.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words; A-Z are lower-cased. Everything is counted per
-language. Each length is one pass over the texts: prefix polynomials over word hashes, modulo 2^64, give the fingerprint
-of every n-gram in numpy, and the shuffle adds up how often each fingerprint occurs. An n-gram is only counted if both its
-(n-1)-grams may be frequent.
+language. Each length is one pass over the texts: a prefix polynomial over the bytes of the words, modulo 2^64, gives the
+fingerprint of every n-gram in numpy, and the shuffle adds up how often each fingerprint occurs. An n-gram is only counted
+if both its (n-1)-grams may be frequent.
 
 What may be frequent is a bit map over fingerprints. Its size is bounded, and it errs on one side only: a bit set by
 another fingerprint lets rows through that the later counts remove, at any size of the corpus.
 
-A last pass groups the occurrences of the frequent fingerprints of a batch, each group with a pointer to one of them (text
-and word), and compares the words of every occurrence with those at the pointer, so that phrases of one fingerprint are
-counted apart. The pointers give the words of each group, and the counts are added up by language and text. So, single
-words apart, only frequent phrases ever become texts, and the counts returned belong to texts, not to fingerprints.
+A last pass groups the occurrences of the frequent fingerprints, each group with a pointer to one of them in the text, and
+compares the bytes of every occurrence with those at the pointer, so that phrases of one fingerprint are counted apart.
+The pointers give the words of each group, and the counts are added up by language and text. So only frequent phrases ever
+become texts, and the counts returned belong to texts, not to fingerprints.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, join_small, stored
+from tillmark.llm.common import cut, join_small
 from tillmark.llm.wordhash import U64, mix, powers
 
 #: A-Z to a-z, the characters that end a piece to a line feed, the tab to a space.
 FOLDED = bytes(0x0A if chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 0x09 else b + 32 if 65 <= b <= 90 else b
                for b in range(256))
-KNOWN = 1 << 20  # words whose numbers a task keeps
+PART = 1 << 20  # bytes of text hashed together
 HELD = 1 << 22  # n-grams a task holds before it groups them
 NO_LANGUAGE = "und"
 
 
-class Words(dict):
-    """Numbers of words, given when a word is first met, with a hash for each."""
-
-    def __init__(self):
-        self.names: list[bytes] = []
-        self.hashes = np.empty(1024, dtype=U64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
-        self.hashes[number] = xxhash.xxh3_64_intdigest(word)
-        return number
-
-
-class Batch:
-    """The words of some texts: number, piece and language of each, laid end to end."""
-
-    def __init__(self, texts: list[str | None], langs: list[str | None], words: Words):
-        pieces = [[p.split() for p in (t or "").encode("utf-8", "surrogatepass").translate(FOLDED).split(b"\n")] for t in texts]
-        sizes = np.array([len(p) for own in pieces for p in own], dtype=np.int64)
-        self.words = words
-        self.codes = np.fromiter((words[w] for own in pieces for p in own for w in p), np.int64, int(sizes.sum()))
-        self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        self.langs = sorted({NO_LANGUAGE if lang is None else lang for lang in langs})
-        places = {lang: i for i, lang in enumerate(self.langs)}
-        of_text = np.array([places[NO_LANGUAGE if lang is None else lang] for lang in langs], dtype=np.int64)
-        counts = np.array([sum(map(len, own)) for own in pieces], dtype=np.int64)
-        self.lang = np.repeat(of_text, counts)
-        seeds = np.array([xxhash.xxh3_64_intdigest(b"\0" + lang.encode("utf-8", "surrogatepass")) for lang in self.langs], U64)
-        self.seed = seeds[self.lang] if len(seeds) else np.empty(0, U64)
-        power, self.inverse = powers(len(self.codes) + 1)
+class Part:
+    """Some texts, or some pieces of a long one: their words laid end to end, each with one space after it."""
+
+    def __init__(self, data: bytes, begins: list[int], langs: list[str]):
+        """`begins` are the places at which texts begin, `langs` their languages."""
+        raw = np.frombuffer(data + b"\n", dtype=np.uint8)
+        ends_piece = raw == 0x0A
+        inside = ~(ends_piece | (raw == 0x20))
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.langs = sorted(set(langs))
+        places = np.array([self.langs.index(lang) for lang in langs], dtype=np.int64)
+        self.lang = places[np.searchsorted(begins, start, "right") - 1]
+        self.piece = np.cumsum(ends_piece, dtype=np.int64)[start]
+        self.end = np.cumsum(end - start + 1) - 1
+        self.start = self.end - (end - start)
+        inside[end] = True
+        self.bytes = raw[inside]
+        self.bytes[self.end] = 0x20
+        power, self.inverse = powers(len(self.bytes) + 1)
+        self.sums = np.zeros(len(self.bytes) + 1, dtype=U64)
         with np.errstate(over="ignore"):
-            self.sums = np.append(U64(0), np.cumsum(words.hashes[self.codes] * power[: len(self.codes)], dtype=U64))
+            np.cumsum((self.bytes.astype(U64) + U64(1)) * power[: len(self.bytes)], out=self.sums[1:])
+        self.seeds = np.array([int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                               for lang in self.langs], dtype=U64)
 
     def starts(self, n: int) -> np.ndarray:
         """Is there an n-gram within one piece from each word on?"""
-        out = np.zeros(len(self.codes), dtype=bool)
-        last = len(self.codes) - n + 1
+        out = np.zeros(len(self.start), dtype=bool)
+        last = len(self.start) - n + 1
         if last > 0:
             out[:last] = self.piece[:last] == self.piece[n - 1 :]
         return out
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the bytes from the first word of each n-gram to its last, and its language."""
+        first, last = self.start[at], self.end[at + n - 1]
         with np.errstate(over="ignore"):
-            value = (self.sums[at + n] - self.sums[at]) * self.inverse[at]
-            return mix(value ^ mix(self.seed[at] + U64(n)))
+            value = (self.sums[last] - self.sums[first]) * self.inverse[first] + (last - first).astype(U64) * U64(0xD6E8FEB86659FD93)
+            return mix(value ^ mix(self.seeds + U64(n))[self.lang[at]])
 
-    def grouped(self, at: np.ndarray, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pointer, count) of the distinct n-grams at `at`: their words decide, fingerprints only bring them together."""
+    def grouped(self, at: np.ndarray, n: int, prints: np.ndarray) -> list[tuple[tuple[str, bytes], int]]:
+        """((language, phrase), count) of the n-grams at `at`: their bytes decide, fingerprints only bring them together."""
         _, pointer, group, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-        first = at[pointer]
-        same = self.lang[at] == self.lang[first[group]]
-        for i in range(n):
-            same &= self.codes[at + i] == self.codes[first[group] + i]
+        first, size = self.start[at], self.end[at + n - 1] - self.start[at]
+        pointed = pointer[group]
+        same = (size == size[pointed]) & (self.lang[at] == self.lang[at[pointed]])
         if same.all():
-            return first, counts
-        rows = np.column_stack([self.lang[at], *[self.codes[at + i] for i in range(n)]])
-        _, pointer, counts = np.unique(rows, axis=0, return_index=True, return_counts=True)
-        return at[pointer], counts
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            same = self.bytes[np.repeat(first, size) + within] == self.bytes[np.repeat(first[pointed], size) + within]
+        data = self.bytes.tobytes()
+
+        def named(i: np.ndarray) -> list[tuple[str, bytes]]:
+            spans = zip(self.lang[at[i]].tolist(), first[i].tolist(), (first[i] + size[i]).tolist(), strict=True)
+            return [(self.langs[k], data[a:b]) for k, a, b in spans]
+
+        if same.all():
+            return list(zip(named(pointer), counts.tolist(), strict=True))
+        return list(Counter(named(np.arange(len(at)))).items())
 
 
 class Bits:
@@ -110,22 +109,31 @@ class Bits:
         return (self.cells[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1) == 1
 
 
-def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
-    """Batches of (text, lang); the words of a task keep their numbers until there are too many."""
-    words = Words()
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """Parts of about PART bytes of the batches of (text, lang); long texts are cut at the end of a piece."""
     for batch in batches:
-        if len(words) > KNOWN:
-            words = Words()
-        yield Batch(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words)
-
-
-def word_counts(texts: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, phrase, f) of all words."""
-    return counted_texts(texts, text, lang, {1: None})
-
-
-def counted_texts(texts: DataFrame, text: str, lang: str, bits: dict[int, Broadcast | None], held: int = 1 << 18) -> DataFrame:
-    """(lang, phrase, f) of the n-grams whose fingerprints may be frequent (None: of all)."""
+        held, begins, langs, size = [], [], [], 0
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data, at = (text or "").encode("utf-8", "surrogatepass").translate(FOLDED), 0
+            lang = NO_LANGUAGE if lang is None else lang
+            while at < len(data):
+                end = len(data)
+                if end - at > PART:
+                    end = data.rfind(b"\n", at, at + PART) + 1 or data.find(b"\n", at + PART) + 1 or len(data)
+                held.append(data[at:end])
+                begins.append(size)
+                langs.append(lang)
+                size += end - at + 1
+                at = end
+                if size >= PART:
+                    yield Part(b"\n".join(held), begins, langs)
+                    held, begins, langs, size = [], [], [], 0
+        if held:
+            yield Part(b"\n".join(held), begins, langs)
+
+
+def counted_texts(texts: DataFrame, text: str, lang: str, bits: dict[int, Broadcast], held: int = 1 << 18) -> DataFrame:
+    """(lang, phrase, f) of the n-grams whose fingerprints may be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bytes], int] = {}
 
@@ -136,17 +144,12 @@ def counted_texts(texts: DataFrame, text: str, lang: str, bits: dict[int, Broadc
                 "phrase": pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
                 "f": pa.array(list(counts.values()), pa.int64())})
 
-        for batch in read(batches):
+        for part in read(batches):
             for n, known in bits.items():
-                at = np.flatnonzero(batch.starts(n))
-                prints = batch.fingerprints(at, n)
-                if known is not None:
-                    fine = known.value.has(prints)
-                    at, prints = at[fine], prints[fine]
-                pointer, times = batch.grouped(at, n, prints)
-                names, codes = batch.words.names, [batch.codes[pointer + i].tolist() for i in range(n)]
-                for where, code, f in zip(batch.lang[pointer].tolist(), zip(*codes, strict=True), times.tolist(), strict=True):
-                    key = (batch.langs[where], b" ".join([names[c] for c in code]))
+                at = np.flatnonzero(part.starts(n))
+                prints = part.fingerprints(at, n)
+                fine = known.value.has(prints)
+                for key, f in part.grouped(at[fine], n, prints[fine]):
                     counts[key] = counts.get(key, 0) + f
                 if len(counts) > held:
                     yield rows()
@@ -157,19 +160,27 @@ def counted_texts(texts: DataFrame, text: str, lang: str, bits: dict[int, Broadc
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def fingerprint_counts(texts: DataFrame, text: str, lang: str, n: int, below: Broadcast, held: int = HELD) -> DataFrame:
-    """(print, f) of the n-grams whose two (n-1)-grams may be frequent; several phrases may share a fingerprint."""
+def fingerprint_counts(texts: DataFrame, text: str, lang: str, n: int, below: Broadcast | None, held: int = HELD) -> DataFrame:
+    """(lang, print, f) of the n-grams whose two (n-1)-grams may be frequent; several phrases may share a fingerprint.
+
+    Language is null there. For n = 1, rows with a language and no fingerprint count all its words.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(prints, counts):
-            return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], names=["print", "f"])
-
-        parts, counts, size = [], [], 0
-        for batch in read(batches):
-            shorter = np.zeros(len(batch.codes) + 1, dtype=bool)
-            at = np.flatnonzero(batch.starts(n - 1))
-            shorter[at] = below.value.has(batch.fingerprints(at, n - 1))
-            at = np.flatnonzero(batch.starts(n) & shorter[:-1] & shorter[1:])
-            own, times = np.unique(batch.fingerprints(at, n), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(prints), pa.string()), pa.array(prints.view(np.int64)),
+                                               pa.array(counts)], names=["lang", "print", "f"])
+
+        parts, counts, size, totals = [], [], 0, Counter()
+        for part in read(batches):
+            fine = part.starts(n)
+            if below is None:
+                totals.update(dict(zip(part.langs, np.bincount(part.lang, minlength=len(part.langs)).tolist(), strict=True)))
+            else:
+                shorter = np.zeros(len(fine) + 1, dtype=bool)
+                at = np.flatnonzero(part.starts(n - 1))
+                shorter[at] = below.value.has(part.fingerprints(at, n - 1))
+                fine &= shorter[:-1] & shorter[1:]
+            own, times = np.unique(part.fingerprints(np.flatnonzero(fine), n), return_counts=True)
             parts.append(own)
             counts.append(times)
             size += len(own)
@@ -182,20 +193,11 @@ def fingerprint_counts(texts: DataFrame, text: str, lang: str, n: int, below: Br
                 parts, counts, size = [both], [sums], len(both)
         both, place = np.unique(np.concatenate(parts or [np.empty(0, U64)]), return_inverse=True)
         yield rows(both, np.bincount(place, np.concatenate(counts or [np.empty(0)]), len(both)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()),
+                                          pa.array(list(totals.values()), pa.int64())], names=["lang", "print", "f"])
 
-    found = texts.select(text, lang).mapInArrow(run, "print long, f long")
-    return found.groupBy("print").agg(F.sum("f").alias("f"))
-
-
-def printed(counts: DataFrame) -> DataFrame:
-    """(print) of words counted by text, as the passes compute them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            batch = Batch(rows.column(0).to_pylist(), rows.column(1).to_pylist(), Words())
-            at = np.arange(len(batch.codes))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.fingerprints(at, 1).view(np.int64))], names=["print"])
-
-    return counts.select("phrase", "lang").mapInArrow(run, "print long")
+    found = texts.select(text, lang).mapInArrow(run, "lang string, print long, f long")
+    return found.groupBy("lang", "print").agg(F.sum("f").alias("f"))
 
 
 def bit_map(prints: DataFrame, most_bits: int) -> Broadcast:
@@ -217,21 +219,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
     Phrases have one to `longest` words and are space-joined; f counts all occurrences within pieces, overlapping ones too.
     A null language counts as 'und', a null text as empty; repeated rows count as often as they stand there.
     """
-    every = stored(word_counts(docs, text, lang), "words")
-    totals = cut(every.groupBy("lang").agg(F.sum("f").alias("n")))
-    words = cut(every.where(F.col("f") >= least))
-    below = bit_map(printed(words), most_bits)
-    maps = {}
-    for n in range(2, longest + 1):
-        prints = cut(fingerprint_counts(docs, text, lang, n, below).where(F.col("f") >= least).select("print"))
+    maps, below, totals = {}, None, None
+    for n in range(1, longest + 1):
+        found = cut(fingerprint_counts(docs, text, lang, n, below).where((F.col("f") >= least) | F.col("print").isNull()))
+        if n == 1:
+            totals = found.where("print IS NULL").select("lang", F.col("f").alias("n"))
+        prints = found.where("print IS NOT NULL").select("print")
         if not prints.limit(1).count():
             break
         maps[n] = below = bit_map(prints, most_bits)
-    frequent = words.withColumn("words", F.lit(1))
-    if maps:
-        phrases = counted_texts(docs, text, lang, maps).where(F.col("f") >= least)
-        frequent = cut(frequent.unionByName(phrases.withColumn("words", F.size(F.split("phrase", " ")))))
-    return frequent, totals
+    phrases = counted_texts(docs, text, lang, maps).where(F.col("f") >= least)
+    return cut(phrases.withColumn("words", F.size(F.split("phrase", " ")))), totals
 
 
 def part(n: Column, first: bool) -> Column:
