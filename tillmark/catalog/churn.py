@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tillmark.catalog.base import define, query
+from tillmark.operators import intervals, stats
 from tillmark.operators import quality as Q
-from tillmark.operators import stats
 from tillmark.operators.timegrid import Grid, lookback
 from tillmark.plans import churn as C
 from tillmark.plans.models import materialize
@@ -279,3 +279,43 @@ def _(t):
     WHERE customer_id IS NOT NULL""")
 def _(t):
     return C.purchase_history(t.raw_receipts)
+
+
+# Windows of any position and length: one per supplier, and now and then a very long one.
+define("offers", """SELECT s_suppkey AS offer_id, s_nationkey AS nation, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2000 AS INTEGER) AS opens,
+    DATE '1995-01-01' + CAST(s_suppkey * 37 % 2000 + s_suppkey % 45 + CASE WHEN s_suppkey % 13 = 0 THEN 2000 ELSE 0 END AS INTEGER) AS closes FROM supplier""")
+
+
+def offers(t):
+    first = F.col("s_suppkey") * 37 % 2000
+    days = F.col("s_suppkey") % 45 + F.when(F.col("s_suppkey") % 13 == 0, 2000).otherwise(0)
+    start = F.lit(dt.date(1995, 1, 1))
+    return t.base("supplier").select(
+        F.col("s_suppkey").alias("offer_id"), F.col("s_nationkey").alias("nation"),
+        F.date_add(start, first.cast("int")).alias("opens"), F.date_add(start, (first + days).cast("int")).alias("closes"))
+
+
+@query("interval_join_points", "offers receipts", """SELECT offer_id, strftime(opens, '%Y-%m-%d') AS opens, strftime(closes, '%Y-%m-%d') AS closes,
+    count(receipt_id) AS receipts, count(DISTINCT customer_id) AS shoppers FROM offers JOIN receipts ON purchased_at >= opens AND purchased_at <= closes GROUP BY 1, 2, 3""")
+def _(t):
+    pairs = intervals.points_in_intervals(t.receipts, offers(t), "purchased_at", "opens", "closes")
+    return pairs.groupBy("offer_id", "opens", "closes").agg(
+        F.count("receipt_id").alias("receipts"), F.count_distinct("customer_id").alias("shoppers"))
+
+
+@query("interval_overlap", "offers", """SELECT a.offer_id, b.offer_id AS other_id, a.nation FROM offers a JOIN offers b
+    ON a.nation = b.nation AND a.opens <= b.closes AND b.opens <= a.closes WHERE a.offer_id <> b.offer_id""")
+def _(t):
+    other = offers(t).withColumnsRenamed({"offer_id": "other_id", "opens": "other_opens", "closes": "other_closes"})
+    pairs = intervals.overlapping(offers(t), other, ("opens", "closes"), ("other_opens", "other_closes"), by=("nation",))
+    return pairs.where("offer_id <> other_id").select("offer_id", "other_id", "nation")
+
+
+# Every third purchase is an observation with a date of its own, instead of the common grid.
+@query("irregular_churn_labels", "receipts", """SELECT a.receipt_id, a.customer_id, strftime(a.purchased_at, '%Y-%m-%d') AS observed_on,
+    count(b.receipt_id) AS purchases_28d, CASE WHEN count(b.receipt_id) = 0 THEN 1 ELSE 0 END AS churned
+    FROM receipts a LEFT JOIN receipts b ON a.customer_id = b.customer_id AND b.purchased_at > a.purchased_at
+    AND b.purchased_at <= a.purchased_at + INTERVAL 28 DAY WHERE a.receipt_id % 3 = 0 GROUP BY 1, 2, 3""")
+def _(t):
+    return C.irregular_labels(t.receipts.where("receipt_id % 3 = 0"), t.receipts, 28).select(
+        "receipt_id", "customer_id", F.to_date("observed_on").alias("observed_on"), "purchases_28d", "churned")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
-from tillmark.operators import chunked
+from tillmark.functions.scalars import DAY_MICROS
+from tillmark.operators import chunked, intervals
 from tillmark.operators.timegrid import Grid, expand, in_window, lookahead, lookback, since, split_by_date
 
 KEYS = ["prediction_date", "customer_id"]
@@ -232,39 +233,92 @@ def churn_labels(receipts: DataFrame, grid: Grid, horizon_days: int = 28) -> Dat
     return merged.filter(F.col("only_future") == 0).select(*KEYS, "churned")
 
 
+def irregular_labels(observed: DataFrame, receipts: DataFrame, horizon_days: int = 28) -> DataFrame:
+    """Labels at dates of any kind: purchases in (observed_on, observed_on + horizon] of each observed receipt's customer."""
+    dated = observed.select("receipt_id", "customer_id", F.col(TS).alias("observed_on")).withColumn(
+        "until", F.expr(f"observed_on + INTERVAL {horizon_days} DAYS"))
+    later = receipts.select("customer_id", F.col(TS).alias("later_at"))
+    out = intervals.interval_totals(
+        later, dated, "later_at", "observed_on", "until", ("receipt_id",), {f"purchases_{horizon_days}d": F.count(F.lit(1))},
+        by=("customer_id",), closed="right", width=float(horizon_days * DAY_MICROS))
+    count = F.coalesce(f"purchases_{horizon_days}d", F.lit(0))
+    return out.select("receipt_id", "customer_id", "observed_on", count.alias(f"purchases_{horizon_days}d"),
+                      (count == 0).cast("int").alias("churned"))
+
+
 # ---- the assembled table ----------------------------------------------------
+PANE = ["_day", "_opens"]
+
+
+def paned(df: DataFrame) -> DataFrame:
+    """With the pane of each row: a day, or its first instant, which alone lies on the bounds of windows.
+
+    All bounds are midnights, so every window of every date is a union of panes, and a sum over a window is a sum of
+    sums over its panes.
+    """
+    day = F.to_date(TS)
+    return df.withColumn("_day", day).withColumn("_opens", F.col(TS) == day.cast("timestamp_ntz"))
+
+
+def receipt_panes(r: Retail) -> DataFrame:
+    """Per customer and pane: receipts, those with lines and with known products, and their sums."""
+    named = r.products.select("product_code", F.lit(True).alias("known"))
+    lines = r.lines.select("receipt_id", "product_code", "value", "qty").join(named, "product_code", "left")
+    sums = lines.groupBy("receipt_id").agg(
+        F.sum("value").alias("spend"), F.sum("qty").alias("items"), F.sum(F.when(F.col("known"), F.col("value"))).alias("known_spend"),
+        F.max("known").alias("known"))
+    joined = paned(r.reachable.join(sums, "receipt_id", "left"))
+    return joined.groupBy("customer_id", *PANE).agg(
+        F.max(TS).alias(TS), F.count(F.lit(1)).alias("visits"), F.count("spend").alias("with_lines"),
+        F.count_if(S.is_weekend(F.col(TS))).alias("weekend"), F.count("known").alias("known"),
+        *[F.sum(c).alias(c) for c in ("spend", "items", "known_spend")])
+
+
+def product_panes(r: Retail) -> DataFrame:
+    """Per customer, pane, department and category: items of listed products."""
+    named = r.products.select("product_code", "department_name", "category_code")
+    lines = r.lines.select("receipt_id", "product_code", "qty").join(r.reachable, "receipt_id").join(named, "product_code")
+    return paned(lines).groupBy("customer_id", *PANE, "department_name", "category_code").agg(
+        F.max(TS).alias(TS), F.sum("qty").alias("items"))
+
+
 def feature_block(r: Retail, with_lags: bool) -> DataFrame:
-    """All features that need lines, from one scan and one expansion.
+    """All features that need lines, from sums over shared panes.
 
-    A basket row contributes to three counts: its receipt, its department and
-    its category. Rows are first summed per (date, customer, kind, key), which
-    settles the distinct counts, and then folded to (date, customer).
+    Lines become one row per customer, pane, department and category, and receipts one per customer and pane, before
+    anything is multiplied by dates; so a customer never has more rows than the calendar allows. These rows are dealt
+    out by customer once, and the expansion to dates, the sums per key and the fold to (date, customer) stay there.
     """
-    seen = lookback(r.basket_mix(), r.grid, TS, 90 if with_lags else 60, 0, closed="left")
+    both = receipt_panes(r).withColumn("kind", F.lit("r")).unionByName(
+        product_panes(r).withColumn("kind", F.lit("p")), allowMissingColumns=True).drop(*PANE)
+    seen = lookback(both.repartition("customer_id"), r.grid, TS, 90 if with_lags else 60, 0, closed="left")
     ts, d = F.col(TS), F.col("prediction_date")
-    now, known = in_window(ts, d, 30, 1), F.col("known")
+    now = in_window(ts, d, 30, 1)
     lags = {}
     if with_lags:
-        lags = {"lag1": in_window(ts, d, 60, 30, "right") & known, "lag2": in_window(ts, d, 90, 60, "right") & known}
-    kinds = {"r": F.col("receipt_id").cast("string"), "d": F.col("department_name"), "c": F.col("category_code")}
-    units = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in kinds.items()])
-    rows = seen.withColumn("_u", F.explode(units)).filter("_u.key IS NOT NULL")
+        lags = {"lag1": in_window(ts, d, 60, 30, "right"), "lag2": in_window(ts, d, 90, 60, "right")}
     # Departments and categories count inside the feature windows only.
-    rows = rows.filter((F.col("_u.kind") == "r") | reduce(lambda a, b: a | b, [now, *lags.values()]))
-    units_summed = rows.groupBy(*KEYS, F.col("_u.kind").alias("kind"), F.col("_u.key").alias("key")).agg(
+    rows = seen.filter((F.col("kind") == "r") | reduce(lambda a, b: a | b, [now, *lags.values()]))
+    keys = F.when(F.col("kind") == "r", F.array(F.struct(F.lit("r").alias("kind"), F.lit("").alias("key")))).otherwise(F.array(
+        F.struct(F.lit("d").alias("kind"), F.col("department_name").alias("key")),
+        F.struct(F.lit("c").alias("kind"), F.col("category_code").alias("key"))))
+    rows = rows.withColumn("_u", F.explode(keys)).filter("_u.key IS NOT NULL")
+    summed = ["visits", "with_lines", "weekend", "spend", "items"]
+    per_key = rows.groupBy(*KEYS, F.col("_u.kind").alias("kind"), F.col("_u.key").alias("key")).agg(
         F.max(TS).alias("seen"),
         F.bool_or(now).alias("now"),
-        F.bool_or(now & F.col("spend").isNotNull()).alias("with_lines"),
-        F.bool_or(in_window(ts, d, 60, 31)).alias("earlier"),
-        F.bool_or(now & S.is_weekend(ts)).alias("weekend"),
-        F.sum(F.when(now, F.col("spend"))).alias("spend"),
-        F.sum(F.when(now, F.col("items"))).alias("items"),
+        F.sum(F.when(in_window(ts, d, 60, 31), F.col("visits"))).alias("earlier"),
+        *[F.sum(F.when(now, F.col(c))).alias(c) for c in summed],
         *[F.bool_or(w).alias(name) for name, w in lags.items()],
-        *[F.sum(F.when(w, F.col("spend"))).alias(f"spend_{name}") for name, w in lags.items()],
+        *[F.sum(F.when(w, F.col(c))).alias(f"{c}_{name}") for name, w in lags.items() for c in ("known", "known_spend")],
     )
-    receipt, department, category = (F.col("kind") == k for k in kinds)
-    n_lines, visits = F.count_if(receipt & F.col("with_lines")), F.count_if(receipt & F.col("now"))
-    spend, items = F.sum(F.when(receipt, F.col("spend"))), F.sum(F.when(receipt, F.col("items")))
+    receipt, department, category = (F.col("kind") == k for k in "rdc")
+
+    def of_receipts(c: str) -> Column:
+        return F.sum(F.when(receipt, F.col(c)))
+
+    n_lines, visits = F.coalesce(of_receipts("with_lines"), F.lit(0)), F.coalesce(of_receipts("visits"), F.lit(0))
+    spend, items = of_receipts("spend"), of_receipts("items")
     rank = F.struct(-F.coalesce("items", F.lit(0)), F.col("key"))
     n_categories = F.count_if(category & F.col("now"))
     measures = [
@@ -275,19 +329,18 @@ def feature_block(r: Retail, with_lags: bool) -> DataFrame:
         F.min_by("key", F.when(department & F.col("now"), rank)).alias("most_common_department"),
         S.rounded_ratio(items, n_lines).alias("avg_items_per_visit"),
         F.when(n_categories > 0, n_categories).alias("unique_categories_30days"),
-        S.rounded_ratio(100 * F.count_if(receipt & F.col("weekend")), visits).alias("shop_weekend_pct"),
-        ((F.count_if(receipt & F.col("earlier")) >= 3) & (visits == 0)).cast("int").alias("habitual_then_stopped"),
+        S.rounded_ratio(100 * of_receipts("weekend"), visits).alias("shop_weekend_pct"),
+        ((F.coalesce(of_receipts("earlier"), F.lit(0)) >= 3) & (visits == 0)).cast("int").alias("habitual_then_stopped"),
     ]
     for name in lags:
-        n = F.count_if(receipt & F.col(name))
-        s = F.sum(F.when(receipt, F.col(f"spend_{name}")))
+        n, s = of_receipts(f"known_{name}"), of_receipts(f"known_spend_{name}")
         measures += [
             F.when(n > 0, n).alias(f"visits_{name}_30days"),
             F.when(n > 0, s.cast("double")).alias(f"total_spend_{name}_30days"),
             F.when(n > 0, F.count_if(category & F.col(name))).alias(f"unique_categories_{name}_30days"),
             F.when(n > 0, S.ratio(s, n)).alias(f"avg_basket_value_{name}_30days"),
         ]
-    return units_summed.groupBy(*KEYS).agg(*measures).filter(F.col("visits_30days") > 0)
+    return per_key.groupBy(*KEYS).agg(*measures).filter(F.col("visits_30days") > 0)
 
 
 BASE_FEATURES = [
