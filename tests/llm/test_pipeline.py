@@ -21,4 +21,4 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path, corpus):  # noq
 
 def test_every_query_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,20 @@ def labelled_side(column: str = "doc_id"):
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
+SENT: list[Broadcast] = []
+
+
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast whose copies on the executors go when the next query or stage is prepared."""
+    SENT.append(spark.sparkContext.broadcast(value))
+    return SENT[-1]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
+    """Settings of this package; frees the executors of earlier broadcasts, which are sent again if they are still used."""
     apply_defaults(spark)
+    while SENT:
+        SENT.pop().unpersist()
     for key, value in ARROW.items():
         spark.conf.set(key, value)
     return spark

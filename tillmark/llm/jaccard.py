@@ -30,6 +30,7 @@ from tillmark.llm.wordhash import U64, mix, shingle_sets
 
 CLASSES = 64
 BLOCK_TOKENS = 1 << 18
+PAIRS = 1 << 17  # pairs a task holds before it passes them on
 MOST_FREQUENT = 500_000  # at most so many tokens are held to be put last
 
 
@@ -223,39 +224,50 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
             counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             sizes = np.diff(np.append(starts, len(token)))
-            left, right, least_shared = [], [], []
             # a link has at least percent / (100 + percent) of both sizes in common
             rest = n - (n + percent * n // -100 + 1)
 
             def compare(i, j):
+                """Columns of the pairs that may link."""
                 fit = (group[i] != group[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
                 i, j = i[fit], j[fit]
                 apart = np.abs(counts[i] - counts[j]).sum(axis=1)
                 fit = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
                 i, j = i[fit], j[fit]
-                left.append(node[i])
-                right.append(node[j])
                 needed = -(-percent * (n[i] + n[j]) // (100 + percent))
-                least_shared.append(needed - np.maximum(rest[i], rest[j]))
-
+                held.append((node[i], node[j], needed - np.maximum(rest[i], rest[j])))
+                nonlocal size
+                size += len(i)
+                return size >= PAIRS
+
+            def pairs():
+                nonlocal size
+                size = 0
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)],
+                                                 names=["a", "b", "least"])
+                held.clear()
+                return out
+
+            held, size = [], 0
             in_short = np.repeat(sizes <= short, sizes)
             for shift in range(1, min(short, int(sizes.max(initial=0)))):
                 at = np.flatnonzero((token[shift:] == token[:-shift]) & in_short[shift:])
-                compare(at, at + shift)
-            for begin, size in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
-                inside = group[begin : begin + size]
+                if compare(at, at + shift):
+                    yield pairs()
+            for begin, long in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+                inside = group[begin : begin + long]
                 names, times = np.unique(inside, return_counts=True)
                 if len(names) > 1:  # rows of the largest gathering need not be compared with each other
                     others = begin + np.flatnonzero(inside != names[times.argmax()])
                     for i in others.tolist():
-                        low = begin + np.searchsorted(n[begin : begin + size], -(-percent * n[i] // 100))
-                        high = begin + np.searchsorted(n[begin : begin + size], n[i] * 100 // percent, side="right")
+                        low = begin + np.searchsorted(n[begin : begin + long], -(-percent * n[i] // 100))
+                        high = begin + np.searchsorted(n[begin : begin + long], n[i] * 100 // percent, side="right")
                         near = np.arange(low, high)
                         near = near[(inside[near - begin] == names[times.argmax()]) | (near > i)]
-                        compare(np.full(len(near), i), near)
-            if left:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (left, right, least_shared)], names=["a", "b", "least"])
+                        if compare(np.full(len(near), i), near):
+                            yield pairs()
+            if held:
+                yield pairs()
 
     found = ordered.select("token", "node", "n", "classes", "gathering").mapInArrow(run, "a long, b long, least long")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least").count().where(

@@ -21,7 +21,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, join_small, labelled_side, stored
+from tillmark.llm.common import cut, join_small, labelled_side, send, stored
 
 ORDER, BITS = 5, 12
 ONE = (1 << BITS) - 1
@@ -163,8 +163,7 @@ def sharded(table: DataFrame, shard_rows: int) -> Iterator[Shard]:
 
 def sent(table: DataFrame, shard_rows: int) -> list[Broadcast]:
     """The shards as broadcasts; the driver holds one shard at a time."""
-    context = table.sparkSession.sparkContext
-    return [context.broadcast(shard) for shard in sharded(table, shard_rows)]
+    return [send(table.sparkSession, shard) for shard in sharded(table, shard_rows)]
 
 
 def with_costs(docs: DataFrame, shards: list[Broadcast], text: str = "text") -> DataFrame:

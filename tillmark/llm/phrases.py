@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, join_small
+from tillmark.llm.common import cut, join_small, send
 from tillmark.llm.wordhash import U64, mix, powers
 
 #: A-Z to a-z, the characters that end a piece to a line feed, the tab to a space.
@@ -202,14 +202,13 @@ def fingerprint_counts(texts: DataFrame, text: str, lang: str, n: int, below: Br
 
 def bit_map(prints: DataFrame, most_bits: int) -> Broadcast:
     """Bit map of the fingerprints, 32 bits for each up to `most_bits`; the driver gets one long for 64 bits."""
-    spark = prints.sparkSession
     bits = min(most_bits, max(1 << 16, 1 << (32 * prints.count()).bit_length()))
     bit = F.col("print").bitwiseAND(F.lit(bits - 1))
     cells = prints.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(print & 63 AS INT))")).alias("value")).toArrow()
     out = np.zeros(bits // 64, dtype=U64)
     out[cells.column("cell").to_numpy()] = cells.column("value").to_numpy().view(U64)
-    return spark.sparkContext.broadcast(Bits(out))
+    return send(prints.sparkSession, Bits(out))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", lang: str = "lang",

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import cut, labelled_side, stored
+from tillmark.llm.common import cut, labelled_side, send, stored
 
 LEET = str.maketrans("013457@$", "oieastas")
 REPORTING = frozenset("said says wrote called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
@@ -349,7 +349,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
         raise ValueError(f"column exists already: {name}")
     wide = docs.withColumn(name, F.lit(0.0))
     position, names = docs.columns.index(text), wide.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
