@@ -21,9 +21,7 @@ def texts():
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(BPE)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(BPE)
 
 
 def test_cached_pieces_equal_whole_texts():

@@ -101,7 +101,8 @@ class PieceCache:
     A space between two characters that are no white space always begins a new pre-token of a byte-level tokenizer, so
     the pieces between such spaces can be encoded on their own; so can what follows a piece's leading run of letters.
     New pieces of a batch are joined and encoded in one call; the ids that begin with a space tell them apart again.
-    Texts in which white space follows a space are encoded whole. The cache is emptied when it is full, which changes
+    Texts in which white space follows a space, and texts that hold an added token such as <|endoftext|>, which the
+    tokenizer takes out before it splits, are encoded whole. The cache is emptied when it is full, which changes
     no result.
     """
 
@@ -111,7 +112,7 @@ class PieceCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, i in names.items():
@@ -143,7 +144,8 @@ class PieceCache:
         if len(self.pieces) + len(self.tails) > self.limit:
             self.pieces.clear()
             self.tails.clear()
-        split = [text.split(" ") for text in texts]
+        whole = [any(token in text for token in self.special) for text in texts]
+        split = [[""] if w else text.split(" ") for text, w in zip(texts, whole, strict=True)]
         heads = self.ids([own[0] for own in split])
         known = [list(map(self.pieces.get, own[1:])) for own in split]
         missing = {piece for own, blobs in zip(split, known, strict=True) if None in blobs
@@ -152,8 +154,8 @@ class PieceCache:
             self.learn(missing)
             known = [list(map(self.pieces.get, own[1:])) if None in blobs else blobs
                      for own, blobs in zip(split, known, strict=True)]
-        return [head + b"".join(blobs) if all(blobs) and (own[0] or len(own) == 1) else self.ids([text])[0]
-                for text, own, head, blobs in zip(texts, split, heads, known, strict=True)]
+        return [head + b"".join(blobs) if not w and all(blobs) and (own[0] or len(own) == 1) else self.ids([text])[0]
+                for text, w, own, head, blobs in zip(texts, whole, split, heads, known, strict=True)]
 
 
 CACHES: dict[str, PieceCache] = {}
