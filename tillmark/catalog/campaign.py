@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillmark.catalog.base import define, query
 from tillmark.plans import campaign as C
 from tillmark.plans import social as P
+from tillmark.plans.models import materialize
 from tillmark.sources.tables import literal_table
 
 # The lexicon used against the given documents, and its negators.
@@ -197,3 +198,44 @@ def _(t):
 @query("sentiment_stability", "pol", "SELECT brand, round(stddev_samp(polarity), 6) AS polarity_std, count(*) AS posts FROM pol GROUP BY 1")
 def _(t):
     return rounded(P.stability(scored_posts(t)), "polarity_std")
+
+
+# ---- lexicon learned from labels.quality; every third post is held out ------------
+define("marks", "SELECT doc_id AS post_id, max(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id")
+define("odds", """SELECT token, good, bad, ln((good + a) / (ng + 500.0 - good - a)) - ln((bad + a) / (nb + 500.0 - bad - a)) AS log_odds,
+    sqrt(1 / (good + a) + 1 / (bad + a)) AS sd FROM (SELECT *, 500.0 * (good + bad) / (ng + nb) AS a FROM (SELECT *, sum(good) OVER () AS ng, sum(bad) OVER () AS nb FROM (
+    SELECT token, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS good, CAST(count(*) FILTER (label = 0) AS DOUBLE) AS bad
+    FROM toks JOIN marks ON toks.post_id = marks.post_id WHERE marks.post_id % 3 <> 0 GROUP BY token) x) y) z""", ("toks", "marks"))
+define("learned", "SELECT token, log_odds AS weight FROM odds WHERE abs(log_odds / sd) >= 1.96", ("odds",))
+define("learned_pol", """SELECT p.post_id, COALESCE(h, 0) AS hits, CASE WHEN COALESCE(h, 0) = 0 THEN 0.0 ELSE s / h END AS polarity,
+    CASE WHEN COALESCE(n, 0) = 0 THEN 0.0 ELSE COALESCE(h, 0)::DOUBLE / n END AS subjectivity
+    FROM posts p LEFT JOIN (SELECT post_id, count(*) AS n, count(weight) AS h, sum(CASE WHEN before IN ('not', 'no', 'never') THEN -weight ELSE weight END) AS s
+    FROM toks LEFT JOIN learned ON toks.token = learned.token GROUP BY 1) q ON p.post_id = q.post_id""", ("posts", "learned", "toks"))
+
+
+def marks(t):
+    known = t.base("labels").where("quality IS NOT NULL")
+    return known.groupBy(F.col("doc_id").alias("post_id")).agg(F.max("quality").alias("label"))
+
+
+def learned(t):
+    return materialize(P.learned_lexicon(t.posts, marks(t).where("post_id % 3 != 0")))
+
+
+@query("learned_lexicon", "learned", "SELECT token, round(weight, 6) AS weight FROM learned")
+def _(t):
+    return rounded(learned(t), "weight")
+
+
+@query("learned_polarity", "learned_pol", "SELECT post_id, hits, round(polarity, 6) AS polarity, round(subjectivity, 9) AS subjectivity FROM learned_pol")
+def _(t):
+    scored = P.polarity(t.posts, learned(t), keep=())
+    return rounded(scored, "polarity").select("post_id", "hits", "polarity", F.round("subjectivity", 9).alias("subjectivity"))
+
+
+@query("learned_sentiment_agreement", "learned_pol marks", """SELECT count(*) AS posts, count(*) FILTER (polarity <> 0) AS told,
+    count(*) FILTER (polarity <> 0 AND (polarity > 0) = (label = 1)) AS "right", count(*) FILTER (polarity <> 0 AND label = 1) AS good
+    FROM learned_pol JOIN marks USING (post_id) WHERE post_id % 3 = 0""")
+def _(t):
+    held_out = marks(t).where("post_id % 3 = 0")
+    return P.agreement(P.polarity(t.posts, learned(t), keep=()), held_out)

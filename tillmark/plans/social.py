@@ -22,8 +22,8 @@ WORD_BREAK = r"https?://\S+|@[\p{L}\p{M}\p{N}_]*|[^\p{L}\p{M}@]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of the whole text; links and mentions are dropped."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    """Lower-case words of the whole text, none of a null one; links and mentions are dropped."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
 
 
 def tokenize(posts: DataFrame, keep: Sequence[str] = ("post_id",)) -> DataFrame:
@@ -81,3 +81,42 @@ def stability(scored: DataFrame, by: str = "brand") -> DataFrame:
 def engagement_correlation(scored: DataFrame, by: str | None = None) -> DataFrame:
     grouped = scored.groupBy(by) if by else scored.groupBy()
     return grouped.agg(F.corr("polarity", F.col("engagement").cast("double")).alias("correlation"))
+
+
+# ---- lexicon learned from labelled posts -----------------------------------------
+def word_log_odds(posts: DataFrame, labels: DataFrame, prior_words: float = 500.0) -> DataFrame:
+    """(token, good, bad, log_odds, z) of every word of the labelled posts.
+
+    `labels` has post_id and label (1 or 0). The log-odds of a word between the two groups are taken with an informative
+    prior: `prior_words` imaginary words for each group, spread like the words of all labelled posts. z is the log-odds
+    over its standard deviation.
+    """
+    words = tokenize(posts.join(labels, "post_id"), ("label",))
+    counts = words.groupBy("token").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    totals = counts.agg(F.struct(F.sum("good").cast("double").alias("good"), F.sum("bad").cast("double").alias("bad"))).scalar()
+    held = counts.withColumn("_t", totals)
+    n, all_words = F.col("good") + F.col("bad"), F.col("_t.good") + F.col("_t.bad")
+    prior = F.lit(prior_words) * n / all_words
+
+    def odds(side: str) -> Column:
+        seen = F.col(side) + prior
+        return F.log(seen / (F.col(f"_t.{side}") + F.lit(prior_words) - seen))
+
+    delta = odds("good") - odds("bad")
+    spread = F.sqrt(1 / (F.col("good") + prior) + 1 / (F.col("bad") + prior))
+    # a prior of every word at once leaves no odds against it: such a word says nothing
+    return held.select("token", "good", "bad", F.coalesce(delta, F.lit(0.0)).alias("log_odds"), F.coalesce(delta / spread, F.lit(0.0)).alias("z"))
+
+
+def learned_lexicon(posts: DataFrame, labels: DataFrame, prior_words: float = 500.0, least_z: float = 1.96) -> DataFrame:
+    """(token, weight) of the words whose z-score is beyond `least_z`; the weight is the log-odds, shrunk by the prior."""
+    return word_log_odds(posts, labels, prior_words).where(F.abs("z") >= least_z).select("token", F.col("log_odds").alias("weight"))
+
+
+def agreement(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """How polarity and labels agree over the posts that both have: posts, hits, share of right signs where there is one."""
+    both = scored.join(labels, "post_id")
+    told = F.col("polarity") != 0
+    right = (F.col("polarity") > 0) == (F.col("label") == 1)
+    return both.agg(F.count(F.lit(1)).alias("posts"), F.count_if(told).alias("told"), F.count_if(told & right).alias("right"),
+                    F.count_if(told & (F.col("label") == 1)).alias("good"))
