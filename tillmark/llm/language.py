@@ -176,20 +176,23 @@ def gram_scores(unseen: DataFrame, taught: DataFrame, longest: int, alpha: float
     """(word, lang, value) of words that were never taught, by the longest n-grams known."""
     out = None
     for n in range(longest, 0, -1):
-        grams = taught.select("lang", "n", F.explode(n_grams(F.col("word"), n)).alias("gram")).groupBy("gram", "lang").agg(
-            F.sum("n").alias("n"))
-        grams = cut(grams)
-        sums = cut(grams.groupBy("lang").agg(F.sum("n").alias("total")))
-        floor = alpha / (sums.agg(F.avg("total")).first()[0] or 1.0)
-        valued = join_small(grams, sums, "lang").select("gram", "lang", worth(F.col("n"), F.col("total"), floor).alias("value"))
-        own = unseen.select("word", F.explode(n_grams(F.col("word"), n)).alias("gram"))
-        met = own.join(valued.select("gram").distinct(), "gram")
-        size = met.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
-        sums = own.join(valued, "gram").groupBy("word", "lang").agg(F.sum("value").alias("value"))
-        found = cut(sums.join(size, "word").select("word", "lang", (F.col("value") / F.col("size")).alias("value")))
+        grams = stored(taught.select("lang", "n", F.explode(n_grams(F.col("word"), n)).alias("gram")).groupBy("gram", "lang").agg(
+            F.sum("n").alias("n")), "grams")
+        totals = cut(grams.groupBy("lang").agg(F.sum("n").alias("total")))
+        floor = alpha / (totals.agg(F.avg("total")).first()[0] or 1.0)
+        valued = join_small(grams, totals, "lang").groupBy("gram").agg(F.collect_list(F.struct(
+            "lang", worth(F.col("n"), F.col("total"), floor).alias("value"))).alias("values"))
+        # a row without a language counts the known n-grams of the word
+        one = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("value"))
+        met = unseen.select("word", F.explode(n_grams(F.col("word"), n)).alias("gram")).join(valued, "gram")
+        sums = met.select("word", F.explode(F.concat("values", F.array(one))).alias("v")).groupBy("word", "v.lang").agg(
+            F.sum("v.value").alias("value"))
+        sums = stored(sums, "backed")
+        size = sums.where("lang IS NULL").select("word", F.col("value").alias("size"))
+        found = sums.where("lang IS NOT NULL").join(size, "word").select("word", "lang", (F.col("value") / F.col("size")).alias("value"))
         out = found if out is None else out.unionByName(found)
         if n > 1:
-            unseen = cut(unseen.join(found.select("word").distinct(), "word", "left_anti"))
+            unseen = stored(unseen.join(size.select("word"), "word", "left_anti"), "unseen")
     return out
 
 
@@ -223,7 +226,7 @@ def identify(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "
     met = stored(met.withColumn("word", F.when(F.col("lang").isNull(), F.col("word"))), "met")
     seen = met.join(langs, "lang").select("li_block", "li_code", "place", worth(F.col("n"), F.col("total"), floor).alias("value"))
     unseen = met.where("lang IS NULL").select("li_block", "li_code", "word")
-    backed = gram_scores(cut(unseen.select("word").distinct()), taught, longest, alpha).join(langs, "lang")
+    backed = gram_scores(stored(unseen.select("word").distinct(), "unseen"), taught, longest, alpha).join(langs, "lang")
     unseen = unseen.join(backed.select("word", "place", "value"), "word").drop("word")
     values = seen.unionByName(unseen).withColumn("value", F.col("value").cast("float"))
     texts = table.where("li_kind = 1").select(*keep, "li_block", "li_bag", "li_times", "li_letters")
