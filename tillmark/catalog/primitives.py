@@ -11,7 +11,7 @@ from tillmark.functions import scalars as S
 from tillmark.operators import quality as Q
 from tillmark.operators import ranking, reshape, stats
 from tillmark.plans import retail as R
-from tillmark.sources import files
+from tillmark.sources import files, updates
 from tillmark.sources.tables import BASE_TABLES, MONEY, SENTINEL_PRICE
 
 PRICE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -380,6 +380,38 @@ def _(t):
     return filled.groupBy("receipt_id").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n"))
 
 
+@query("update_sentinel_prices", "dirty_lines", """WITH c AS (SELECT product_code, 2 * CAST(sum(value) FILTER (value <> 9999999) * 100 AS BIGINT) + count(*) FILTER (value <> 9999999) AS a,
+        2 * count(*) FILTER (value <> 9999999) AS b FROM dirty_lines GROUP BY 1), m AS (SELECT product_code, CAST((a - ((a % b) + b) % b) // b AS DOUBLE) / 100 AS mean FROM c)
+    SELECT d.product_code, count(*) AS n, round(sum(CASE WHEN value = 9999999 THEN m.mean ELSE CAST(value AS DOUBLE) END), 2) AS total
+    FROM dirty_lines d LEFT JOIN m ON d.product_code = m.product_code GROUP BY 1""")
+def _(t):
+    lines = t.dirty_lines.withColumn("value", F.col("value").cast("double")).withColumn("shelf", F.col("product_code") % 32)
+    path = updates.store_partitioned(lines, "lines", "shelf")
+    good = t.dirty_lines.where(F.col("value") != SENTINEL_PRICE).groupBy("product_code")
+    cents, n = (F.sum("value") * 100).cast("bigint"), F.count("value")
+    means = good.agg((2 * cents + n).alias("a"), (2 * n).alias("b")).select(
+        "product_code", (F.expr("(a - pmod(a, b)) div b").cast("double") / 100).alias("mean"))
+    updates.update_where(t.spark, path, "shelf", F.col("value") == SENTINEL_PRICE, {"value": F.col("mean")}, means, "product_code")
+    stored = t.spark.read.parquet(path)
+    return stored.groupBy("product_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("update_null_quantities", "dirty_lines", """SELECT receipt_id, CAST(sum(COALESCE(qty, 1)) AS BIGINT) AS qty, count(qty) AS known, count(*) AS n
+    FROM (SELECT receipt_id, COALESCE(qty, 1) AS qty FROM dirty_lines) d GROUP BY 1""")
+def _(t):
+    path = updates.store_partitioned(t.dirty_lines.withColumn("part", F.col("receipt_id") % 32), "lines", "part")
+    updates.update_where(t.spark, path, "part", F.col("qty").isNull(), {"qty": F.lit(1)})
+    stored = t.spark.read.parquet(path)
+    return stored.groupBy("receipt_id").agg(F.sum("qty").alias("qty"), F.count("qty").alias("known"), F.count(F.lit(1)).alias("n"))
+
+
+@query("bucketed_monthly_revenue", "receipts lines", """SELECT strftime(date_trunc('month', purchased_at), '%Y-%m-%d') AS month, store_code,
+    CAST(sum(value) AS DOUBLE) AS revenue, count(DISTINCT r.receipt_id) AS receipts FROM receipts r JOIN lines l ON r.receipt_id = l.receipt_id
+    WHERE purchased_at >= DATE '1997-01-01' AND purchased_at < DATE '1998-01-01' GROUP BY date_trunc('month', purchased_at), store_code""")
+def _(t):
+    return R.stored_monthly_revenue(*R.stored_facts(t.receipts, t.lines), dt.date(1997, 1, 1), dt.date(1997, 12, 1))
+
+
 @query("suspicious_lines", "lines products", """SELECT receipt_line_id, receipt_id, l.product_code, product_details, qty, CAST(value AS DOUBLE) AS value
     FROM lines l JOIN products p ON l.product_code = p.product_code WHERE qty = 50 OR value > 100000""")
 def _(t):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
+from tillmark.sources import updates
 
 
 
@@ -334,3 +335,20 @@ def engagement_rate(events: DataFrame, interactions: list[str], by: str, kind: s
         F.count(F.lit(1)).alias("n_events"),
         S.ratio(F.count_if(F.col(kind).isin(interactions)), F.count(F.lit(1))).alias("engagement_rate"),
     )
+
+
+def stored_facts(receipts: DataFrame, lines: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Receipts by month and receipt bucket, lines by receipt bucket; reports over them shuffle neither of the two."""
+    spark = receipts.sparkSession
+    buckets = buckets or updates.bucket_count(lines.count())
+    names = (updates.store_bucketed(receipts, "receipts", "receipt_id", buckets, month="purchased_at"),
+             updates.store_bucketed(lines, "receipt_lines", "receipt_id", buckets))
+    return tuple(spark.table(name) for name in names)
+
+
+def stored_monthly_revenue(receipts: DataFrame, lines: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Revenue and receipts per store for months from `first` to `last`, from laid-out facts: months outside are not read."""
+    chosen = receipts.where((F.col("month") >= F.lit(first)) & (F.col("month") <= F.lit(last)))
+    sums = lines.groupBy("receipt_id").agg(F.sum("value").alias("value"))
+    joined = chosen.select("receipt_id", "month", "store_code").join(sums, "receipt_id")
+    return joined.groupBy("month", "store_code").agg(F.sum("value").alias("revenue"), F.count(F.lit(1)).alias("receipts"))
