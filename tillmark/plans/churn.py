@@ -260,11 +260,16 @@ def paned(df: DataFrame) -> DataFrame:
     return df.withColumn("_day", day).withColumn("_opens", F.col(TS) == day.cast("timestamp_ntz"))
 
 
+def reachable_lines(r: Retail) -> DataFrame:
+    """Lines of receipts that some window can reach, with their products; others are left before anything is summed."""
+    named = r.products.select("product_code", "department_name", "category_code", F.lit(True).alias("known"))
+    lines = r.lines.select("receipt_id", "product_code", "value", "qty").join(r.reachable, "receipt_id")
+    return lines.join(named, "product_code", "left")
+
+
 def receipt_panes(r: Retail) -> DataFrame:
     """Per customer and pane: receipts, those with lines and with known products, and their sums."""
-    named = r.products.select("product_code", F.lit(True).alias("known"))
-    lines = r.lines.select("receipt_id", "product_code", "value", "qty").join(named, "product_code", "left")
-    sums = lines.groupBy("receipt_id").agg(
+    sums = reachable_lines(r).groupBy("receipt_id").agg(
         F.sum("value").alias("spend"), F.sum("qty").alias("items"), F.sum(F.when(F.col("known"), F.col("value"))).alias("known_spend"),
         F.max("known").alias("known"))
     joined = paned(r.reachable.join(sums, "receipt_id", "left"))
@@ -276,8 +281,7 @@ def receipt_panes(r: Retail) -> DataFrame:
 
 def product_panes(r: Retail) -> DataFrame:
     """Per customer, pane, department and category: items of listed products."""
-    named = r.products.select("product_code", "department_name", "category_code")
-    lines = r.lines.select("receipt_id", "product_code", "qty").join(r.reachable, "receipt_id").join(named, "product_code")
+    lines = reachable_lines(r).where("known")
     return paned(lines).groupBy("customer_id", *PANE, "department_name", "category_code").agg(
         F.max(TS).alias(TS), F.sum("qty").alias("items"))
 
