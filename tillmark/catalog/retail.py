@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tillmark.catalog.base import define, query
 from tillmark.operators import chunked
 from tillmark.plans import retail as R
+from tillmark.plans import sketches
+from tillmark.sources import files
 
 START, END, CUTOFF = dt.date(2000, 1, 1), dt.date(2000, 12, 31), dt.date(2000, 12, 31)
 STAGES = ["view", "click", "signup", "purchase"]
@@ -277,3 +279,17 @@ def _(t):
 def _(t):
     events = t.base("events").withColumn("segment", F.col("user_id") % 4)
     return R.engagement_rate(events, ["click", "signup"], "segment")
+
+
+# The estimates themselves have no exact twin: the query says whether they are within three standard errors of the counts.
+@query("sketched_customers", "receipts", """SELECT store_code, count(*) AS receipts, count(DISTINCT customer_id) AS customers, true AS within_bound
+    FROM receipts GROUP BY 1""")
+def _(t):
+    priced = t.receipts.join(t.lines.groupBy("receipt_id").agg(F.sum("value").alias("spend")), "receipt_id", "left")
+    path = files.run_folder(t.spark, "sketches")
+    sketches.add_months(path, sketches.sketches(priced, ["store_code"], "purchased_at", "customer_id", "spend"))
+    rolled = sketches.rolled_up(t.spark.read.parquet(path), ["store_code"]).select("store_code", "receipts", F.col("customers").alias("estimate"))
+    exact = t.receipts.groupBy("store_code").agg(F.count_distinct("customer_id").alias("customers"))
+    bound = 3 * 1.04 / 2 ** (sketches.PRECISION / 2)
+    return rolled.join(exact, "store_code").select(
+        "store_code", "receipts", "customers", (F.abs(F.col("estimate") - F.col("customers")) <= bound * F.col("customers") + 1).alias("within_bound"))

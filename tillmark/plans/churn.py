@@ -91,11 +91,6 @@ class Retail:
         """Per receipt, department and category: spend and items of known products."""
         return self.line_mix().filter("known").drop("known")
 
-    def basket_mix(self) -> DataFrame:
-        """The line mix plus one bare row per reachable receipt, so receipts without lines are kept."""
-        bare = self.reachable.withColumn("known", F.lit(False))
-        return self.line_mix().unionByName(bare, allowMissingColumns=True)
-
 
 def recent(df: DataFrame, grid: Grid) -> DataFrame:
     """The closed window [d-30, d-1]."""
