@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tests.llm.helpers import LONG
 from tillmark.llm import chat
 from tillmark.llm.queries import FORGED
@@ -64,3 +66,37 @@ def test_piece_after_the_first_leaves_the_opening_out():
     out = chat.render(opened, [{"role": "assistant", "content": "x"}], opens=False)
     assert not out["formatted"].startswith("<s>")
     assert out["formatted"][out["turns"][0]["text_start"] : out["turns"][0]["text_end"]] == "x"
+
+
+def stripping(messages):
+    """Drops the thoughts of all assistant turns but the last."""
+    last = max((i for i, m in enumerate(messages) if m["role"] == "assistant"), default=-1)
+    return "".join(f"[{m['role']}]{m['content'] if i == last else m['content'].split('</think>')[-1]}\n" for i, m in enumerate(messages))
+
+
+def numbered(messages):
+    return "".join(f"{i}:{m['content']}\n" for i, m in enumerate(messages))
+
+
+@pytest.mark.parametrize("template", [stripping, numbered, chat.marked_template])
+@pytest.mark.parametrize("parts, piece_turns", [(1, 64), (7, 64), (5, 3), (3, 1000)])
+def test_pieces_add_up_to_what_the_template_gives(spark, template, parts, piece_turns):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"<think>why {i}</think>said {i}" if i % 2 else f"ask {i}")
+            for c, n in ((1, 200), (2, 2), (3, 1), (None, 9)) for i in range(n)]
+    rows += [(4, i, "user", "only") for i in range(130)]
+    df = spark.createDataFrame(rows, SHAPE)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = chat.format_chats(df, template, piece_turns).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for conv in (1, 2, 3, 4, None):
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: (r["part"], r["piece"]))
+        messages = [{"role": r[2], "content": r[3]} for r in rows if r[0] == conv]
+        assert "".join(r["formatted"] for r in own) == template(messages)
+        loss = "".join(r["formatted"][t["text_start"] : t["text_end"]] for r in own for t in r["turns"] if t["loss"])
+        if template is chat.marked_template:
+            assert chat.unescape(loss) == "".join(m["content"] for m in messages if m["role"] == "assistant")
+        assert sum(r["n_turns"] for r in own) == len(messages)
+    if template is not chat.marked_template:
+        assert len([r for r in got if r["conv_id"] == 1]) == 1 or piece_turns == 1000
