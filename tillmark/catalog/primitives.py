@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def _(t):
 
 @query("write_reference_table", "stores regions", REFERENCE)
 def _(t):
-    return files.write_table(store_reference(t), "store_reference_data")
+    return files.write_table(store_reference(t), f"store_reference_data_{uuid.uuid4().hex}")
 
 
 @query("preview_rows", "", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

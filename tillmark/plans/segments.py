@@ -17,9 +17,12 @@ KEY = "customer_number"
 TS = "purchase_time"
 
 
-def categories_of(baskets: DataFrame) -> list[str]:
-    """The categories in the data, sorted; they become columns, so there are few."""
-    return sorted(r[0] for r in baskets.select("category").distinct().collect() if r[0] is not None)
+def categories_of(baskets: DataFrame, most: int = 1000) -> list[str]:
+    """The categories in the data, sorted. They become columns, so more than `most` are refused."""
+    found = baskets.select("category").where("category IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories cannot become columns")
+    return sorted(r[0] for r in found)
 
 
 def category_quantities(baskets: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:

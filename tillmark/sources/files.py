@@ -33,7 +33,7 @@ def write_csv(df: DataFrame, path: str, run_id: str | None = None) -> str:
 
 
 def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Create or replace a catalog table and return it."""
+    """Create or replace a catalog table and return it. Runs that share a warehouse give `name` a part of their own."""
     spark = df.sparkSession
     writer = df.write.mode("overwrite").option("path", run_folder(spark, name))
     if partition_by:
