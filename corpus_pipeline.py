@@ -1,6 +1,8 @@
 """From raw documents to encoded training text: filter, filter, deduplicate, mix, encode.
 
-Every stage reads what its predecessor wrote; all but the last return the columns of documents.
+Every stage reads what its predecessor wrote; all but the last return the columns of documents. Null and empty texts count
+as empty in every stage and stay in. Rows without doc_id are judged by their text; no stage learns from them or links them.
+Repeated rows are judged alike. Further columns are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,26 +20,30 @@ TOXIC = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity is within their language's limit; empty ones have the average perplexity and stay."""
     prepare(spark)
     return quality(docs, table(spark, sf_dir, "labels")).where("lm_keep").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the limit of toxicity."""
+    """Documents that score below the limit of toxicity; empty ones have the score of a text without hits."""
     prepare(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(f"toxicity < {TOXIC}").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 over five-word shingles connect."""
+    """One document of each group that links of similarity 0.8 over five-word shingles connect; empty texts link with nothing.
+
+    Of rows that repeat id and text one stays.
+    """
     prepare(spark)
     return one_of_each(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, smaller sources repeated as far as their weights ask for it."""
+    """Documents in the order of the mix, smaller sources repeated as far as their weights ask for it; a null source is one
+    of its own."""
     prepare(spark)
     mixed = mix(docs)
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)

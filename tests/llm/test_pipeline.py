@@ -1,4 +1,7 @@
+import pytest
+
 import corpus_pipeline
+from tests.llm.helpers import awkward, cluttered, nothing
 from tests.llm.test_filters import corpus  # noqa: F401
 from tillmark.llm import queries
 
@@ -22,3 +25,21 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path, corpus):  # noq
 def test_every_query_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op"))
     assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_awkward_and_empty_tables(spark, folder, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = cluttered(awkward(spark))
+    out = stage(spark, docs, folder)
+    got = out.collect()
+    if at < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == docs.columns
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    rows = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert kept <= rows and {(2, None), (3, "")} <= kept
+    if name.startswith("n-gram"):
+        assert kept == rows - {(4, "One two three four five six.")} and (None, "no id here") in kept and len(got) == len(kept)
+    elif name.startswith("mixing"):
+        assert kept == rows
+    assert stage(spark, cluttered(nothing(spark)), folder).count() == 0
