@@ -88,6 +88,45 @@ def test_a_very_long_interval_touches_two_bins(spark):
     assert spans.select(level).distinct().count() == 2
 
 
+def test_counts_equal_a_range_join_without_its_pairs(spark):
+    draw, day = random.Random(5), dt.datetime(2024, 1, 1)
+    points = [(draw.choice([None, i]), draw.choice([None, *range(12)]),
+               draw.choice([None, day + dt.timedelta(hours=draw.choice([0, 0, 1, 12, 23]), days=draw.randrange(40))])) for i in range(400)]
+    points += points[:30]
+    spans = []
+    for i in range(120):
+        lo = day.date() + dt.timedelta(days=draw.randrange(-5, 45))
+        spans.append((draw.choice([None, i]), lo, lo + dt.timedelta(days=draw.choice([-1, 0, 1, 7, 400]))))
+    spans += [*spans[:20], (500, None, day.date()), (501, day.date(), None)]
+    p, s = spark.createDataFrame(points, "p long, c int, at timestamp_ntz"), spark.createDataFrame(spans, "i int, lo date, hi date")
+    out = I.counts_in_intervals(p, s, "at", "lo", "hi", ("i",), "p", "c", ("n", "m"))
+    want = I.points_in_intervals(p, s, "at", "lo", "hi").groupBy("i", "lo", "hi").agg(F.count("p").alias("n"), F.count_distinct("c").alias("m"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 60
+
+
+def test_counts_do_not_grow_with_the_pairs(spark):
+    """Sixteen million pairs; no operator may put out as many rows."""
+    start = dt.date(2024, 1, 1)
+    points = spark.range(8000).select(F.col("id").alias("p"), (F.col("id") % 50).alias("c"),
+                                      F.date_add(F.lit(start), (F.col("id") % 30).cast("int")).cast("timestamp_ntz").alias("at"))
+    spans = spark.range(2000).select(F.col("id").alias("i"), F.lit(start).alias("lo"), F.date_add(F.lit(start), 60).alias("hi"))
+    out = I.counts_in_intervals(points, spans, "at", "lo", "hi", ("i",), "p", "c", ("n", "m"))
+    assert out.groupBy("n", "m").count().collect() == [(8000, 50, 2000)]
+    node, rows = [out._jdf.queryExecution().executedPlan()], []
+    out.collect()
+    while node:
+        at = node.pop()
+        name = at.nodeName()
+        if name == "AdaptiveSparkPlan":
+            node.append(at.executedPlan())
+        elif name.endswith("QueryStage"):
+            node.append(at.plan())
+        metric = at.metrics().get("numOutputRows")
+        rows += [metric.get().value()] if metric.isDefined() else []
+        node += [at.children().apply(i) for i in range(at.children().size())]
+    assert rows and max(rows) <= 16_000
+
+
 def test_dates_and_times(spark):
     day = dt.date(2024, 1, 1)
     spans = spark.createDataFrame([(1, day, day + dt.timedelta(days=1)), (2, day, day)], "i int, lo date, hi date")

@@ -298,9 +298,8 @@ def offers(t):
 @query("interval_join_points", "offers receipts", """SELECT offer_id, strftime(opens, '%Y-%m-%d') AS opens, strftime(closes, '%Y-%m-%d') AS closes,
     count(receipt_id) AS receipts, count(DISTINCT customer_id) AS shoppers FROM offers JOIN receipts ON purchased_at >= opens AND purchased_at <= closes GROUP BY 1, 2, 3""")
 def _(t):
-    pairs = intervals.points_in_intervals(t.receipts, offers(t), "purchased_at", "opens", "closes")
-    return pairs.groupBy("offer_id", "opens", "closes").agg(
-        F.count("receipt_id").alias("receipts"), F.count_distinct("customer_id").alias("shoppers"))
+    return intervals.counts_in_intervals(
+        t.receipts, offers(t), "purchased_at", "opens", "closes", ("offer_id",), "receipt_id", "customer_id", ("receipts", "shoppers"))
 
 
 @query("interval_overlap", "offers", """SELECT a.offer_id, b.offer_id AS other_id, a.nation FROM offers a JOIN offers b

@@ -9,7 +9,7 @@ has sort-merge or hash joins only, and a crowded bin is split by adaptive execut
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.functions.scalars import micros
@@ -102,3 +102,52 @@ def interval_totals(points: DataFrame, intervals: DataFrame, at: str, start: str
     slim = intervals.select(*dict.fromkeys((*by, *key, start, end)))
     pairs = points_in_intervals(points, slim, at, start, end, by, closed, width=width)
     return intervals.join(pairs.groupBy(*key).agg(*[c.alias(name) for name, c in totals.items()]), list(key), "left")
+
+
+def half_day(at: Column, kind: str) -> Column:
+    """Midnight as it is and any other time as its noon: bounds that are dates do not tell more times of a day apart."""
+    day = F.to_date(at).cast(kind)
+    return F.when(at == day, day).otherwise(day + F.expr("INTERVAL 12 HOURS"))
+
+
+def counts_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, key: tuple[str, ...],
+                        count: str, distinct: str, names: tuple[str, str]) -> DataFrame:
+    """Every interval that holds a point, with its points (non-null `count`) and its different values of `distinct`.
+
+    The same as `points_in_intervals` and an aggregation by `key` and both ends, which are dates, but pairs are not listed:
+    they grow with the product of both tables. A value is counted where it occurs first at or after the start, which is
+    where its previous occurrence lies before the start. So points fold to half days with the half day of the previous
+    one, those meet the different starts, and running sums up to each end are looked up. Every group of a window is
+    bounded by the calendar.
+    """
+    if {intervals.schema[c].dataType.typeName() for c in (start, end)} != {"date"}:
+        raise ValueError("both ends must be dates")
+    kind = points.schema[at].dataType.simpleString()
+    halves = points.where(F.col(at).isNotNull()).withColumn("_half", half_day(F.col(at), kind))
+    folded = halves.groupBy(F.col(distinct).alias("_value"), "_half").agg(F.count(count).alias("_n"))
+    previous = F.lag("_half").over(Window.partitionBy("_value").orderBy("_half"))
+    steps = folded.withColumn("_previous", previous).groupBy("_half", "_previous").agg(
+        F.sum("_n").alias("_n"), F.count("_value").alias("_d"))
+
+    spans = intervals.where(F.col(start) <= F.col(end)).groupBy(*key, start, end).agg(F.count(F.lit(1)).alias("_copies"))
+    ends = spans.select(F.col(start).alias("_start"), F.col(end).alias("_end")).distinct()
+    reach = ends.groupBy("_start").agg(F.max("_end").alias("_end"))
+    asked = points_in_intervals(halves.select("_half").distinct(), reach, "_half", "_start", "_end")
+    # a value whose previous half day is the start itself was met there, so starts come before equal half days
+    rows = steps.select("_half", F.col("_previous").alias("_at"), F.lit(1).alias("_order"), F.lit(None).cast("date").alias("_start"), "_n", "_d")
+    rows = rows.unionByName(asked.select(
+        "_half", F.col("_start").cast(kind).alias("_at"), F.lit(0).alias("_order"), "_start", F.lit(0).alias("_n"), F.lit(0).alias("_d")))
+    whole = Window.partitionBy("_half")
+    earlier = whole.orderBy(F.asc_nulls_first("_at"), "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.select("_start", "_half", F.sum("_n").over(whole).alias("_n"), F.sum("_d").over(earlier).alias("_d")).where("_start IS NOT NULL")
+
+    marks = met.select("_start", F.col("_half").alias("_at"), F.lit(None).cast("date").alias("_end"), F.lit(0).alias("_order"), "_n", "_d")
+    marks = marks.unionByName(ends.select(
+        "_start", F.col("_end").cast(kind).alias("_at"), "_end", F.lit(1).alias("_order"), F.lit(0).alias("_n"), F.lit(0).alias("_d")))
+    upto = Window.partitionBy("_start").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = marks.select(
+        "_start", "_end", F.count_if(F.col("_order") == 0).over(upto).alias("_halves"),
+        F.sum("_n").over(upto).alias("_n"), F.sum("_d").over(upto).alias("_d")).where("_end IS NOT NULL AND _halves > 0")
+    totals = totals.select(F.col("_start").alias(start), F.col("_end").alias(end), "_n", "_d")
+    return spans.join(totals, [start, end]).select(
+        *key, start, end, (F.col("_n") * F.col("_copies")).alias(names[0]), F.col("_d").alias(names[1]))
