@@ -239,3 +239,20 @@ def test_silhouette_matches_pairwise(spark):
         a = dist[i][own].mean()
         b = min(dist[i][labels == c].mean() for c in set(labels) if c != labels[i])
         assert got[i] == pytest.approx((b - a) / max(a, b))
+
+
+def test_panes_are_dealt_by_their_number(spark, monkeypatch):
+    start = dt.datetime(2024, 1, 1)
+    receipts = [(i, i % 40, start + dt.timedelta(days=i % 80 - 20)) for i in range(600)]
+    lines = [(i, i % 9, 2, i % 7) for i in range(600) for _ in range(2)]
+    r = churn.Retail(
+        spark.createDataFrame(receipts, "receipt_id long, customer_id long, purchased_at timestamp_ntz"),
+        spark.createDataFrame(lines, "receipt_id long, product_code long, qty int, value int").withColumn("value", F.col("value").cast("decimal(18,2)")),
+        spark.createDataFrame([(i, f"d{i % 3}", f"c{i % 4}") for i in range(9)], "product_code long, department_name string, category_code string"),
+        spark.createDataFrame([(i, dt.date(1980, 1, 1)) for i in range(40)], "customer_id long, dob date"), Grid(dt.date(2024, 1, 10), 6, 7))
+    few = sorted(map(tuple, churn.enriched_table(r).collect()), key=str)
+    monkeypatch.setattr(churn, "ROWS_PER_TASK", 20)
+    panes = r.receipts.select("customer_id")
+    rows = r.reachable.count() + 1200 * r.reachable.count() // 600
+    assert churn.dealt_by_customer(panes, r).rdd.getNumPartitions() == -(-rows // 20) > 4
+    assert sorted(map(tuple, churn.enriched_table(r).collect()), key=str) == few and few

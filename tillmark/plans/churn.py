@@ -281,6 +281,22 @@ def product_panes(r: Retail) -> DataFrame:
         F.max(TS).alias(TS), F.sum("qty").alias("items"))
 
 
+ROWS_PER_TASK = 20_000  # of both kinds of panes, before dates: a row takes some 13 KB of sums by date and key
+
+
+def dealt_by_customer(panes: DataFrame, r: Retail) -> DataFrame:
+    """Panes by customer, in so many parts that the sums of one stay small however large the tables are.
+
+    The parts multiply by dates only after the shuffle, so its size says too little. The rows are estimated from the counts
+    of receipts and lines and the share of receipts that a window can reach. Few rows are left to Spark's own setting.
+    """
+    receipts, reachable = r.receipts.count(), r.reachable.count()
+    rows = reachable + r.lines.count() * reachable // max(receipts, 1)
+    parts = -(-rows // ROWS_PER_TASK)
+    own = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panes.repartition("customer_id") if rows <= 2 * ROWS_PER_TASK else panes.repartition(max(parts, own), "customer_id")
+
+
 def feature_block(r: Retail, with_lags: bool) -> DataFrame:
     """All features that need lines, from sums over shared panes.
 
@@ -290,7 +306,7 @@ def feature_block(r: Retail, with_lags: bool) -> DataFrame:
     """
     both = receipt_panes(r).withColumn("kind", F.lit("r")).unionByName(
         product_panes(r).withColumn("kind", F.lit("p")), allowMissingColumns=True).drop(*PANE)
-    seen = lookback(both.repartition("customer_id"), r.grid, TS, 90 if with_lags else 60, 0, closed="left")
+    seen = lookback(dealt_by_customer(both, r), r.grid, TS, 90 if with_lags else 60, 0, closed="left")
     ts, d = F.col(TS), F.col("prediction_date")
     now = in_window(ts, d, 30, 1)
     lags = {}
