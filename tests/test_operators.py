@@ -84,6 +84,18 @@ def test_auc_agrees_with_the_library(spark):
     assert E.roc_auc(df, ranges=16).first().auc == pytest.approx(auc)
 
 
+def test_auc_scores_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def scored(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(200).selectExpr("id / 200D AS score", "CAST(id % 3 = 0 AS INT) AS label").mapInPandas(scored, "score double, label int")
+    assert E.roc_auc(df).count() == 1 and seen.value == 200
+
+
 def test_auc_without_positives_is_null(spark):
     df = spark.createDataFrame([(0.1, 0), (0.2, 0)], "score double, label int")
     assert E.roc_auc(df).first().auc is None

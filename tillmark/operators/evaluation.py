@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import scalars as S
 from tillmark.operators.ranking import prefix_sums
-
+from tillmark.session import shared_dir
 
 
 def confusion(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -44,12 +44,14 @@ def balanced_accuracy(scored: DataFrame, threshold: float = 0.5, by: Sequence[st
 def roc_auc(scored: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half.
 
-    Rows shrink to one per distinct score before any ordering takes place.
+    Rows shrink to one per distinct score before any ordering takes place. These rows are stored, because the ranges and
+    the sums read them three times, and a model may stand behind them.
     """
     counts = scored.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    ranked = prefix_sums(counts, "score", ["neg"], ranges, by)
+    shared_dir(counts.sparkSession)
+    ranked = prefix_sums(counts.checkpoint(eager=True), "score", ["neg"], ranges, by)
     # pairs of rows outgrow a long, so they are added as decimals
     wide = "decimal(19,0)"
     won = F.sum(F.col("pos").cast(wide) * (2 * F.col("neg_before") + F.col("neg")).cast(wide))
