@@ -147,3 +147,12 @@ def test_permutation_errors_equal_brute_force(frame):
             assert row["importance"] == pytest.approx(np.mean(drops[t]), abs=1e-9)
             assert row["importance_std"] == pytest.approx(np.std(drops[t], ddof=1), abs=1e-9)
     assert max(got["y"].collect(), key=lambda r: r["importance"])["feature"] in FEATURES
+
+
+def test_no_level_looks_through_earlier_trees(frame, monkeypatch):
+    lacking, passes, context = [], B.histograms, frame.sparkSession.sparkContext
+    before = context._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(B, "histograms", lambda rows, boosters, pending, *rest: lacking.append(max(pending)) or passes(rows, boosters, pending, *rest))
+    B.fit(frame, FEATURES, {"y": B.Settings(rounds=5, depth=2), "z": B.Settings(rounds=3, depth=1)}, ["id"], keep_every=3)
+    assert len(lacking) > 5 and set(lacking) == {0}
+    assert context._jsc.getPersistentRDDs().size() == before

@@ -20,6 +20,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,8 +248,9 @@ def split_level(tree: Tree, sums: np.ndarray, level: int, columns: np.ndarray, s
 def fit(df: DataFrame, features: Sequence[str], targets: dict[str, Settings], key: Sequence[str], bins: int = 64,
         seed: int = 42, keep_every: int = 20) -> dict[str, Booster]:
     """A booster for each target. A null feature counts as the least value. A target's null rows are left out of its own
-    trees. `key` names a row when rows are drawn. Margins are written
-    every `keep_every` trees, so that a pass never looks through more trees than that.
+    trees. `key` names a row when rows are drawn. The first pass over a tree adds the last one to the margins and keeps them
+    on the executors' disks, where two copies lie at most, so that no level looks through earlier trees again. Every
+    `keep_every` trees they are written to the shared folder, which cuts their lineage.
     """
     names = list(targets)
     cuts = cut_points(df, features, bins)
@@ -264,18 +266,26 @@ def fit(df: DataFrame, features: Sequence[str], targets: dict[str, Settings], ke
     for number in range(max(s.rounds for s in targets.values())):
         growing = {t: (Tree.empty(b.settings.depth), number) for t, b in enumerate(boosters) if number < b.settings.rounds}
         columns = {t: columns_of(len(features), boosters[t].settings, seed + t, number) for t in growing}
-        open_, level = dict(growing), 0
+        open_, level, older = dict(growing), 0, None
+        if max(pending):
+            older, rows = rows, with_margins(rows, boosters, pending).persist(StorageLevel.DISK_ONLY)
+            pending = [0] * len(names)
         while open_:
             sums = histograms(rows, boosters, pending, open_, level, n_bins)
             open_ = {t: pair for t, pair in open_.items()
                      if split_level(pair[0], sums[t], level, columns[t], boosters[t].settings)}
             level += 1
+            if older is not None:  # the pass has filled the newer copy
+                older.unpersist()
+                older = None
         for t, (tree, _) in growing.items():
             boosters[t].trees.append(tree)
             pending[t] += 1
-        if max(pending) >= keep_every:
-            rows = materialize(with_margins(rows, boosters, pending))
+        if (number + 1) % keep_every == 0 and any(number + 1 < s.rounds for s in targets.values()):
+            older, rows = rows, materialize(with_margins(rows, boosters, pending))
+            older.unpersist()
             pending = [0] * len(names)
+    rows.unpersist()
     return dict(zip(names, boosters, strict=True))
 
 
