@@ -44,6 +44,25 @@ def test_perfect_hash_finds_its_keys_and_refuses_others():
         assert (token_files.find(others, displacement, slots) == -1).all()
 
 
+def test_perfect_hash_tries_displacements_together(monkeypatch):
+    calls, plain = [], token_files.mix
+    monkeypatch.setattr(token_files, "mix", lambda x, seed: calls.append(seed) or plain(x, seed))
+    displacement, slot = token_files.perfect_hash(token_files.keys_of(list(range(3000)), [0] * 3000))
+    assert sorted(slot.tolist()) == list(range(3000)) and displacement.max() > 16
+    assert len(calls) < 1000  # one or more for each try of each bucket before
+
+
+def test_full_cache_keeps_what_is_in_use():
+    cache, sent = token_files.PieceCache(BPE, limit=3), []
+    first, encoded = cache.encode(["x one two three four"]), cache.ids
+    assert len(cache.pieces) > cache.limit
+    cache.ids = lambda texts: sent.extend(texts) or encoded(texts)
+    assert cache.encode(["x one two three four"]) == first
+    assert sent == ["x"]  # no piece is encoded again
+    cache.encode(["x four"])
+    assert list(cache.pieces) == ["four"]
+
+
 @pytest.mark.parametrize("docs_per_shard", [4096, 3])
 def test_files_read_back(spark, docs_per_shard):
     docs = cluttered(awkward(spark))

@@ -11,6 +11,7 @@ Keys are (doc_id, occurrence): rows that repeat an id are numbered in the order
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,13 +34,14 @@ SHARD_SCHEMA = pa.schema([
     ("carried", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary()),
     ("displacement", pa.binary()), ("slots", pa.binary())])
 U64 = np.uint64
-NULL_ID = 0x9E3779B97F4A7C15
+STEP = 0x9E3779B97F4A7C15
+NULL_ID = STEP
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser: shifts and odd multipliers."""
     with np.errstate(over="ignore"):
-        x = x + U64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
+        x = x + U64((seed * STEP + 0x632BE59BD9B4E019) & (2**64 - 1))
         x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
         return x ^ (x >> U64(31))
@@ -51,27 +53,46 @@ def keys_of(doc_ids: list[int | None], occurrences: list[int]) -> np.ndarray:
     return mix(mix(ids, 1) ^ np.array(occurrences, dtype=U64), 2) ^ nulls
 
 
-def perfect_hash(keys: np.ndarray, per_bucket: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slot of each key); a bucket of one key stores its slot directly, as a negative number."""
+def tried(keys: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
+    """Slots of keys under displacements; the seeds of `mix` are steps of one constant."""
+    return (mix(keys + displacement.astype(U64) * U64(STEP), 10) % U64(max(n, 1))).astype(np.int64)
+
+
+def perfect_hash(keys: np.ndarray, per_bucket: int = 4, ahead: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(displacements, slot of each key); a bucket of one key stores its slot directly, as a negative number.
+
+    Buckets take their smallest free displacement, large ones first. The first `ahead` are worked out for all keys at once,
+    later ones for a bucket in blocks.
+    """
     n = len(keys)
     displacement = np.zeros(max(1, n // per_bucket), dtype=np.int32)
     bucket = (mix(keys, 3) % U64(len(displacement))).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     starts = np.searchsorted(bucket[order], np.arange(len(displacement) + 1))
-    taken, slot = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
     sizes = np.diff(starts)
-    for b in np.argsort(-sizes, kind="stable"):
-        own = order[starts[b] : starts[b + 1]]
-        if len(own) < 2:
+
+    slot = np.zeros(n, dtype=np.int64)
+    early = tried(keys[order, None], np.arange(ahead), n).tolist()
+    held = bytearray(n)
+    for b in np.argsort(-sizes, kind="stable").tolist():
+        begin, end = int(starts[b]), int(starts[b + 1])
+        if end - begin < 2:
             break
-        d = 0
-        while True:
-            at = (mix(keys[own], 10 + d) % U64(n)).astype(np.int64)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
-                break
-            d += 1
-        displacement[b], slot[own], taken[at] = d, at, True
-    free = iter(np.flatnonzero(~taken))
+        own = order[begin:end]
+        fits = ((d, at) for d, at in enumerate(zip(*early[begin:end], strict=True))
+                if not any(map(held.__getitem__, at)) and len(set(at)) == len(at))
+        d, at = next(fits, (-1, ()))
+        first, count = ahead, 256
+        while d < 0:
+            rows = tried(keys[own], np.arange(first, first + count)[:, None], n)
+            free = rows[~np.frombuffer(held, dtype=bool)[rows].any(axis=1)].tolist()
+            if at := next((r for r in free if len(set(r)) == len(r)), ()):
+                d = first + int(np.flatnonzero((rows == at).all(axis=1))[0])
+            first, count = first + count, min(2 * count, 4096)
+        displacement[b], slot[own] = d, at
+        for x in at:
+            held[x] = 1
+    free = iter(np.flatnonzero(~np.frombuffer(held, dtype=bool)))
     for b in np.flatnonzero(sizes == 1):
         slot[order[starts[b]]] = at = next(free)
         displacement[b] = -at - 1
@@ -84,10 +105,7 @@ def find(keys: np.ndarray, displacement: np.ndarray, slots: np.ndarray) -> np.nd
     if not n:
         return np.full(len(keys), -1)
     d = displacement[(mix(keys, 3) % U64(len(displacement))).astype(np.int64)].astype(np.int64)
-    at = np.where(d < 0, -d - 1, 0)
-    for value in np.unique(d[d >= 0]):
-        rows = d == value
-        at[rows] = (mix(keys[rows], 10 + int(value)) % U64(n)).astype(np.int64)
+    at = np.where(d < 0, -d - 1, tried(keys, np.maximum(d, 0), n))
     return np.where(slots["fingerprint"][at] == fingerprints(keys), at, -1)
 
 
@@ -102,13 +120,14 @@ class PieceCache:
     the pieces between such spaces can be encoded on their own; so can what follows a piece's leading run of letters.
     New pieces of a batch are joined and encoded in one call; the ids that begin with a space tell them apart again.
     Texts in which white space follows a space, and texts that hold an added token such as <|endoftext|>, which the
-    tokenizer takes out before it splits, are encoded whole. The cache is emptied when it is full, which changes
-    no result.
+    tokenizer takes out before it splits, are encoded whole. When the cache is full, what the next batch does not use
+    leaves it, which changes no result.
     """
 
     HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\n!-@\[-`{-~].*)", re.DOTALL)
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 900_000, joined: int = 100):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of the library only add work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,45 +136,52 @@ class PieceCache:
         self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, i in names.items():
             self.spaced[i] = name.startswith("Ġ")
-        self.limit, self.pieces, self.tails = limit, {}, {}
+        self.limit, self.joined, self.pieces, self.tails = limit, joined, {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, missing: set[str]) -> None:
-        """Ids of new pieces; none for a piece that is empty or begins with white space."""
-        safe = [piece for piece in missing if piece and not piece[0].isspace()]
-        self.pieces.update(dict.fromkeys(missing.difference(safe), b""))
-        parts = [(piece, m[1], m[2]) if (m := self.HEAD.fullmatch(piece)) else (piece, piece, "") for piece in safe]
-        heads = list({head for _, head, _ in parts} - self.pieces.keys())
+        """Ids of new pieces; None for a piece that is empty or begins with white space."""
+        heads = {piece for piece in missing if piece.isalpha()}
+        parts = []
+        for piece in missing - heads:
+            if not piece or piece[0].isspace():
+                self.pieces[piece] = None
+            elif m := self.HEAD.fullmatch(piece):
+                parts.append((piece, *m.groups()))
+            else:
+                heads.add(piece)
+        heads.update(head for _, head, _ in parts if head not in self.pieces)
         if heads:
-            found = np.frombuffer(self.ids([" " + " ".join(heads)])[0], dtype="<u4")
-            starts = np.flatnonzero(self.spaced[found])
-            if len(starts) != len(heads):
+            new = list(heads)
+            raw = b"".join(self.ids([" " + " ".join(new[i : i + self.joined]) for i in range(0, len(new), self.joined)]))
+            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, dtype="<u4")])
+            if len(starts) != len(new):
                 raise ValueError("a piece was not encoded on its own")
-            raw, bounds = found.tobytes(), [*(starts * 4).tolist(), len(found) * 4]
-            self.pieces.update(zip(heads, (raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
-        tails = list({tail for _, _, tail in parts} - self.tails.keys())
+            begin = (starts * 4).tolist()
+            self.pieces.update(zip(new, map(raw.__getitem__, map(slice, begin, [*begin[1:], len(raw)])), strict=True))
+        tails = list({tail for _, _, tail in parts}.difference(self.tails))
         self.tails.update(zip(tails, self.ids(tails), strict=True))
-        self.pieces.update({piece: self.pieces[head] + self.tails[tail] for piece, head, tail in parts if tail})
+        self.pieces.update([(piece, self.pieces[head] + self.tails[tail]) for piece, head, tail in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) + len(self.tails) > self.limit:
-            self.pieces.clear()
-            self.tails.clear()
         whole = [any(token in text for token in self.special) for text in texts]
         split = [[""] if w else text.split(" ") for text, w in zip(texts, whole, strict=True)]
-        heads = self.ids([own[0] for own in split])
-        known = [list(map(self.pieces.get, own[1:])) for own in split]
-        missing = {piece for own, blobs in zip(split, known, strict=True) if None in blobs
-                   for piece, blob in zip(own[1:], blobs, strict=True) if blob is None}
-        if missing:
+        heads = [own.pop(0) for own in split]
+        used = set().union(*split)
+        if len(self.pieces) + len(self.tails) > self.limit:
+            self.pieces = {piece: self.pieces[piece] for piece in used if piece in self.pieces}
+            self.tails.clear()
+        if missing := used.difference(self.pieces):
             self.learn(missing)
-            known = [list(map(self.pieces.get, own[1:])) if None in blobs else blobs
-                     for own, blobs in zip(split, known, strict=True)]
-        return [head + b"".join(blobs) if not w and all(blobs) and (own[0] or len(own) == 1) else self.ids([text])[0]
-                for text, w, own, head, blobs in zip(texts, whole, split, heads, known, strict=True)]
+        out, known = [], self.pieces.__getitem__
+        for text, w, own, head, blob in zip(texts, whole, split, heads, self.ids(heads), strict=True):
+            blobs = list(map(known, own))
+            apart = not w and None not in blobs and (head or not own)
+            out.append(blob + b"".join(blobs) if apart else self.ids([text])[0])
+        return out
 
 
 CACHES: dict[str, PieceCache] = {}
