@@ -47,6 +47,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")  # the bytes of a batch stay bounded as before
     path = token_files.write_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_documents(spark, path)
 

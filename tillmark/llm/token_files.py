@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -166,22 +167,34 @@ class PieceCache:
         self.tails.update(zip(tails, self.ids(tails), strict=True))
         self.pieces.update([(piece, self.pieces[head] + self.tails[tail]) for piece, head, tail in parts])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(token in text for token in self.special) for text in texts]
-        split = [[""] if w else text.split(" ") for text, w in zip(texts, whole, strict=True)]
-        heads = [own.pop(0) for own in split]
-        used = set().union(*split)
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+        """Ids of the texts, none of them null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        begin = split.offsets.to_numpy().astype(np.int64)
+        begin, flat = begin - begin[0], split.flatten()
+        coded = flat.dictionary_encode()
+        used, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         if len(self.pieces) + len(self.tails) > self.limit:
             self.pieces = {piece: self.pieces[piece] for piece in used if piece in self.pieces}
             self.tails.clear()
-        if missing := used.difference(self.pieces):
+        if missing := set(used).difference(self.pieces):
             self.learn(missing)
-        out, known = [], self.pieces.__getitem__
-        for text, w, own, head, blob in zip(texts, whole, split, heads, self.ids(heads), strict=True):
-            blobs = list(map(known, own))
-            apart = not w and None not in blobs and (head or not own)
-            out.append(blob + b"".join(blobs) if apart else self.ids([text])[0])
-        return out
+        blobs = list(map(self.pieces.__getitem__, used))
+        # the first piece of a text has no space before it
+        first = flat.take(pa.array(begin[:-1])).to_pylist()
+        place[begin[:-1]] = np.arange(len(used), len(used) + len(first))
+        unsafe = np.array([blob is None for blob in blobs] + [False] * len(first))
+        whole = np.add.reduceat(unsafe[place], begin[:-1]) > 0
+        whole |= (np.diff(begin) > 1) & np.array([not head for head in first])
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        joined = pa.array(blobs + self.ids(first), pa.large_binary()).take(pa.array(place))
+        data, ends = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64)[begin].tolist()
+        return [self.ids([texts[i].as_py()])[0] if w else bytes(data[a:b])
+                for i, (w, a, b) in enumerate(zip(whole.tolist(), ends[:-1], ends[1:], strict=True))]
 
 
 CACHES: dict[str, PieceCache] = {}
@@ -228,7 +241,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_to
         last, seen = object(), 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, blob in zip(ids, cache.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, blob in zip(ids, cache.encode(batch.column(1)), strict=True):
                 seen = seen + 1 if doc_id == last else 0
                 last = doc_id
                 for column, value in zip(held, (doc_id, seen, blob + end), strict=True):
