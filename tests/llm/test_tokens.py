@@ -60,7 +60,7 @@ def test_full_cache_keeps_what_is_in_use():
     assert cache.encode(["x one two three four"]) == first
     assert sent == ["x"]  # no piece is encoded again
     cache.encode(["x four"])
-    assert list(cache.pieces) == ["four"]
+    assert set(cache.pieces) == {"x", "four"}
 
 
 @pytest.mark.parametrize("docs_per_shard", [4096, 3])
@@ -153,6 +153,15 @@ def test_runs_of_spaces_get_their_best_split(model):
     assert [source.id_to_piece(i) for i in brute("a   b")] == ["▁a", "▁▁", "▁b"]
 
 
+def test_a_worker_keeps_few_parts_between_tasks(model):
+    encoder = pieces.Encoder(model, limit=8, kept=3)
+    first = encoder.encode(["a b c d e f g h i j"])
+    assert len(encoder.solved) == 10
+    assert encoder.encode(["a b c d e f g h i j"]) == first
+    encoder.trim()
+    assert len(encoder.solved) == 3
+
+
 def test_equals_the_library_as_a_unigram_model(model):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2

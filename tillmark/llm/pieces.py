@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -176,14 +177,19 @@ class PieceModel:
 
 
 class Encoder:
-    """Remembers solved parts; the memory is emptied when it is full, which changes no result."""
+    """Remembers solved parts. When the memory is full and when a task ends, the parts met first stay, `kept` of them, as
+    frequent ones are met early; a worker that goes on with other work gives the rest back. This changes no result."""
 
-    def __init__(self, model: PieceModel, limit: int = 700_000):
-        self.model, self.limit, self.solved = model, limit, {}
+    def __init__(self, model: PieceModel, limit: int = 400_000, kept: int = 100_000):
+        self.model, self.limit, self.kept, self.solved = model, limit, min(kept, limit // 2), {}
+
+    def trim(self) -> None:
+        if len(self.solved) > self.kept:
+            self.solved = dict(islice(self.solved.items(), self.kept))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.solved) > self.limit:
-            self.solved.clear()
+            self.trim()
         marked = [MARKER + text.replace(" ", MARKER) for text in texts]
         split = [PART.findall(text) for text in marked] if self.model.splits else [[text] for text in marked]
         missing = list({part for own in split for part in own} - self.solved.keys())
@@ -216,17 +222,20 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(model_path)
-        for batch in batches:
-            texts = batch.column(position).to_pylist()
-            blobs = encoder.encode([t or "" for t in texts])
-            absent = np.array([t is None for t in texts], dtype=bool)
-            ends = np.cumsum([0] + [len(b) // 4 for b in blobs])
-            values = np.frombuffer(b"".join(blobs), dtype="<i4")
-            new = [pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(absent, False)), pa.array(values))]
-            if decoded:
-                new.append(pa.array([None if a else encoder.model.decode(values[low:high]) for a, low, high in
-                                     zip(absent, ends[:-1], ends[1:], strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(batch.columns[:kept] + new, names=names)
+        try:
+            for batch in batches:
+                texts = batch.column(position).to_pylist()
+                blobs = encoder.encode([t or "" for t in texts])
+                absent = np.array([t is None for t in texts], dtype=bool)
+                ends = np.cumsum([0] + [len(b) // 4 for b in blobs])
+                values = np.frombuffer(b"".join(blobs), dtype="<i4")
+                new = [pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(absent, False)), pa.array(values))]
+                if decoded:
+                    new.append(pa.array([None if a else encoder.model.decode(values[low:high]) for a, low, high in
+                                         zip(absent, ends[:-1], ends[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(batch.columns[:kept] + new, names=names)
+        finally:
+            encoder.trim()
 
     return wide.mapInArrow(run, wide.schema)
 

@@ -35,7 +35,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS, INVERSES
 
 
-CHUNK = 1 << 20  # bytes of text hashed at once; the arrays take some forty times as much
+CHUNK = 1 << 19  # bytes of text hashed at once; the arrays take some forty times as much
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
