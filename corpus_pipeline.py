@@ -17,17 +17,25 @@ from tillmark.llm.perplexity import quality
 from tillmark.llm.pieces import encode_pieces
 
 TOXIC = 0.7
+#: half the rows and bytes of a batch: what Python workers hold adds up over the stages of a run
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+
+
+def begin(spark: SparkSession) -> None:
+    prepare(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit; empty ones have the average perplexity and stay."""
-    prepare(spark)
+    prepare(spark)  # sums of costs are rounded by batch, so batches stay as they are in op9_quality
     return quality(docs, table(spark, sf_dir, "labels")).where("lm_keep").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit of toxicity; empty ones have the score of a text without hits."""
-    prepare(spark)
+    begin(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(f"toxicity < {TOXIC}").select(*docs.columns)
 
@@ -37,21 +45,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat id and text one stays.
     """
-    prepare(spark)
+    begin(spark)
     return one_of_each(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, smaller sources repeated as far as their weights ask for it; a null source is one
     of its own."""
-    prepare(spark)
+    begin(spark)
     mixed = mix(docs)
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces."""
-    prepare(spark)
+    begin(spark)
     return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

@@ -389,7 +389,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
         F.arrays_overlap("of_a", "of_b")).select("a", "b")
     canopies = components(gathering.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = canopies.withColumnRenamed("component", "canopy").join(nodes, "node")
-    merged = components(linked(members.select("canopy", "node", "doc_id", "n", "s1"), rows, words, percent, block))
+    # cut, so that a task has one Python worker at a time
+    links = cut(linked(members.select("canopy", "node", "doc_id", "n", "s1"), rows, words, percent, block))
+    merged = components(links)
 
     labels = nodes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
