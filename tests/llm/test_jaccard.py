@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.helpers import awkward, brute_components, cluttered, nothing
 from tillmark.llm.components import components
-from tillmark.llm.jaccard import jaccard_components, one_of_each, prefix_length
+from tillmark.llm.jaccard import CLASSES, crossing_pairs, jaccard_components, least_common, one_of_each, prefix_length
 from tillmark.llm.wordhash import shingle_sets
 
 
@@ -54,6 +54,37 @@ def test_equals_brute_force(spark, seed, words, percent):
     assert found(jaccard_components(docs, words, percent)) == want
 
 
+@pytest.mark.parametrize("seed,words,percent,gather", [(3, 3, 90, 2), (4, 5, 80, 60)])
+def test_crowded_gatherings_lose_no_link(spark, seed, words, percent, gather):
+    rows = planted(seed, copies=70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, words, percent)
+    for crowded in (0, 1, 4):
+        assert found(jaccard_components(docs, words, percent, gather=gather, frequent=200, crowded=crowded)) == want
+
+
+def test_crowded_gatherings_meet_as_a_whole(spark):
+    """Pairs of two gatherings of near copies would grow with the square of their size."""
+    nodes = spark.range(240).selectExpr("id AS node", "100 AS n", f"cast(repeat('a', {CLASSES}) AS binary) AS classes",
+                                        "id % 2 AS gathering", "true AS crowd")
+    rows = spark.range(20).selectExpr("id AS token").crossJoin(nodes).select("token", "node", "n", "classes", "gathering", "crowd")
+    rows = rows.select(*[rows[c].cast("long") if c in ("n", "gathering") else rows[c] for c in rows.columns])
+    met = crossing_pairs(rows, 80).collect()
+    assert sorted((r["a"], r["b"]) for r in met) == [(i, 1) for i in range(0, 240, 2)]
+    assert all(r["whole"] for r in met)
+    apart = rows.withColumn("n", rows["n"] + 100 * rows["gathering"])
+    assert crossing_pairs(apart, 80).count() == 0  # their sizes allow no link
+
+
+def test_least_common_tokens_of_a_range_of_sizes():
+    for percent in (80, 90):
+        for n in range(1, 120):
+            fit = np.arange(-(-percent * n // 100), n * 100 // percent + 1)
+            values = least_common(np.full(len(fit), n), fit, percent)
+            for end in range(1, len(fit) + 1):
+                assert min(values[0], values[end - 1] - 1) <= values[:end].min()
+
+
 def test_awkward_rows(spark):
     docs = cluttered(awkward(spark))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

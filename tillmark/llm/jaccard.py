@@ -8,7 +8,8 @@ prefixes must even share as many tokens as a link needs beyond the longer rest:
 prefixes stands in the rest of the set whose prefix ends first.
 
 Large groups of near copies would meet at very many tokens. So documents that share several prefix tokens with the same
-pivot of their token groups are put together first; pairs are only listed across such gatherings. Gatherings and
+pivot of their token groups are put together first; pairs are only listed across such gatherings. A gathering of more
+than a few nodes is met as a whole, once for each node and token, whatever its size. Gatherings and
 candidate pairs make up the canopies: every linked pair lies inside one. A canopy is verified in blocks, by products of
 0/1 matrices, and each block returns a spanning forest of its links. Nothing is dropped or capped.
 
@@ -210,10 +211,54 @@ def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+def least_common(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that prefixes of sets of these sizes share at least, if the sets link."""
+    # a link has at least percent / (100 + percent) of both sizes in common; a prefix leaves out ceil(percent n / 100) - 1
+    return -(-percent * (left + right) // (100 + percent)) + percent * np.maximum(left, right) // -100 + 1
+
+
+def against_crowds(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, counts: np.ndarray,
+                   crowd: np.ndarray, percent: int, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
+    """(node, gathering, least) of the rows and the crowded gatherings of each token, where some of these may link.
+
+    A gathering stands for its rows of the token by the range of their sizes and of their class counts. Of two crowded
+    gatherings the rows of the smaller id meet the other. Rows are sorted by token.
+    """
+    at = np.flatnonzero(crowd)
+    if not len(at):
+        return
+    at = at[np.lexsort((group[at], token[at]))]
+    begins = np.flatnonzero(np.append(True, (token[at[1:]] != token[at[:-1]]) | (group[at[1:]] != group[at[:-1]])))
+    of, name = token[at[begins]], group[at[begins]]
+    fewest, largest = np.minimum.reduceat(n[at], begins), np.maximum.reduceat(n[at], begins)
+    floor, ceiling = np.minimum.reduceat(counts[at], begins), np.maximum.reduceat(counts[at], begins)
+    first = np.searchsorted(of, token)
+    many = np.searchsorted(of, token, side="right") - first
+    ends = np.cumsum(many)
+    bounds = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], most), side="right"), len(token)))
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        i = np.repeat(np.arange(begin, end), many[begin:end])
+        k = np.arange(len(i)) + ends[begin] - many[begin] + np.repeat((first - ends + many)[begin:end], many[begin:end])
+        fit = (group[i] < name[k]) | ((group[i] != name[k]) & ~crowd[i])
+        i, k = i[fit], k[fit]
+        low = np.maximum(fewest[k], -(-percent * n[i] // 100))
+        high = np.minimum(largest[k], n[i] * 100 // percent)
+        fit = low <= high
+        i, k, low, high = i[fit], k[fit], low[fit], high[fit]
+        apart = (np.maximum(floor[k] - counts[i], 0) + np.maximum(counts[i] - ceiling[k], 0)).sum(axis=1)
+        fit = (100 + percent) * apart <= (100 - percent) * (n[i] + high)
+        i, k, low, high = i[fit], k[fit], low[fit], high[fit]
+        # it grows up to the row's own size and falls beyond, but for rounding
+        least_of = np.minimum(least_common(n[i], low, percent), least_common(n[i], high, percent) - 1)
+        yield node[i], name[k], least_of
+
+
 def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
-    """(a, b) of different gatherings whose sizes, class counts and common prefix tokens allow a link.
+    """(a, b, whole) of different gatherings whose sizes, class counts and common prefix tokens allow a link.
 
-    `rows`: token, node, n, classes, gathering. A pair comes up once for each common prefix token. Runs of up to `short` rows are compared together, shift by shift.
+    `rows`: token, node, n, classes, gathering, crowd. A pair comes up once for each common prefix token. The nodes of a
+    crowded gathering are not listed: where `whole`, a may link with some node of the gathering b. Runs of up to `short`
+    other rows are compared together, shift by shift.
     """
     ordered = rows.repartition("token").sortWithinPartitions("token", "n")
 
@@ -222,10 +267,14 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
             token, node = own.column("token").to_numpy(), own.column("node").to_numpy()
             n, group = own.column("n").to_numpy(), own.column("gathering").to_numpy()
             counts = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            crowd = own.column("crowd").to_numpy()
+            for found in against_crowds(token, node, n, group, counts, crowd, percent):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.ones(len(found[0]), dtype=bool))], names=names)
+            token, node, n, group, counts = (x[~crowd] for x in (token, node, n, group, counts))
+            if not len(token):
+                continue
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             sizes = np.diff(np.append(starts, len(token)))
-            # a link has at least percent / (100 + percent) of both sizes in common
-            rest = n - (n + percent * n // -100 + 1)
 
             def compare(i, j):
                 """Columns of the pairs that may link."""
@@ -234,8 +283,7 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
                 apart = np.abs(counts[i] - counts[j]).sum(axis=1)
                 fit = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
                 i, j = i[fit], j[fit]
-                needed = -(-percent * (n[i] + n[j]) // (100 + percent))
-                held.append((node[i], node[j], needed - np.maximum(rest[i], rest[j])))
+                held.append((node[i], node[j], least_common(n[i], n[j], percent)))
                 nonlocal size
                 size += len(i)
                 return size >= PAIRS
@@ -243,8 +291,9 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
             def pairs():
                 nonlocal size
                 size = 0
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)],
-                                                 names=["a", "b", "least"])
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                whole = np.zeros(len(columns[0]), dtype=bool)
+                out = pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, whole)], names=names)
                 held.clear()
                 return out
 
@@ -256,22 +305,26 @@ def crossing_pairs(rows: DataFrame, percent: int, short: int = 48) -> DataFrame:
                     yield pairs()
             for begin, long in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
                 inside = group[begin : begin + long]
-                names, times = np.unique(inside, return_counts=True)
-                if len(names) > 1:  # rows of the largest gathering need not be compared with each other
-                    others = begin + np.flatnonzero(inside != names[times.argmax()])
+                gatherings, times = np.unique(inside, return_counts=True)
+                if len(gatherings) > 1:  # rows of the largest gathering need not be compared with each other
+                    others = begin + np.flatnonzero(inside != gatherings[times.argmax()])
                     for i in others.tolist():
                         low = begin + np.searchsorted(n[begin : begin + long], -(-percent * n[i] // 100))
                         high = begin + np.searchsorted(n[begin : begin + long], n[i] * 100 // percent, side="right")
                         near = np.arange(low, high)
-                        near = near[(inside[near - begin] == names[times.argmax()]) | (near > i)]
+                        near = near[(inside[near - begin] == gatherings[times.argmax()]) | (near > i)]
                         if compare(np.full(len(near), i), near):
                             yield pairs()
             if held:
                 yield pairs()
 
-    found = ordered.select("token", "node", "n", "classes", "gathering").mapInArrow(run, "a long, b long, least long")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least").count().where(
-        "count >= least").select("a", "b")
+    names = ["a", "b", "least", "whole"]
+    found = ordered.select("token", "node", "n", "classes", "gathering", "crowd").mapInArrow(
+        run, "a long, b long, least long, whole boolean")
+    a = F.when(F.col("whole"), F.col("a")).otherwise(F.least("a", "b"))
+    b = F.when(F.col("whole"), F.col("b")).otherwise(F.greatest("a", "b"))
+    return found.groupBy(a.alias("a"), b.alias("b"), "whole").agg(F.count("*").alias("tokens"), F.min("least").alias("least")).where(
+        "tokens >= least").select("a", "b", "whole")
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, width: int = 2048):
@@ -350,7 +403,7 @@ def linked(members: DataFrame, texts: DataFrame, words: int, percent: int, block
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 256, gather: int = 3,
-                       frequent: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+                       frequent: int = 64, crowded: int = 32, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest id reachable by links, itself included.
 
     Columns named in `keep` are returned as well.
@@ -358,7 +411,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     A set holds the distinct n-grams of `words` lower-cased (A-Z) words; fewer words count as one n-gram. Two documents
     link when their sets' similarity reaches `percent` hundredths. Null texts are empty; empty sets link with nothing.
     Rows without doc_id are returned with a null component and link with nothing. Rows that repeat an id are linked
-    each by its own text. `gather` and `frequent` change the work, not the result.
+    each by its own text. `gather`, `frequent` and `crowded` change the work, not the result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = stored(signatures(docs.select(rows.columns + list(keep)), words), "signatures")
@@ -381,12 +434,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     strong = shared.where("node != pivot").groupBy("node", "pivot").count().join(nodes.select("node", "n"), "node").where(
         F.col("count") >= F.greatest(F.lit(gather), F.floor(F.col("n") * (100 - percent) / 300)))
     gathering = components(strong.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    crowds = gathering.groupBy("component").count().where(F.col("count") > crowded).select("component", F.lit(True).alias("crowd"))
     meeting = shared.select("token", "node").join(classes, "node").join(
-        gathering, "node", "left").withColumn("gathering", F.coalesce("component", "node"))
-    pairs = crossing_pairs(meeting, percent)
+        join_small(gathering, crowds, "component", "left"), "node", "left").select(
+        "token", "node", "n", "classes", F.coalesce("component", "node").alias("gathering"), F.coalesce("crowd", F.lit(False)).alias("crowd"))
+    pairs = cut(crossing_pairs(meeting, percent))
     second = wide.select("node", "second")
-    met = pairs.join(second.toDF("a", "of_a"), "a").join(second.toDF("b", "of_b"), "b").where(
-        F.arrays_overlap("of_a", "of_b")).select("a", "b")
+    met = pairs.where("NOT whole").join(second.toDF("a", "of_a"), "a").join(second.toDF("b", "of_b"), "b").where(
+        F.arrays_overlap("of_a", "of_b")).select("a", "b").unionByName(pairs.where("whole").select("a", "b"))
     canopies = components(gathering.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = canopies.withColumnRenamed("component", "canopy").join(nodes, "node")
     # cut, so that a task has one Python worker at a time
