@@ -12,6 +12,7 @@ from tillmark.operators import evaluation as E
 from tillmark.operators.timegrid import split_by_range
 from tillmark.plans import boosting as B
 from tillmark.plans import churn as C
+from tillmark.plans import forest as RF
 from tillmark.plans import market as M
 from tillmark.plans import models as ML
 from tillmark.plans import segments as G
@@ -147,7 +148,7 @@ def _(t):
 def _(t):
     frame = churn_frame(t)
     weighted = ML.materialize(ML.balance(frame.filter("data_split = 'train'")))
-    return ML.split_report(ML.forest(weightCol="weight", **DEEP).fit(weighted), frame)
+    return ML.split_report(RF.fit(ML.forest(weightCol="weight", **DEEP), weighted), frame)
 
 
 @query("train_gbt_classifier")
