@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillmark.plans import boosting as B
+from tillmark.plans import models as ML
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +157,59 @@ def test_no_level_looks_through_earlier_trees(frame, monkeypatch):
     B.fit(frame, FEATURES, {"y": B.Settings(rounds=5, depth=2), "z": B.Settings(rounds=3, depth=1)}, ["id"], keep_every=3)
     assert len(lacking) > 5 and set(lacking) == {0}
     assert context._jsc.getPersistentRDDs().size() == before
+
+
+def classified(spark, n=400):
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        a, b, c = float(rng.randrange(9)), float(rng.randrange(6)), float(rng.randrange(4))
+        rows.append((i, a, b, c, int(a + 2 * (b % 3) + rng.gauss(0, 2) > 5)))
+    return ML.materialize(ML.assemble(spark.createDataFrame(rows, "id int, a double, b double, c double, label int"), FEATURES))
+
+
+def scores(model, frame):
+    return {r.id: r.score for r in ML.score(model, frame, ["id"]).collect()}
+
+
+def test_classifier_equals_mllib_where_nothing_is_drawn(spark):
+    frame = classified(spark)
+    like = ML.boosted(maxIter=12, maxDepth=3)
+    want, got = scores(like.fit(frame), frame), scores(B.Classifier(like, ["id"]).fit(frame), frame)
+    assert len(set(want.values())) > 20 and max(abs(want[i] - got[i]) for i in want) < 1e-6
+
+
+def test_long_fits_need_no_pass_per_tree(spark, monkeypatch):
+    frame = classified(spark)
+    monkeypatch.setattr(B, "histograms", lambda *_: pytest.fail("a pass over the cluster for a level of a tree"))
+    tracker, group = spark.sparkContext.statusTracker(), []
+    for rounds in (2, 60):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "")
+        B.Classifier(ML.boosted(maxIter=rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8"), ["id"]).fit(frame)
+        group.append(len(tracker.getJobIdsForGroup(f"rounds {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert group[0] == group[1] > 0
+
+
+@pytest.mark.parametrize("drawn", [{}, {"subsamplingRate": 0.6, "featureSubsetStrategy": "0.5"}])
+def test_one_task_and_passes_grow_the_same_classifier(spark, drawn):
+    frame, like = classified(spark), ML.boosted(maxIter=4, maxDepth=3, **drawn)
+    one, many = (scores(B.Classifier(like, ["id"], whole=w).fit(frame), frame) for w in (B.WHOLE, 0))
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-9
+
+
+def test_one_task_and_passes_grow_the_same_trees(frame):
+    targets = {"y": B.Settings(rounds=4, depth=3, row_share=0.7, column_share=0.67), "z": SETTINGS[1]}
+    one, many = (B.fit(frame, FEATURES, targets, ["id"], whole=w) for w in (B.WHOLE, 0))
+    for t in targets:
+        assert len(one[t].trees) == len(many[t].trees) == targets[t].rounds
+        for x, y in zip(one[t].trees, many[t].trees, strict=True):
+            assert (x.feature == y.feature).all() and (x.bin == y.bin).all() and np.allclose(x.value, y.value, atol=1e-9)
+
+
+def test_points_share_the_longest_fit(spark):
+    frame, like = classified(spark), ML.boosted(subsamplingRate=0.8)
+    maps = ML.grid(like, {"maxDepth": [2, 3], "maxIter": [2, 5]})
+    for index, model in B.Classifier(like, ["id"]).fitMultiple(frame, maps):
+        alone = scores(B.Classifier(like.copy(maps[index]), ["id"]).fit(frame), frame)
+        assert scores(model, frame) == pytest.approx(alone)
