@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillmark import catalog
+from tillmark.plans import boosting as B
 from tillmark.plans import models as ML
 
 
@@ -80,3 +82,27 @@ def test_clusters_are_named_by_profile(spark):
     df = spark.createDataFrame([(i, 100.0 * (i % 2), i % 2) for i in range(10)], "id int, spend double, cluster int")
     out = {r.cluster: r.segment for r in ML.name_clusters(df, "spend", ["high", "low"]).collect()}
     assert out == {1: "high", 0: "low"}
+
+
+class Seen(Exception):
+    pass
+
+
+def whole_fits(monkeypatch, owner, name, run):
+    """What a query hands to a fit, which is not run."""
+    seen = []
+
+    def stop(*args, **kwargs):
+        seen.append((args, kwargs))
+        raise Seen
+
+    monkeypatch.setattr(owner, name, stop)
+    with pytest.raises(Seen):
+        run()
+    return seen[0]
+
+
+def test_the_refit_grows_all_tuned_rounds(spark, folder, monkeypatch):
+    args, kwargs = whole_fits(monkeypatch, B, "fit", lambda: catalog.load()["final_refit"](spark, folder))
+    assert [(t, s.rounds, s.depth) for t, s in args[2].items()] == [
+        ("target_return_1d", 400, 5), ("target_return_5d", 649, 9), ("target_return_20d", 649, 9)]

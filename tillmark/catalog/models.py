@@ -163,13 +163,10 @@ def _(t):
     return ML.regression_report(market_frame(t), MARKET_FEATURES, TARGETS, makers, ["train"], "val")
 
 
-ROUNDS = 20  # of 400 and 649: a level of all targets' trees is one job
-
-
 @query("final_refit")
 def _(t):
     frame = ML.materialize(market_frame(t).select("entity_id", "date", "data_split", *MARKET_FEATURES, *TARGETS))
-    boosters = B.fit(frame.filter("data_split IN ('train', 'val')"), MARKET_FEATURES, B.tuned(ROUNDS), ["entity_id", "date"])
+    boosters = B.fit(frame.filter("data_split IN ('train', 'val')"), MARKET_FEATURES, B.tuned(), ["entity_id", "date"])
     return B.report(frame.filter("data_split = 'test'"), boosters)
 
 
@@ -209,7 +206,7 @@ def _(t):
 def horizon_importance(t):
     """Permutation importance by mean absolute error, over the validation rows, joined across the horizons."""
     frame = ML.materialize(market_frame(t).select("entity_id", "date", "data_split", *MARKET_FEATURES, *TARGETS))
-    boosters = B.fit(frame.filter("data_split = 'train'"), MARKET_FEATURES, B.tuned(ROUNDS // 2), ["entity_id", "date"])
+    boosters = B.fit(frame.filter("data_split = 'train'"), MARKET_FEATURES, B.tuned(10), ["entity_id", "date"])
     tables = B.permutation_errors(frame.filter("data_split = 'val'"), boosters, ["entity_id", "date"])
     return ML.importance_by_horizon(tables)
 
