@@ -106,3 +106,9 @@ def test_the_refit_grows_all_tuned_rounds(spark, folder, monkeypatch):
     args, kwargs = whole_fits(monkeypatch, B, "fit", lambda: catalog.load()["final_refit"](spark, folder))
     assert [(t, s.rounds, s.depth) for t, s in args[2].items()] == [
         ("target_return_1d", 400, 5), ("target_return_5d", 649, 9), ("target_return_20d", 649, 9)]
+
+
+@pytest.mark.parametrize("name", ["least_important", "importance_by_horizon"])
+def test_importances_come_from_all_tuned_rounds(spark, folder, monkeypatch, name):
+    args, kwargs = whole_fits(monkeypatch, B, "fit", lambda: catalog.load()[name](spark, folder))
+    assert [(t, s.rounds) for t, s in args[2].items()] == [("target_return_1d", 400), ("target_return_5d", 649), ("target_return_20d", 649)]

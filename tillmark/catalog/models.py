@@ -206,7 +206,7 @@ def _(t):
 def horizon_importance(t):
     """Permutation importance by mean absolute error, over the validation rows, joined across the horizons."""
     frame = ML.materialize(market_frame(t).select("entity_id", "date", "data_split", *MARKET_FEATURES, *TARGETS))
-    boosters = B.fit(frame.filter("data_split = 'train'"), MARKET_FEATURES, B.tuned(10), ["entity_id", "date"])
+    boosters = B.fit(frame.filter("data_split = 'train'"), MARKET_FEATURES, B.tuned(), ["entity_id", "date"])
     tables = B.permutation_errors(frame.filter("data_split = 'val'"), boosters, ["entity_id", "date"])
     return ML.importance_by_horizon(tables)
 

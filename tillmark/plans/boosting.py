@@ -74,9 +74,9 @@ TUNED = {
 }
 
 
-def tuned(rounds: int | None = None) -> dict[str, Settings]:
-    """The tuned settings, with fewer rounds if asked for."""
-    return {t: s if rounds is None else replace(s, rounds=min(rounds, s.rounds)) for t, s in TUNED.items()}
+def tuned() -> dict[str, Settings]:
+    """The tuned settings with all their rounds."""
+    return dict(TUNED)
 
 
 @dataclass
