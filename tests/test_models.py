@@ -112,3 +112,17 @@ def test_the_refit_grows_all_tuned_rounds(spark, folder, monkeypatch):
 def test_importances_come_from_all_tuned_rounds(spark, folder, monkeypatch, name):
     args, kwargs = whole_fits(monkeypatch, B, "fit", lambda: catalog.load()[name](spark, folder))
     assert [(t, s.rounds) for t, s in args[2].items()] == [("target_return_1d", 400), ("target_return_5d", 649), ("target_return_20d", 649)]
+
+
+def test_the_grid_has_all_points_and_rounds(spark, folder, monkeypatch):
+    (estimator, space, _), _ = whole_fits(monkeypatch, ML, "grid_search", lambda: catalog.load()["grid_search"](spark, folder))
+    assert space == {"maxDepth": [3, 5, 7, 9], "stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 200, 300]}
+    assert estimator.like.getSubsamplingRate() == 0.8 and estimator.like.getFeatureSubsetStrategy() == "0.8"
+
+
+def test_search_and_curve_with_the_booster(planted):
+    small = B.Classifier(ML.boosted(subsamplingRate=0.8), ["id"])
+    table = ML.grid_search(small, {"maxDepth": [1, 2], "maxIter": [2, 4]}, planted).collect()
+    assert len(table) == 4 and table[0].auc >= table[-1].auc > 0.9
+    curve = ML.learning_curve({"small": small}, planted, ["id"], [0.5, 1.0]).collect()
+    assert [r.fraction for r in curve] == [0.5, 1.0] and all(r.auc > 0.9 for r in curve)

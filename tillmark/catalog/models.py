@@ -172,7 +172,9 @@ def _(t):
 
 @query("grid_search")
 def _(t):
-    return ML.grid_search(ML.boosted(maxIter=5), {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}, churn_frame(t))
+    sampled = B.Classifier(ML.boosted(subsamplingRate=0.8, featureSubsetStrategy="0.8"), C.KEYS)
+    space = {"maxDepth": [3, 5, 7, 9], "stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 200, 300]}
+    return ML.grid_search(sampled, space, churn_frame(t))
 
 
 @query("random_search")
