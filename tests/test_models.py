@@ -120,6 +120,12 @@ def test_the_grid_has_all_points_and_rounds(spark, folder, monkeypatch):
     assert estimator.like.getSubsamplingRate() == 0.8 and estimator.like.getFeatureSubsetStrategy() == "0.8"
 
 
+def test_the_curve_grows_all_rounds(spark, folder, monkeypatch):
+    (makers, _, _, fractions), _ = whole_fits(monkeypatch, ML, "learning_curve", lambda: catalog.load()["learning_curve"](spark, folder))
+    assert {name: m.like.getMaxIter() for name, m in makers.items()} == {"default": 100, "tuned": 300}
+    assert fractions == [i / 10 for i in range(1, 11)]
+
+
 def test_search_and_curve_with_the_booster(planted):
     small = B.Classifier(ML.boosted(subsamplingRate=0.8), ["id"])
     table = ML.grid_search(small, {"maxDepth": [1, 2], "maxIter": [2, 4]}, planted).collect()

@@ -187,7 +187,7 @@ def _(t):
 
 @query("learning_curve")
 def _(t):
-    makers = {"default": ML.boosted(maxIter=3), "tuned": ML.boosted(**{**ML.TUNED_CHURN, "maxIter": 3})}
+    makers = {"default": B.Classifier(ML.boosted(), C.KEYS), "tuned": B.Classifier(ML.boosted(**ML.TUNED_CHURN), C.KEYS)}
     return ML.learning_curve(makers, churn_frame(t), C.KEYS, [i / 10 for i in range(1, 11)])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 from math import gcd
 from multiprocessing.pool import ThreadPool
@@ -201,21 +202,22 @@ def random_search(estimator: Estimator, space: dict[str, Sequence], frame: DataF
 
 
 def learning_curve(makers: dict[str, Estimator], frame: DataFrame, key: Sequence[str], fractions: Sequence[float],
-                   split: str = "data_split") -> DataFrame:
+                   split: str = "data_split", parallelism: int = 4) -> DataFrame:
     """Balanced accuracy and AUC on val for nested shares of the training rows."""
     drawn = frame.withColumn("_u", S.hash_fraction(*[F.col(k) for k in key]))
     train, val = drawn.filter(F.col(split) == "train"), drawn.filter(F.col(split) == "val")
-    out = None
-    for fraction in fractions:
-        part = train.filter(F.col("_u") <= fraction)
-        for name, estimator in makers.items():
-            scored = score(estimator.fit(part), val, ["label"])
-            row = E.roc_auc(scored).select(
-                F.lit(float(fraction)).alias("fraction"), F.lit(name).alias("model"), "auc",
-                E.balanced_accuracy(scored).scalar().alias("balanced_accuracy"),
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+
+    def evaluate(point):
+        fraction, name = point
+        scored = materialize(score(makers[name].fit(train.filter(F.col("_u") <= fraction)), val, ["label"]))
+        return E.roc_auc(scored).select(
+            F.lit(float(fraction)).alias("fraction"), F.lit(name).alias("model"), "auc",
+            E.balanced_accuracy(scored).scalar().alias("balanced_accuracy"),
+        )
+
+    points = list(product(fractions, makers))
+    with ThreadPool(min(parallelism, len(points))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(evaluate, points))
 
 
 # ---- importance ---------------------------------------------------------------
